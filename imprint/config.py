@@ -16,7 +16,7 @@ class MatchConfig:
 
     structural_max: int = 10
     color_max: float = 0.2
-    split_rows: int = 50_000
+    split_rows: int = 200_000
 
 
 @dataclass(frozen=True)

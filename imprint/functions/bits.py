@@ -33,7 +33,7 @@ def hamming(left: Column, right: Column) -> Column:
 def median_bits(values: Column) -> Column:
     """Hash of 64 numbers: one bit each, set when above their median."""
     numbers = F.transform(values, lambda x: x.cast("double"))
-    ranked = F.array_sort(numbers)
+    ranked = F.sort_array(numbers)
     middle = let(ranked, lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2)
     return let(
         middle,

@@ -21,5 +21,4 @@ def bhattacharyya(left: Column, right: Column) -> Column:
         lambda acc, x: acc + x,
     )
     scale = _total(left) * _total(right)
-    share = overlap / F.sqrt(F.when(scale > 0, scale))
-    return F.when(share.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 1 - share)))
+    return F.when(scale > 0, F.sqrt(F.greatest(F.lit(0.0), 1 - overlap / F.sqrt(scale))))
