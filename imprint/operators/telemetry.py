@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,7 +123,7 @@ def failure_alert(counters: DataFrame, config: AlertConfig = AlertConfig()) -> D
 
 
 def _with_segments(attempts: DataFrame, window_us: int) -> DataFrame:
-    """Add ``segment``: stretches of a key that cannot influence each other.
+    """Add ``_segment``: stretches of a key that cannot influence each other.
 
     A gap longer than the window empties it, so whatever follows starts afresh.
     Gaps are found inside time slices of a key, and across slices from one row
@@ -160,7 +160,7 @@ def _with_segments(attempts: DataFrame, window_us: int) -> DataFrame:
     return (
         marked.withColumn("_started", started)
         .join(bounds.select("key", "_slice", "_carried"), ["key", "_slice"])
-        .withColumn("segment", F.coalesce("_started", "_carried"))
+        .withColumn("_segment", F.coalesce("_started", "_carried"))
         .drop("_slice", "_opens", "_started", "_carried")
     )
 
@@ -178,12 +178,13 @@ def admit_attempts(attempts: DataFrame, config: AdmissionConfig = AdmissionConfi
     window_us = round(config.window_seconds * 1_000_000)
     most = config.max_attempts
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         held: deque = deque()
-        for frame in batches:
+        for batch in batches:
             admitted = []
-            for key, segment, us in zip(frame["key"], frame["segment"], frame["_us"]):
+            columns = [batch.column(c).to_pylist() for c in ("key", "_segment", "_us")]
+            for key, segment, us in zip(*columns):
                 if (key, segment) != current:
                     current, held = (key, segment), deque()
                 while held and us - held[0] > window_us:
@@ -191,16 +192,17 @@ def admit_attempts(attempts: DataFrame, config: AdmissionConfig = AdmissionConfi
                 admitted.append(len(held) < most)
                 if admitted[-1]:
                     held.append(us)
-            yield frame.assign(admitted=admitted).drop(columns=["_us", "segment"])
+            kept = batch.drop_columns(["_us", "_segment"])
+            yield kept.append_column("admitted", pa.array(admitted, pa.bool_()))
 
     segmented = _with_segments(attempts, window_us)
     schema = T.StructType([*attempts.schema.fields, T.StructField("admitted", T.BooleanType())])
     ordered = (
-        segmented.select(*attempts.columns, "_us", "segment")
-        .repartition("key", "segment")
-        .sortWithinPartitions("key", "segment", "_us", "id")
+        segmented.select(*attempts.columns, "_us", "_segment")
+        .repartition("key", "_segment")
+        .sortWithinPartitions("key", "_segment", "_us", "id")
     )
-    return ordered.mapInPandas(walk, schema)
+    return ordered.mapInArrow(walk, schema)
 
 
 def naive_window_counts(attempts: DataFrame, config: AdmissionConfig = AdmissionConfig()) -> DataFrame:
@@ -208,9 +210,18 @@ def naive_window_counts(attempts: DataFrame, config: AdmissionConfig = Admission
 
     The plain sliding count, which also counts attempts that would be refused.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    frame = (
-        Window.partitionBy("key").orderBy("_us").rangeBetween(-round(config.window_seconds * 1_000_000), 0)
+    window_us = round(config.window_seconds * 1_000_000)
+    slice_us = max(window_us * 60, 60_000_000)
+    timed = attempts.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    # A hot key is cut into time slices; the end of a slice is also seen by the next.
+    home = F.expr(f"_us div {slice_us}")
+    reaches_next = F.expr(f"_us % {slice_us} >= {slice_us - window_us}")
+    visits = timed.withColumn("_home", home).withColumn(
+        "_slice",
+        F.explode(
+            F.when(reaches_next, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))
+        ),
     )
-    counted = attempts.withColumn("_us", at).withColumn("in_window", F.count(F.lit(1)).over(frame))
-    return counted.drop("_us")
+    frame = Window.partitionBy("key", "_slice").orderBy("_us").rangeBetween(-window_us, 0)
+    counted = visits.withColumn("in_window", F.count(F.lit(1)).over(frame))
+    return counted.filter("_slice = _home").drop("_us", "_home", "_slice")
