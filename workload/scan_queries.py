@@ -68,14 +68,14 @@ WHERE place = 1
 
 @query(
     "G4",
-    f"SELECT image, ordinal, width, height, area, round(score, 6) AS score, round(area_ratio, 6) AS area_ratio FROM ({_BEST})",
+    f"SELECT image, ordinal, width, height, area, round(score, 6) AS score, round(area_ratio, 11) AS area_ratio FROM ({_BEST})",
     "detections",
 )
 def best_detection(t: Tables) -> DataFrame:
     best = geometry.best_detection(t.detections)
     return best.select(
         "image", "ordinal", "width", "height", "area",
-        F.round("score", 6).alias("score"), F.round("area_ratio", 6).alias("area_ratio"),
+        F.round("score", 6).alias("score"), F.round("area_ratio", 11).alias("area_ratio"),
     )
 
 
@@ -190,14 +190,14 @@ def side_lengths(t: Tables) -> DataFrame:
     "G8",
     f"""SELECT image, ordinal, width, height, round(abs(
       o[1][1] * o[2][2] - o[2][1] * o[1][2] + o[2][1] * o[3][2] - o[3][1] * o[2][2]
-      + o[3][1] * o[4][2] - o[4][1] * o[3][2] + o[4][1] * o[1][2] - o[1][1] * o[4][2]) / 2 / (image_width * image_height), 6) AS share
+      + o[3][1] * o[4][2] - o[4][1] * o[3][2] + o[4][1] * o[1][2] - o[1][1] * o[4][2]) / 2 / (image_width * image_height), 11) AS share
     FROM (SELECT *, {_ORDERED} AS o FROM ({_POINTS_SQL}))""",
     "detections",
 )
 def polygon_share(t: Tables) -> DataFrame:
     rows = _points(t).withColumn("corners", geometry.order_corners(F.col("pts")))
     share = geometry.area_fraction(F.col("corners"), F.col("image_width"), F.col("image_height"))
-    return rows.select("image", "ordinal", "width", "height", F.round(share, 6).alias("share"))
+    return rows.select("image", "ordinal", "width", "height", F.round(share, 11).alias("share"))
 
 
 @query(

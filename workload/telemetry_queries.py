@@ -258,11 +258,19 @@ def health_report(t: Tables) -> DataFrame:
 
 
 def _as_stream(rows: DataFrame, files: int) -> tuple[DataFrame, str]:
-    """The rows as a file stream, and a folder for the query's own files."""
-    root = f"{checkpoint_dir(rows.sparkSession)}/{uuid.uuid4().hex}"
-    rows.repartitionByRange(files, "id").write.parquet(f"{root}/source")
-    source = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2)
-    return source.parquet(f"{root}/source"), root
+    """The rows as a stream of files that arrive by id, and a folder for the query.
+
+    The files are written one after the other, so that their order is certain.
+    """
+    spark = rows.sparkSession
+    root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    source = f"{root}/source"
+    cuts = rows.approxQuantile("id", [i / files for i in range(1, files)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows if low is None else rows.filter(F.col("id") > low)
+        part = part if high is None else part.filter(F.col("id") <= high)
+        part.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), root
 
 
 @query("T1 T7", _NEW_PAIRS, "hits")
@@ -275,20 +283,34 @@ def incremental_matching(t: Tables) -> DataFrame:
     return _pair_columns(pairs)
 
 
+# The state store that keyed state needs; and no further micro-batches, which a
+# processing-time clock would ask for without end, once the files are read.
+_STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
 def _run_stateful(stream: DataFrame, root: str, mode: str) -> DataFrame:
+    """Everything the stream emits, with the ``epoch`` it came in."""
     spark = stream.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    output = f"{root}/output"
+    before = {name: spark.conf.get(name, None) for name in _STATEFUL}
 
     def keep(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{output}/epoch={epoch}")
-
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
-    writer.foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(output)
+        rows.write.mode("overwrite").parquet(f"{root}/output/epoch={epoch}")
+
+    try:
+        for name, value in _STATEFUL.items():
+            spark.conf.set(name, value)
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+        running = writer.foreachBatch(keep).trigger(availableNow=True).start()
+        if not running.awaitTermination(600):
+            running.stop()
+            raise TimeoutError("stream did not end")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    return spark.read.parquet(f"{root}/output")
 
 
 @query(
