@@ -22,6 +22,7 @@ HASH_INPUT = 32
 HASH_SIDE = 8
 BORDER_FRACTION = 0.12
 HUE_BINS, SATURATION_BINS = 16, 8
+_STACK_BYTES = 8 << 20
 
 
 def pixels(image) -> np.ndarray:
@@ -32,8 +33,7 @@ def pixels(image) -> np.ndarray:
 
 
 def _gray(bgr: np.ndarray, weights: tuple[int, int, int], shift: int) -> np.ndarray:
-    blue, green, red = (bgr[:, :, i].astype(np.int64) for i in range(3))
-    total = blue * weights[0] + green * weights[1] + red * weights[2]
+    total = bgr.astype(np.int64) @ np.array(weights)
     return (total + (1 << (shift - 1))) >> shift
 
 
@@ -59,21 +59,22 @@ def _cosines() -> np.ndarray:
     return 2 * np.cos(np.pi * k * (2 * n + 1) / (2 * HASH_INPUT))
 
 
-def structural_hash(bgr: np.ndarray) -> int:
-    """64-bit perceptual hash as a signed integer."""
+def structural_hashes(bgr: np.ndarray) -> np.ndarray:
+    """64-bit perceptual hashes, as signed integers, of a stack of images."""
     gray = _gray(bgr, *_LUMA).astype(np.float64)
-    across = np.clip(np.rint(gray @ _lanczos(gray.shape[1], HASH_INPUT).T), 0, 255)
-    small = np.clip(np.rint(_lanczos(gray.shape[0], HASH_INPUT) @ across), 0, 255)
-    low = _cosines() @ small @ _cosines().T
-    bits = (low > np.median(low)).ravel()
-    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+    _, height, width = gray.shape
+    across = np.clip(np.rint(gray @ _lanczos(width, HASH_INPUT).T), 0, 255)
+    small = np.clip(np.rint(_lanczos(height, HASH_INPUT) @ across), 0, 255)
+    low = (_cosines() @ small @ _cosines().T).reshape(len(bgr), -1)
+    bits = low > np.median(low, axis=1, keepdims=True)
+    return np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
 
 
 def _hue_saturation(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hue in [0, 180) and saturation in [0, 256) of pixel rows."""
-    blue, green, red = (bgr[:, i].astype(np.float64) for i in range(3))
-    high = bgr.max(axis=1).astype(np.float64)
-    spread = high - bgr.min(axis=1)
+    """Hue in [0, 180) and saturation in [0, 256) of pixels."""
+    blue, green, red = np.moveaxis(bgr.astype(np.float64), -1, 0)
+    high = np.maximum(np.maximum(blue, green), red)
+    spread = high - np.minimum(np.minimum(blue, green), red)
     safe = np.where(spread == 0, 1, spread)
     sector = np.select(
         [high == red, high == green],
@@ -85,42 +86,68 @@ def _hue_saturation(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hue, saturation
 
 
-def color_signature(bgr: np.ndarray) -> np.ndarray:
-    """128-bin hue and saturation histogram of the border ring, scaled to [0, 1]."""
-    height, width = bgr.shape[:2]
+def color_signatures(bgr: np.ndarray) -> np.ndarray:
+    """128-bin hue and saturation histograms of the border rings, scaled to [0, 1]."""
+    count, height, width = bgr.shape[:3]
     rows, cols = max(1, int(height * BORDER_FRACTION)), max(1, int(width * BORDER_FRACTION))
     ring = np.zeros((height, width), dtype=bool)
     ring[:rows] = ring[-rows:] = True
     ring[:, :cols] = ring[:, -cols:] = True
-    hue, saturation = _hue_saturation(bgr[ring])
-    counts, _, _ = np.histogram2d(
-        hue, saturation, bins=(HUE_BINS, SATURATION_BINS), range=((0, 180), (0, 256))
-    )
-    low, high = counts.min(), counts.max()
-    scaled = (counts - low) / (high - low) if high > low else np.zeros_like(counts)
-    return scaled.astype(np.float32).ravel()
+    hue, saturation = _hue_saturation(bgr[:, ring])
+    bins = HUE_BINS * SATURATION_BINS
+    cell = (hue * HUE_BINS // 180) * SATURATION_BINS + saturation * SATURATION_BINS // 256
+    cell = cell.astype(np.int64) + bins * np.arange(count)[:, None]
+    counts = np.bincount(cell.ravel(), minlength=bins * count).reshape(count, bins).astype(np.float64)
+    low, high = counts.min(axis=1, keepdims=True), counts.max(axis=1, keepdims=True)
+    return ((counts - low) / np.where(high > low, high - low, 1)).astype(np.float32)
 
 
 def rotate(bgr: np.ndarray, degrees: int) -> np.ndarray:
-    """Image after clockwise quarter turns."""
-    return np.rot90(bgr, -(degrees // 90))
+    """Stack of images after clockwise quarter turns."""
+    return np.rot90(bgr, -(degrees // 90), axes=(1, 2))
+
+
+def background_fractions(bgr: np.ndarray, threshold: int) -> np.ndarray:
+    """Share of dark pixels along each frame; a corner lies on two edges."""
+    edge = np.concatenate([bgr[:, 0], bgr[:, -1], bgr[:, :, 0], bgr[:, :, -1]], axis=1)
+    return (_gray(edge, *_LUMA_BACKGROUND) <= threshold).mean(axis=1)
 
 
-def background_fraction(bgr: np.ndarray, threshold: int) -> float:
-    """Share of dark pixels along the frame; each corner lies on two edges."""
-    gray = _gray(bgr, *_LUMA_BACKGROUND)
-    edge = np.concatenate([gray[0], gray[-1], gray[:, 0], gray[:, -1]])
-    return float(np.count_nonzero(edge <= threshold)) / edge.size
+def print_stack(bgr: np.ndarray) -> list[list[dict]]:
+    """Fingerprints at four rotations of each image of a stack."""
+    prints: list[list[dict]] = [[] for _ in bgr]
+    for degrees in ROTATIONS:
+        turned = rotate(bgr, degrees)
+        for i, (code, color) in enumerate(zip(structural_hashes(turned), color_signatures(turned))):
+            prints[i].append({"rotation": degrees, "hash": int(code), "color": color.tolist()})
+    return prints
 
 
-def _map_images(images: DataFrame, column: str, kind: T.DataType, compute) -> DataFrame:
-    """Replace ``image`` by a value computed from its pixels; other columns pass."""
+def _map_images(
+    images: DataFrame, column: str, kind: T.DataType, compute, rotation: str | None = None
+) -> DataFrame:
+    """Replace ``image`` by a value computed from its pixels; other columns pass.
+
+    Images of one size and rotation are computed as a stack of some 8 MB.
+    """
     kept = [f for f in images.schema.fields if f.name != "image"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            values = [compute(row) for row in frame.to_dict("records")]
-            yield frame.drop(columns="image").assign(**{column: pd.Series(values, dtype=object)})
+            stacks: dict[tuple, list[int]] = {}
+            turns = frame[rotation].fillna(0).astype(int) % 360 if rotation else None
+            for i, image in enumerate(frame["image"]):
+                degrees = 0 if turns is None else int(turns[i])
+                stacks.setdefault((image["height"], image["width"], degrees), []).append(i)
+            values = pd.Series([None] * len(frame), dtype=object)
+            for (height, width, degrees), members in stacks.items():
+                step = max(1, _STACK_BYTES // (height * width * 3))
+                for start in range(0, len(members), step):
+                    part = members[start : start + step]
+                    stack = np.stack([pixels(frame["image"][i]) for i in part])
+                    for i, value in zip(part, compute(rotate(stack, degrees))):
+                        values[i] = value
+            yield frame.drop(columns="image").assign(**{column: values})
 
     return images.mapInPandas(run, T.StructType([*kept, T.StructField(column, kind)]))
 
@@ -137,23 +164,12 @@ def fingerprint_images(images: DataFrame, rotation: str | None = None) -> DataFr
     ``rotation`` names a column of degrees that is applied first.
     """
 
-    def prints(row: dict) -> list[dict]:
-        upright = rotate(pixels(row["image"]), int(row[rotation] or 0) if rotation else 0)
-        turned = [(degrees, rotate(upright, degrees)) for degrees in ROTATIONS]
-        return [
-            {"rotation": d, "hash": structural_hash(i), "color": color_signature(i).tolist()}
-            for d, i in turned
-        ]
-
-    return _map_images(images, "prints", T.ArrayType(PRINT), prints)
+    return _map_images(images, "prints", T.ArrayType(PRINT), print_stack, rotation)
 
 
 def border_background(images: DataFrame, config: CropConfig = CropConfig()) -> DataFrame:
     """Replace ``image`` by ``background_fraction``."""
     threshold = config.background_threshold
     return _map_images(
-        images,
-        "background_fraction",
-        T.DoubleType(),
-        lambda row: background_fraction(pixels(row["image"]), threshold),
+        images, "background_fraction", T.DoubleType(), lambda stack: background_fractions(stack, threshold)
     )

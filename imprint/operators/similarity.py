@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from imprint.functions.bits import hamming
 from imprint.operators.bands import BandPlan
 from imprint.operators.skew import assign_chunk, chunked_join, hot_keys, visit_chunks
+from imprint.session import materialize
 
 _BROADCAST_ROWS = 1_000_000  # index rows of about 32 bytes
 _TASK_WORK = 200_000  # probe rows, and pair tests by tens, per task
@@ -139,22 +140,27 @@ def hamming_join(
     Returns ``by``, ``left_id``, ``right_id`` and ``distance``.
     """
     by = by or []
-    (left_rows, probing), (right_rows, indexed) = (
-        rows.agg(F.count("hash"), F.approx_count_distinct("hash")).first() for rows in (left, right)
-    )
+    by_id = [*by, "id", "hash"]
+    same = left is right
+    # Ids and hashes are read several times below; what they come from, once.
+    left = materialize(left.filter(F.col("hash").isNotNull()).select(by_id))
+    right = left if same else materialize(right.filter(F.col("hash").isNotNull()).select(by_id))
+    left_rows, probing = _sizes(left)
+    right_rows, indexed = (left_rows, probing) if same else _sizes(right)
     pairs = hash_pairs(
         left, right, radius, by=by, plan=plan, sizes=(probing, indexed), split_rows=split_rows
     )
     for side, rows, total in (("left", left, left_rows), ("right", right, right_rows)):
-        members = rows.filter(F.col("hash").isNotNull()).select(
-            *by, F.col("hash").alias(f"{side}_hash"), F.col("id").alias(f"{side}_id")
-        )
-        pairs = chunked_join(
-            pairs, members, [*by, f"{side}_hash"], f"{side}_id", split_rows, total
-        )
+        members = rows.select(*by, F.col("hash").alias(f"{side}_hash"), F.col("id").alias(f"{side}_id"))
+        pairs = chunked_join(pairs, members, [*by, f"{side}_hash"], f"{side}_id", split_rows, total)
     return pairs.select(*by, "left_id", "right_id", "distance")
 
 
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Number of rows and, nearly, of different hashes."""
+    return tuple(rows.agg(F.count("hash"), F.approx_count_distinct("hash")).first())
+
+
 def similarity_join(
     left: DataFrame,
     right: DataFrame,

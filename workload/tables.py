@@ -297,5 +297,7 @@ class Tables:
             F.lit(16).alias("mode"),
             F.unhex(F.array_join(pixel, "")).alias("data"),
         )
-        rows = self.given("embeddings").withColumn("level", level)
+        # The given file is a single split; drawing is spread over all cores.
+        spread = self.given("embeddings").repartition(self.spark.sparkContext.defaultParallelism, "vec_id")
+        rows = spread.withColumn("level", level)
         return rows.select(F.col("vec_id").alias("id"), image.alias("image"))
