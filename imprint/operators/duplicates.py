@@ -69,20 +69,29 @@ class FoldedPrints:
         return [*self.by, "print_key"]
 
 
+def with_print_key(rows: DataFrame) -> DataFrame:
+    """Add the key that rows with equal fingerprints share."""
+    return rows.withColumn("print_key", F.unhex(F.sha2(F.to_json("prints"), 256)))
+
+
+def folded_prints(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """One row per print key and rotation of rows with ``print_key`` and ``arrived``."""
+    folded = keyed.groupBy(*by, "print_key").agg(
+        F.any_value("prints").alias("prints"), F.bool_or("arrived").alias("arrived")
+    )
+    return folded.select(*by, "print_key", "arrived", F.inline("prints")).filter(
+        F.col("hash").isNotNull() & F.col("color").isNotNull()
+    )
+
+
 def fold_copies(new: DataFrame, history: DataFrame | None = None, by: list[str] | None = None) -> FoldedPrints:
     """Fold rows with equal fingerprints (and equal ``by`` columns)."""
     by = by or []
     rows = new.withColumn("arrived", F.lit(True))
     if history is not None:
         rows = rows.unionByName(history.withColumn("arrived", F.lit(False)))
-    keyed = materialize(rows.withColumn("print_key", F.unhex(F.sha2(F.to_json("prints"), 256))))
-    folded = keyed.groupBy(*by, "print_key").agg(
-        F.any_value("prints").alias("prints"), F.bool_or("arrived").alias("arrived")
-    )
-    prints = folded.select(*by, "print_key", "arrived", F.inline("prints")).filter(
-        F.col("hash").isNotNull() & F.col("color").isNotNull()
-    )
-    return FoldedPrints(keyed.drop("prints"), materialize(prints), by)
+    keyed = materialize(with_print_key(rows))
+    return FoldedPrints(keyed.drop("prints"), materialize(folded_prints(keyed, by)), by)
 
 
 def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -104,6 +113,8 @@ def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig()) -> D
         upright, prints, config.structural_max,
         by=by, sizes=(probing, indexed), split_rows=config.split_rows,
     )
+    # Written, so that its true size decides how the fingerprints are joined to it.
+    near = materialize(near)
     left = upright.select(*by, F.col("hash").alias("left_hash"), F.col("print_key").alias("query_key"))
     right = prints.select(*by, F.col("hash").alias("right_hash"), "print_key", "rotation")
     hits = chunked_join(near, left, [*by, "left_hash"], "query_key", config.split_rows, probing_rows)

@@ -13,7 +13,7 @@ from imprint.operators.bands import BandPlan
 from imprint.operators.skew import assign_chunk, chunked_join, hot_keys, visit_chunks
 from imprint.session import materialize
 
-_BROADCAST_ROWS = 1_000_000  # index rows of about 32 bytes
+_BROADCAST_ROWS = 1_000_000  # probe or index rows of about 32 bytes
 _TASK_WORK = 200_000  # probe rows, and pair tests by tens, per task
 
 
@@ -86,17 +86,22 @@ def hash_pairs(
     Returns ``by``, ``left_hash``, ``right_hash`` and ``distance``.
     """
     by = by or []
-    left = left.select(*by, "hash").filter(F.col("hash").isNotNull()).distinct()
-    right = right.select(*by, "hash").filter(F.col("hash").isNotNull()).distinct()
-    probing, indexed = sizes or (left.count(), right.count())
+    left, right = (side.select(*by, "hash").filter(F.col("hash").isNotNull()) for side in (left, right))
+    left = left.distinct()
+    probing, indexed = sizes or (left.count(), right.distinct().count())
     plan = plan or BandPlan.for_sizes(radius, probing, indexed)
+    index_rows = indexed * len(plan.used)
+    if index_rows > _BROADCAST_ROWS and probing * plan.probes <= _BROADCAST_ROWS:
+        # Few probes go to a large index, which is then neither shuffled nor folded.
+        probes = F.broadcast(_probe_rows(left, plan, by))
+        index = _index_rows(right, plan, by)
+        return _meet(probes, index, [*by, "band", "key"], plan, by).distinct()
 
     work = probing * plan.probes + probing * indexed * plan.pair_share / 10
     # A fixed number: a few megabytes of hashes turn into many probe rows.
     left = left.repartition(max(1, min(100_000, ceil(work / _TASK_WORK))), *by, "hash")
     probes = _probe_rows(left, plan, by)
-    index = _index_rows(right, plan, by)
-    index_rows = indexed * len(plan.used)
+    index = _index_rows(right.distinct(), plan, by)
 
     keys = [*by, "band", "key"]
     hot = hot_keys(index, keys, split_rows, index_rows)
@@ -109,14 +114,18 @@ def hash_pairs(
         keys += ["left_chunk", "right_chunk"]
     small = hot is None and index_rows <= _BROADCAST_ROWS
     index = F.broadcast(index) if small else index.hint("merge")
+    return _meet(probes, index, keys, plan, by)
 
-    p, x = probes.alias("p"), index.alias("x")
+
+def _meet(
+    probes: DataFrame, index: DataFrame, keys: list[str], plan: BandPlan, by: list[str]
+) -> DataFrame:
+    """Probe and index rows of one band value that lie within the radius."""
     difference = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
-    condition = F.bit_count(difference) <= radius
+    condition = (F.bit_count(difference) <= plan.radius) & _first_band(plan)
     for key in keys:
         condition = condition & (F.col(f"p.{key}") == F.col(f"x.{key}"))
-    condition = condition & _first_band(plan)
-    return p.join(x, condition).select(
+    return probes.alias("p").join(index.alias("x"), condition).select(
         *[F.col(f"p.{c}").alias(c) for c in by],
         "left_hash",
         "right_hash",

@@ -26,4 +26,9 @@ def find_duplicates(
     being the query, or either id under ``direction='either'``.
     """
     hits = all_hits(new, history, config, direction)
+    return new_candidates(hits, existing)
+
+
+def new_candidates(hits: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Candidate rows of the hits that are not yet recorded."""
     return emit_candidates(insert_if_absent(canonical_pairs(hits), existing))

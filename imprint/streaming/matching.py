@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from imprint.config import MatchConfig
-from imprint.plans.duplicates import find_duplicates
+from imprint.operators.duplicates import (
+    FoldedPrints,
+    expand_matches,
+    folded_prints,
+    match_prints,
+    with_print_key,
+)
+from imprint.plans.duplicates import new_candidates
+from imprint.session import materialize
 
 
 @dataclass(frozen=True)
 class IncrementalMatcher:
     """Matches each micro-batch of print rows against everything before it.
 
-    ``root`` is a shared folder holding the print index and the pairs found, one
-    folder per micro-batch. A micro-batch that is run again replaces its own
-    folders and reads only earlier ones, so a retry changes nothing. Rows
-    delivered twice are recognised by id, within a micro-batch and across them.
+    ``root`` is a shared folder with one subfolder per micro-batch of each table:
+    ``members`` (the rows), ``prints`` (their folded fingerprints, ``fresh`` where
+    no earlier micro-batch had the same one) and ``pairs``. History is read
+    through its narrow columns and never written again. A micro-batch that is run
+    again replaces its own folders and reads only earlier ones, so a retry changes
+    nothing. Rows delivered twice are recognised by id, within a micro-batch and
+    across them.
     """
 
     root: str
@@ -33,19 +44,42 @@ class IncrementalMatcher:
             return None
         return rows.filter(F.col("epoch") < epoch).drop("epoch")
 
+    def _write(self, rows: DataFrame, table: str, epoch: int) -> DataFrame:
+        folder = f"{self.root}/{table}/epoch={epoch}"
+        rows.write.mode("overwrite").parquet(folder)
+        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
     def __call__(self, rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        history = self._before(spark, "prints", epoch)
-        pairs = self._before(spark, "pairs", epoch)
+        old_members, old_prints, old_pairs = (
+            self._before(spark, table, epoch) for table in ("members", "prints", "pairs")
+        )
         new = rows.dropDuplicates(["id"])
-        if history is not None:
-            new = new.join(history.select("id"), "id", "left_anti").select(rows.columns)
-        # The index is written first and read back: the stream source is read once.
-        index = f"{self.root}/prints/epoch={epoch}"
-        new.write.mode("overwrite").parquet(index)
-        arrived = spark.read.schema(rows.schema).parquet(index)
-        found = find_duplicates(arrived, history, pairs, self.config)
-        found.write.mode("overwrite").parquet(f"{self.root}/pairs/epoch={epoch}")
+        if old_members is not None:
+            # Reduced by the new ids first, so that history is filtered, not shuffled.
+            seen = old_members.select("id").join(new.select("id"), "id", "left_semi")
+            new = new.join(seen, "id", "left_anti").select(rows.columns)
+        members = self._write(with_print_key(new), "members", epoch)
+        folded = folded_prints(members.withColumn("arrived", F.lit(True)), []).drop("arrived")
+        if old_prints is None:
+            fresh = folded.withColumn("fresh", F.lit(True))
+        else:
+            keys = members.select("print_key").distinct()
+            known = old_prints.select("print_key").join(keys, "print_key", "left_semi").distinct()
+            known = known.withColumn("_known", F.lit(True))
+            fresh = folded.join(known, "print_key", "left").withColumn("fresh", F.col("_known").isNull()).drop("_known")
+        prints = self._write(fresh, "prints", epoch)
+
+        every_member = members.drop("prints").withColumn("arrived", F.lit(True))
+        every_print = prints.drop("fresh").withColumn("arrived", F.lit(True))
+        if old_members is not None:
+            earlier = old_members.drop("prints").withColumn("arrived", F.lit(False))
+            every_member = every_member.unionByName(earlier)
+            unseen = old_prints.filter("fresh").drop("fresh").join(keys, "print_key", "left_anti")
+            every_print = every_print.unionByName(unseen.withColumn("arrived", F.lit(False)))
+        index = FoldedPrints(every_member, every_print, [])
+        matches = materialize(match_prints(index, self.config))
+        self._write(new_candidates(expand_matches(matches, index, self.config), old_pairs), "pairs", epoch)
 
     def pairs(self, spark: SparkSession) -> DataFrame:
         """Every pair found so far."""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from imprint.functions import bits
+from imprint.operators import similarity
 from imprint.operators.bands import BandPlan
 from imprint.operators.similarity import hamming_join, similarity_join
 
@@ -84,6 +85,15 @@ def test_hot_hash_and_hot_band_are_split_and_whole(spark):
     assert pairs(hamming_join(df, df, 6)) == expected
 
 
+def test_few_probes_against_a_large_index(spark, monkeypatch):
+    """The probes are broadcast; the index is neither shuffled nor folded."""
+    monkeypatch.setattr(similarity, "_BROADCAST_ROWS", 1000)
+    rows = planted(300, seed=21)
+    few = rows[:6]
+    joined = similarity.hamming_join(table(spark, few), table(spark, rows + [(900 + i, rows[0][1]) for i in range(5)]), 10)
+    assert pairs(joined) == brute(few, rows + [(900 + i, rows[0][1]) for i in range(5)], 10)
+
+
 def test_equality_columns(spark):
     rows = [(i, i % 3, signed(h)) for i, h in planted(60, seed=8)]
     df = spark.createDataFrame(rows, "id long, grp long, hash long")
