@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from imprint.config import MatchConfig
 from imprint.functions.bits import hamming
-from imprint.functions.color import bhattacharyya
+from imprint.functions.color import bhattacharyya, distance_of_roots, root_shares
 from imprint.operators.similarity import hash_pairs
 from imprint.operators.skew import chunked_join
 from imprint.session import materialize
@@ -120,13 +120,15 @@ def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig()) -> D
     hits = chunked_join(near, left, [*by, "left_hash"], "query_key", config.split_rows, probing_rows)
     hits = chunked_join(hits, right, [*by, "right_hash"], "print_key", config.split_rows, indexed_rows)
     query_colors = upright.select(
-        *by, F.col("print_key").alias("query_key"), F.col("color").alias("query_color")
+        *by, F.col("print_key").alias("query_key"), root_shares(F.col("color")).alias("query_color")
+    )
+    print_colors = prints.select(
+        *by, "print_key", "rotation", root_shares(F.col("color")).alias("print_color")
     )
-    print_colors = prints.select(*by, "print_key", "rotation", F.col("color").alias("print_color"))
     scored = (
         hits.join(query_colors, [*by, "query_key"])
         .join(print_colors, [*by, "print_key", "rotation"])
-        .withColumn("color", bhattacharyya(F.col("query_color"), F.col("print_color")))
+        .withColumn("color", distance_of_roots(F.col("query_color"), F.col("print_color")))
         .filter(F.col("color") <= config.color_max)
     )
     # One number orders (distance, rotation), which keeps this a hash aggregate.

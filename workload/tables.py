@@ -52,7 +52,7 @@ _CROP_COLUMNS = (
     "CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey END AS hash_0"
 )
 # A decoding failure leaves no crop; neither does a scan still pending.
-_HAS_CROP = f"{_SCAN_STATUS} <> 'pending' AND NOT ({_SCAN_STATUS} = 'crop_failed' AND o_orderkey % 3 = 0)"
+_HAS_CROP = f"{_SCAN_STATUS} <> 'pending' AND NOT ({_SCAN_STATUS} = 'crop_failed' AND o_orderpriority = '5-LOW')"
 
 _PAIR_KEYS = (
     "SELECT least(l_orderkey, l_partkey) * 2 + 1 AS a, greatest(l_orderkey, l_partkey) * 2 + 1 AS b, "
@@ -194,6 +194,14 @@ class Tables:
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A given table over all cores, also when its file is a single split.
+
+        Large tables have splits enough and are not shuffled.
+        """
+        rows, cores = self.given(name), self.spark.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
     def _select(self, name: str, columns: str) -> DataFrame:
         return self.spark.sql(f"SELECT {columns} FROM {{given}}", given=self.given(name))
 
@@ -248,7 +256,7 @@ class Tables:
     @cached_property
     def prints(self) -> DataFrame:
         """Print rows of the embeddings; the label is the batch."""
-        return self.given("embeddings").select(
+        return self.spread("embeddings").select(
             F.col("vec_id").alias("id"),
             F.col("label").cast("long").alias("batch_id"),
             F.concat(F.lit("card-"), (F.col("vec_id") % 10).cast("string")).alias("pairing_key"),
@@ -263,7 +271,7 @@ class Tables:
         document leaves its task as a single partial row.
         """
         words = (
-            self.given("documents")
+            self.spread("documents")
             .select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[ \\t\\n\\r]+"))).alias("word"))
             .filter("word <> ''")
             .selectExpr("doc_id", "cast(conv(substr(md5(word), 1, 16), 16, -10) as bigint) AS h")
@@ -297,7 +305,5 @@ class Tables:
             F.lit(16).alias("mode"),
             F.unhex(F.array_join(pixel, "")).alias("data"),
         )
-        # The given file is a single split; drawing is spread over all cores.
-        spread = self.given("embeddings").repartition(self.spark.sparkContext.defaultParallelism, "vec_id")
-        rows = spread.withColumn("level", level)
+        rows = self.spread("embeddings").withColumn("level", level)
         return rows.select(F.col("vec_id").alias("id"), image.alias("image"))
