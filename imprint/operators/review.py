@@ -66,15 +66,12 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     ``reviewed_at``.
     """
     accepted, _ = split_decisions(decisions)
+    decided = ["status", "reviewed_by", "reviewed_at"]
     last = accepted.groupBy(F.col("candidate_id").alias("id")).agg(
-        *[F.max_by(c, "seq").alias(f"new_{c}") for c in ("status", "reviewed_by", "reviewed_at")]
-    )
-    changed = {
-        c: F.coalesce(F.col(f"new_{c}"), F.col(c)) for c in ("status", "reviewed_by", "reviewed_at")
-    }
-    return candidates.join(last, "id", "left").withColumns(changed).drop(
-        *[f"new_{c}" for c in changed]
+        F.max_by(F.struct(*decided), "seq").alias("_last")
     )
+    changed = {c: F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)) for c in decided}
+    return candidates.join(last, "id", "left").withColumns(changed).drop("_last")
 
 
 def apply_rotations(crops: DataFrame, requests: DataFrame) -> DataFrame:
