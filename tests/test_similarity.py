@@ -41,7 +41,7 @@ def planted(count, seed, most=13):
     return rows
 
 
-def test_reference_values(spark):
+def test_known_values(spark):
     rows = [(1, 0xF0F0F0F0F0F0F0F0), (2, 0xF0F0F0F0F0F0F0F1), (3, 0)]
     got = pairs(hamming_join(table(spark, rows), table(spark, rows[:1]), 2))
     assert got == {(1, 1, 0), (2, 1, 1)}

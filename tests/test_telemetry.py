@@ -31,7 +31,7 @@ def attempts(spark, rows):
     return spark.createDataFrame(stamped, "key string, ts timestamp, id long")
 
 
-def test_admission_of_the_reference_case(spark):
+def test_admission_of_two_keys(spark):
     rows = [("a", i, i) for i in range(4)] + [("b", 3, 10), ("a", 60, 11), ("a", 61, 12)]
     got = {r.id: r.admitted for r in telemetry.admit_attempts(attempts(spark, rows), AdmissionConfig(3, 60)).collect()}
     # An attempt exactly a window old still counts; a moment later it does not.
