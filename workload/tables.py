@@ -56,7 +56,7 @@ _HAS_CROP = f"{_SCAN_STATUS} <> 'pending' AND NOT ({_SCAN_STATUS} = 'crop_failed
 
 _PAIR_KEYS = (
     "SELECT least(l_orderkey, l_partkey) * 2 + 1 AS a, greatest(l_orderkey, l_partkey) * 2 + 1 AS b, "
-    "min(l_returnflag) AS flag FROM {lineitem} WHERE l_orderkey <> l_partkey GROUP BY 1, 2"
+    "chr(min(ascii(l_returnflag))) AS flag FROM {lineitem} WHERE l_orderkey <> l_partkey GROUP BY 1, 2"
 )
 _PAIR_STATUS = (
     "CASE WHEN flag = 'N' AND (a + b) % 10 = 0 THEN 'pending' "
