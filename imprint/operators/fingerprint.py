@@ -128,7 +128,8 @@ def _map_images(
 ) -> DataFrame:
     """Replace ``image`` by a value computed from its pixels; other columns pass.
 
-    Images of one size and rotation are computed as a stack of some 8 MB.
+    Images of one size and rotation are computed as a stack of some 8 MB. An
+    image that could not be decoded, or is NULL, gets a NULL value.
     """
     kept = [f for f in images.schema.fields if f.name != "image"]
 
@@ -137,6 +138,8 @@ def _map_images(
             stacks: dict[tuple, list[int]] = {}
             turns = frame[rotation].fillna(0).astype(int) % 360 if rotation else None
             for i, image in enumerate(frame["image"]):
+                if image is None or image["height"] is None or image["height"] <= 0:
+                    continue  # not decoded: the value stays NULL
                 degrees = 0 if turns is None else int(turns[i])
                 stacks.setdefault((image["height"], image["width"], degrees), []).append(i)
             values = pd.Series([None] * len(frame), dtype=object)

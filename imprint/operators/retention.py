@@ -82,17 +82,19 @@ def failure_notes(removals: DataFrame) -> DataFrame:
 def deletion_accounting(removals: DataFrame) -> DataFrame:
     """Keys deleted and failed per batch, with the failure notes.
 
-    ``notes`` is NULL without failures. It holds the whole text while that is a
-    single part; beyond, ``note_parts`` says how many rows of ``failure_notes``
-    hold it.
+    ``notes`` holds the whole text of a batch's failures, however many, and is
+    NULL without any. ``note_parts`` says how many rows of ``failure_notes`` hold
+    the same text in pieces.
     """
-    counts = removals.groupBy("batch_id").agg(
+    note = F.when(F.col("error").isNotNull(), F.concat("key", F.lit(": "), "error"))
+    return removals.groupBy("batch_id").agg(
         F.count_if(F.col("error").isNull()).alias("keys_deleted"),
         F.count_if(F.col("error").isNotNull()).alias("keys_failed"),
-    )
-    single = failure_notes(removals).filter("note_parts = 1").select("batch_id", "notes")
-    return counts.join(single, "batch_id", "left").withColumn(
-        "note_parts", F.ceil(F.col("keys_failed") / NOTES_PER_PART)
+        F.array_sort(F.collect_list(note)).alias("_notes"),
+    ).select(
+        "batch_id", "keys_deleted", "keys_failed",
+        F.when(F.col("keys_failed") > 0, F.concat_ws("; ", "_notes")).alias("notes"),
+        F.ceil(F.col("keys_failed") / NOTES_PER_PART).alias("note_parts"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ ENTRIES = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("size", T.LongType()),
         T.StructField("content", T.BinaryType()),
+        T.StructField("error", T.StringType()),
     ]
 )
 _ARROW = pa.schema(
@@ -28,8 +30,10 @@ _ARROW = pa.schema(
         ("path", pa.string()),
         ("size", pa.int64()),
         ("content", pa.binary()),
+        ("error", pa.string()),
     ]
 )
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -43,28 +47,42 @@ def expand_archives(archives: DataFrame, with_content: bool = True) -> DataFrame
     ``archives`` has ``path`` and ``content``. Entries leave in batches of some
     64 MB, so only one archive and one batch are in memory. Without content only
     the directory of the archive is read.
+
+    An archive that cannot be opened is one row with its ``error`` and no path; a
+    broken member keeps its row, with an ``error`` and no content. Other archives
+    and members go on. A NULL content is an archive that cannot be opened.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content")):
-                yield from _entries(name.as_py(), content.as_buffer())
+                try:
+                    opened = zipfile.ZipFile(pa.BufferReader(content.as_buffer() or b""))
+                except _BROKEN as error:
+                    yield pa.RecordBatch.from_pylist([{"archive": name.as_py(), "error": str(error)}], _ARROW)
+                    continue
+                with opened:
+                    yield from _entries(name.as_py(), opened)
 
-    def _entries(archive: str, content: pa.Buffer) -> Iterator[pa.RecordBatch]:
+    def _entries(archive: str, opened: zipfile.ZipFile) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         held = 0
-        with zipfile.ZipFile(pa.BufferReader(content)) as opened:
-            for ordinal, info in enumerate(opened.infolist()):
-                if info.is_dir():
-                    continue
-                body = opened.read(info) if with_content else None
-                rows.append(
-                    {"archive": archive, "ordinal": ordinal, "path": info.filename, "size": info.file_size, "content": body}
-                )
-                held += info.file_size if with_content else 100
-                if held >= _CHUNK_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows, held = [], 0
+        for ordinal, info in enumerate(opened.infolist()):
+            if info.is_dir():
+                continue
+            body = error = None
+            if with_content:
+                try:
+                    body = opened.read(info)
+                except _BROKEN as broken:
+                    error = str(broken)
+            rows.append(
+                {"archive": archive, "ordinal": ordinal, "path": info.filename, "size": info.file_size, "content": body, "error": error}
+            )
+            held += info.file_size if with_content else 100
+            if held >= _CHUNK_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.functions.text import cap_message, cap_trace, redact
+from imprint.functions.text import redact
 from imprint.schemas import LOG_LINE
 
 
 def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Fields of each JSON line; absent ones are NULL, a broken line is ``malformed``.
 
+    Messages and traces are kept whole; feeds cap them where they are shown.
     ``fields`` keeps every field as text, with secrets hidden.
     """
     parsed = lines.withColumn("_line", F.from_json(column, LOG_LINE)).withColumn(
@@ -20,9 +21,7 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return parsed.select(
         *[c for c in lines.columns if c != column],
         F.try_to_timestamp("_line.timestamp").alias("ts"),
-        *[F.col(f"_line.{f}") for f in LOG_LINE.fieldNames() if f not in ("timestamp", "exception_message", "stack_trace")],
-        cap_message(F.col("_line.exception_message")).alias("exception_message"),
-        cap_trace(F.col("_line.stack_trace")).alias("stack_trace"),
+        *[F.col(f"_line.{f}") for f in LOG_LINE.fieldNames() if f != "timestamp"],
         redact(F.col("_all")).alias("fields"),
         (F.size(F.coalesce("_all", F.create_map().cast("map<string,string>"))) == 0).alias("malformed"),
     )

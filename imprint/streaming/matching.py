@@ -40,7 +40,9 @@ class IncrementalMatcher:
     def _before(self, spark: SparkSession, table: str, epoch: int) -> DataFrame | None:
         try:
             rows = spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return None
         return rows.filter(F.col("epoch") < epoch).drop("epoch")
 
@@ -61,10 +63,11 @@ class IncrementalMatcher:
             new = new.join(seen, "id", "left_anti").select(rows.columns)
         members = self._write(with_print_key(new), "members", epoch)
         folded = folded_prints(members.withColumn("arrived", F.lit(True)), []).drop("arrived")
+        keys = members.select("print_key").distinct()
+        # Each table is asked for on its own: a failed first micro-batch leaves some of them.
         if old_prints is None:
             fresh = folded.withColumn("fresh", F.lit(True))
         else:
-            keys = members.select("print_key").distinct()
             known = old_prints.select("print_key").join(keys, "print_key", "left_semi").distinct()
             known = known.withColumn("_known", F.lit(True))
             fresh = folded.join(known, "print_key", "left").withColumn("fresh", F.col("_known").isNull()).drop("_known")
@@ -75,6 +78,7 @@ class IncrementalMatcher:
         if old_members is not None:
             earlier = old_members.drop("prints").withColumn("arrived", F.lit(False))
             every_member = every_member.unionByName(earlier)
+        if old_prints is not None:
             unseen = old_prints.filter("fresh").drop("fresh").join(keys, "print_key", "left_anti")
             every_print = every_print.unionByName(unseen.withColumn("arrived", F.lit(False)))
         index = FoldedPrints(every_member, every_print, [])

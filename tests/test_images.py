@@ -142,3 +142,14 @@ def test_display_orientation(spark):
     files = [(1, jpeg("<", 6)), (2, jpeg(">", 3)), (3, b"\xff\xd8\xff\xda\0\0"), (4, b"\x89PNG....")]
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in files], "id long, content binary")
     assert {r.id: r.orientation for r in display_orientation(df).collect()} == {1: 6, 2: 3, 3: 1, 4: 1}
+
+
+def test_a_broken_archive_or_member_leaves_the_others(spark):
+    good = build_archive([("a.txt", b"a"), ("b.txt", b"b" * 100)])
+    at = good.index(b"b.txt") + 5
+    bent = good[:at] + b"\xff\xff" + good[at + 2 :]
+    archives = spark.createDataFrame([("good", good), ("bad", b"no archive"), ("none", None), ("bent", bent)], "path string, content binary")
+    rows = {(r.archive, r.path): r for r in expand_archives(archives).collect()}
+    assert rows["good", "a.txt"].content == b"a" and rows["good", "b.txt"].error is None
+    assert rows["bad", None].error and rows["none", None].error
+    assert rows["bent", "a.txt"].content == b"a" and rows["bent", "b.txt"].error and rows["bent", "b.txt"].content is None

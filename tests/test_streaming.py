@@ -25,6 +25,29 @@ def test_matching_a_stream_equals_one_search_and_survives_retries(spark, tmp_pat
     assert found(matcher.pairs(spark)) == expected
 
 
+@pytest.mark.parametrize("epoch", [0, 1])
+@pytest.mark.parametrize("failing", ["members", "prints", "pairs"])
+def test_a_micro_batch_is_retried_after_a_crash_at_any_write(spark, tmp_path, monkeypatch, epoch, failing):
+    rows = random_cards(12, seed=4)
+    parts = [rows[:6], rows[6:]]
+    matcher = matching.IncrementalMatcher(str(tmp_path / "index"))
+    write = matching.IncrementalMatcher._write
+
+    def crash(self, frame, name, at):
+        if name == failing and at == epoch:
+            raise RuntimeError("lost")
+        return write(self, frame, name, at)
+
+    for at, part in enumerate(parts):
+        monkeypatch.setattr(matching.IncrementalMatcher, "_write", crash)
+        if at == epoch:
+            with pytest.raises(RuntimeError):
+                matcher(table(spark, part), at)
+        monkeypatch.setattr(matching.IncrementalMatcher, "_write", write)
+        matcher(table(spark, part), at)
+    assert found(matcher.pairs(spark)) == found(find_duplicates(table(spark, rows)))
+
+
 def test_redelivery_within_the_watermark(spark, tmp_path):
     rows = random_cards(16, seed=3)
     source = str(tmp_path / "source")

@@ -102,7 +102,7 @@ def test_log_lines(spark):
     rows = parse_log_lines(lines).collect()
     assert rows[0].ts == T0 + dt.timedelta(seconds=1.25) and rows[0].batch_id == 4
     assert rows[0].fields["Password"] == text.REDACTED and rows[0].fields["message"] == "m"
-    assert rows[0].stack_trace == "b" * 4000 and len(rows[0].exception_message) == 500
+    assert rows[0].stack_trace == "a" * 10 + "b" * 4000 and len(rows[0].exception_message) == 600
     assert rows[1].ts is None and [r.malformed for r in rows] == [False, True, True]
 
 
