@@ -25,7 +25,7 @@ WORDY[48:58] = WORDY[97:123] = WORDY[128:] = True
 
 _SPAN = 64
 _RANDOM = np.random.default_rng(1).integers(0, 2**64, (_SPAN, 256), np.uint64)
-_SLICE = 4 << 20
+_SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,6 +129,14 @@ def batch(**columns) -> pa.RecordBatch:
     )
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every node hang on one root that hangs on nothing?"""
+    nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    roots = edges.select(F.col("b").alias("a")).distinct()
+    bad = nodes.filter("n > 1").select("a").union(roots.join(nodes, "a", "left_semi"))
+    return bad.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b); the root is the smallest node reachable.
 
@@ -140,12 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

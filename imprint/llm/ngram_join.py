@@ -12,7 +12,8 @@ is the same order everywhere. The join has two halves:
   tree along the global order. A traversal carries the overlap so far into all
   sets below a node and leaves a subtree when what remains cannot reach the bound.
 
-Candidates are first compared with one leader per range only. After that most of
+Candidates are first compared with one leader per range only, the text that shares
+most ranges. After that most of
 a group of copies is one component, and only pairs that are still in different
 components are compared; so a group costs its size, not its square, and no link
 that could join two components is left out.
@@ -28,12 +29,15 @@ from pyspark.sql import functions as F
 from imprint.llm.common import SOLID, batch, components, mix, word_slices
 from imprint.session import materialize
 
-#: Shared ranges, or ids of candidates, that may be sent to every task: about 40 MB as a hash table.
-SMALL_KEYS = 1_000_000
+#: Ids of candidates that may be sent to every task to fetch their texts: about 40 MB as a hash table.
+SMALL_IDS = 1_000_000
 #: Members compared in one tree.
 BLOCK = 128
 
 _STEP = 64
+#: Words of a parity sketch, 1024 bits.
+_SKETCH = 16
+_SKETCH_COLUMNS = [f"s{i}" for i in range(_SKETCH)]
 
 
 class Threshold:
@@ -117,15 +121,15 @@ def _describe(n: int, limit: Threshold):
                         steps = np.array([c[0] for c in classes])
                     sizes.append(len(values))
                     digests.append(mix(np.array([np.sum(mix(values), dtype=np.uint64) + np.uint64(len(values))]))[0])
-                    parity = np.bincount((values & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                    parity = np.bincount((values & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
                     sketches.append(np.packbits(parity.astype(bool)).view(np.int64))
                     keys.append(_range_keys(values, classes, steps).view(np.int64) if len(values) else np.empty(0, np.int64))
-            s = np.array(sketches, np.int64).reshape(-1, 4)
+            s = np.array(sketches, np.int64).reshape(-1, _SKETCH)
             yield batch(
                 doc_id=b.column("doc_id"),
                 n_shingles=np.array(sizes, np.int64),
                 node=np.array(digests, np.uint64).view(np.int64),
-                s0=s[:, 0].copy(), s1=s[:, 1].copy(), s2=s[:, 2].copy(), s3=s[:, 3].copy(),
+                **{c: s[:, i].copy() for i, c in enumerate(_SKETCH_COLUMNS)},
                 keys=pa.ListArray.from_arrays(
                     np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32),
                     np.concatenate(keys) if keys else np.empty(0, np.int64),
@@ -224,7 +228,7 @@ def _verify(limit: Threshold):
 def _may_match(limit: Threshold, x: str, y: str) -> F.Column:
     """What sizes and parity sketches allow: each n-gram in only one set flips one bit."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    flips = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(4)), F.lit(0))
+    flips = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH_COLUMNS), F.lit(0))
     return (
         (F.least(nx, ny) * limit.whole >= F.greatest(nx, ny) * limit.part)
         & (flips * (limit.whole + limit.part) <= (nx + ny) * (limit.whole - limit.part))
@@ -264,7 +268,7 @@ def link_similar(
     n: int = 3,
     part: int = 90,
     whole: int = 100,
-    small_keys: int = SMALL_KEYS,
+    small_ids: int = SMALL_IDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -280,9 +284,9 @@ def link_similar(
     never is a component id unless all ids of the component are null. An id is
     expected to name one text. Other columns are ignored.
 
-    The range keys of all texts are shuffled once (twice if more than
-    ``small_keys`` ranges are shared); leaders, pairs and sets of candidates
-    grow with the number of near copies only.
+    The range keys of all texts are shuffled twice; leaders, pairs and sets of
+    candidates grow with the number of near copies only. Beyond ``small_ids``
+    candidates the texts are shuffled to them.
     """
     limit = Threshold(part, whole)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -290,31 +294,30 @@ def link_similar(
     sets = materialize(
         texts.mapInArrow(
             _describe(n, limit),
-            f"doc_id {kind}, n_shingles bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>",
+            f"doc_id {kind}, n_shingles bigint, node bigint, {', '.join(f'{c} bigint' for c in _SKETCH_COLUMNS)}, keys array<bigint>",
         )
     )
     full = sets.filter("n_shingles > 0")
     keys = full.select("node", F.explode("keys").alias("key"))
     shared = materialize(
-        keys.groupBy("key").agg(F.min("node").alias("query"), F.max("node").alias("other")).filter("query < other")
-        .select("key", "query")
+        keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     )
-    few = shared.count() <= small_keys
-    members = materialize(
-        keys.join(F.broadcast(shared) if few else shared, "key").select("key", "query", "node").distinct()
-    )
-    candidates = members.filter("node <> query").select("query", "node").distinct()
+    members = materialize(keys.join(shared, "key").select("key", "node").distinct())
+    # A text that shares most of its ranges has few edits of its own, so it leads best.
+    central = members.groupBy("node").agg(F.count(F.lit(1)).alias("ranges"))
+    leads = members.join(central, "node").groupBy("key").agg(F.max(F.struct("ranges", "node"))["node"].alias("query"))
+    candidates = members.join(leads, "key").filter("node <> query").select("query", "node").distinct()
     involved = materialize(
         full.join(members.select("node").distinct(), "node", "left_semi")
-        .groupBy("node", "n_shingles", "s0", "s1", "s2", "s3").agg(F.min("doc_id").alias("rep"))
+        .groupBy("node", "n_shingles", *_SKETCH_COLUMNS).agg(F.min("doc_id").alias("rep"))
     )
-    traits = involved.select("node", "n_shingles", "s0", "s1", "s2", "s3")
+    traits = involved.select("node", "n_shingles", *_SKETCH_COLUMNS)
     x, y = traits.alias("x"), traits.alias("y")
     led = materialize(
         candidates.alias("p").join(x, F.col("p.query") == F.col("x.node")).join(y, F.col("p.node") == F.col("y.node"))
         .filter(_may_match(limit, "x", "y")).select("p.query", "p.node")
     )
-    links = materialize(_linked(led, involved, texts, n, limit, small_keys))
+    links = materialize(_linked(led, involved, texts, n, limit, small_ids))
     first = components(links)
     grouped = materialize(
         members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "root")
@@ -326,10 +329,10 @@ def link_similar(
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_match(limit, "x", "y"))
         .select(F.least("x.node", "y.node").alias("query"), F.greatest("x.node", "y.node").alias("node"))
         .distinct()
-        .join(led, ["query", "node"], "left_anti")
+        .join(led.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")), ["query", "node"], "left_anti")
     )
     if not rest.isEmpty():
-        links = links.union(_linked(rest, involved, texts, n, limit, small_keys))
+        links = links.union(_linked(rest, involved, texts, n, limit, small_ids))
         first = components(links)
     named = first.join(involved.select("node", "rep"), "node")
     roots = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -48,7 +48,7 @@ def test_join_finds_the_components(make, seed):
     rows = near_copies(seed)
     expected = ordered((d, *v) for d, v in brute.groups(rows).items())
     assert rows_of(ngram_join.link_similar(make(rows))) == expected
-    assert rows_of(ngram_join.link_similar(make(rows), small_keys=0)) == expected
+    assert rows_of(ngram_join.link_similar(make(rows), small_ids=0)) == expected
 
 
 def test_join_on_odd_rows(odd, clashing, empty):
