@@ -27,8 +27,10 @@ from imprint.session import checkpoint_dir
 
 #: Tokens in a block, give or take its last document.
 BLOCK_TOKENS = 1 << 18
-#: Entries of a task's table of known pieces; a full one is emptied.
-CACHE = 200_000
+#: Entries of a worker's table of known pieces; a full one is emptied.
+CACHE = 800_000
+#: Characters of new pieces given to the tokenizer at once.
+_CHUNK = 100_000
 
 _RANK = 512
 _LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("rank", pa.binary())])
@@ -111,38 +113,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        # Byte-level tokens are spelled with one character for each byte.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes[number] = len(token)
         self._clear()
 
     def _clear(self) -> None:
+        #: Number of each known piece; -1: a text with it is not to be cut.
         self.known: dict[str, int] = {}
-        self.size = np.zeros(1 << 12, np.int64)
-        self.begin = np.zeros(1 << 12, np.int64)
-        self.ids = np.zeros(1 << 14, np.uint32)
-        self.used = 0
+        #: Where the ids of each piece begin in ``ids``, with the end of the last.
+        self.begin = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Pieces start with a line break, or else follow a space; number -1: not to be cut so."""
-        good = []
+        """Ids of pieces, which follow a space unless they start with a line break.
+
+        Joined they are a text that may be cut between them, so many are encoded
+        at once, and the lengths of the tokens say where each piece ends.
+        """
+        good, held, size = [], [], 0
         for p in pieces:
             bare = p[1:] if p[:1] == "\n" else p
             if bare.split() == [bare]:
-                good.append(p)
+                held.append(p)
+                size += len(p)
             else:
                 self.known[p] = -1
-        texts = [p if p[0] == "\n" else " " + p for p in good]
-        for p, e in zip(good, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            k, ids = len(self.known), e.ids
-            if k >= len(self.size):
-                self.size, self.begin = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.begin))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.begin[k], self.size[k] = self.used, len(ids)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[p] = k
+            if size > _CHUNK:
+                good.append(held)
+                held, size = [], 0
+        if held:
+            good.append(held)
+        begins, ids, count = [self.begin], [self.ids], len(self.begin) - 1
+        for part in good:
+            texts = [p if p[0] == "\n" else " " + p for p in part]
+            found = self._whole("".join(texts))
+            ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+            token_ends = np.cumsum(self.bytes[found])
+            last = np.searchsorted(token_ends, ends)
+            if (token_ends[last] != ends).any():
+                raise ValueError("this tokenizer joins what stands apart; it is not a byte-level one")
+            self.known.update(zip(part, range(count, count + len(part))))
+            count += len(part)
+            begins.append(begins[-1][-1] + last + 1)
+            ids.append(found)
+        self.begin, self.ids = np.concatenate(begins), np.concatenate(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -158,18 +178,24 @@ class Encoder:
             if len(numbers) == 0 or first.split() != [first] or (numbers < 0).any():
                 out.append(self._whole(text))
                 continue
-            size = self.size[numbers]
+            begin = self.begin[numbers]
+            size = self.begin[numbers + 1] - begin
             ends = np.cumsum(size)
-            where = np.arange(ends[-1]) + np.repeat(self.begin[numbers] - ends + size, size)
+            where = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
             out.append(np.concatenate([self._whole(first), self.ids[where]]))
         return out
 
 
+#: One encoder for each tokenizer in a worker, so that later tasks know what earlier ones learned.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _writer(path: str, end_id: int, block_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard, block, held = Encoder(path), TaskContext.get().partitionId(), 0, []
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        shard, block, held = TaskContext.get().partitionId(), 0, []
         keys, sizes, begin = [], [], 0
 
         def row():
