@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,13 +96,25 @@ def _pieces(size: int, length: int):
         at = end - length + 1
 
 
+def _later_copies(rank: np.ndarray, first: np.ndarray, gram: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which spans have an equal one earlier among these?"""
+    order = np.lexsort((first, rank, content, gram))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (gram[order][1:] != gram[order][:-1]) | (content[order][1:] != content[order][:-1])
+    head = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    out = np.zeros(len(order), bool)
+    out[order] = (rank[head] != rank[order]) | (first[head] != first[order])
+    return out
+
+
 def _list_spans(length: int):
     def run(batches):
         hasher = _Hasher(_PIECE + length)
         for b in batches:
             data, offsets = utf8(b.column("text"))
             ids = b.column("doc_id")
-            for lo, hi in slices(offsets):
+            rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            for lo, hi in slices(offsets, 16 << 20):
                 found = []
                 for i in range(lo, hi):
                     text = data[offsets[i] : offsets[i + 1]]
@@ -110,9 +123,12 @@ def _list_spans(length: int):
                         found.append((np.full(len(first), i), first + at, (stop - first) | ((anchor - first) << 8), gram, content))
                 if found:
                     row, first, shape, gram, content = (np.concatenate(x) for x in zip(*found))
+                    later = _later_copies(rank[row], first, gram, content)
+                    # A span known to be a later copy needs no comparison: it goes to a place of its own.
+                    gram[later] = mix(gram[later] ^ mix(rank[row[later]].astype(np.uint64) << np.uint64(40) ^ first[later].astype(np.uint64)))
                     yield batch(
                         gram=gram.view(np.int64), content=content.view(np.int64), doc_id=ids.take(pa.array(row)),
-                        first=first, shape=shape.astype(np.int32),
+                        first=first, shape=shape.astype(np.int32), copy=later,
                     )
 
     return run
@@ -359,11 +375,11 @@ def remove_repeats(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = texts.mapInArrow(_list_spans(length), f"gram bigint, content bigint, doc_id {kind}, first bigint, shape int")
+    spans = texts.mapInArrow(_list_spans(length), f"gram bigint, content bigint, doc_id {kind}, first bigint, shape int, copy boolean")
     # One exchange by anchor serves all of this: equal spans, then anchors of several spans.
     equal = Window.partitionBy("gram", "content").orderBy(F.col("doc_id").asc_nulls_first(), "first")
     nth = spans.repartition("gram").withColumn("lead", F.first(F.struct("doc_id", "first")).over(equal))
-    later = ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.first") == F.col("first")))
+    later = F.col("copy") | ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.first") == F.col("first")))
     one = Window.partitionBy("gram")
     marked = materialize(
         nth.withColumn("later", later)
