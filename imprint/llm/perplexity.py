@@ -318,7 +318,7 @@ def _score(shared):
 def judge(
     docs: DataFrame,
     width: float = 4.0,
-    short: float = 12.0,
+    short: float = 16.0,
     least_words: int = 10,
     most_repeated: int = 20,
     id_col: str = "doc_id",
