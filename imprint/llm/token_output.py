@@ -29,8 +29,8 @@ from imprint.session import checkpoint_dir
 BLOCK_TOKENS = 1 << 18
 #: Entries of a worker's table of known pieces; a full one is emptied.
 CACHE = 800_000
-#: Characters of new pieces given to the tokenizer at once.
-_CHUNK = 100_000
+#: New pieces given to the tokenizer at once.
+_PIECES = 10_000
 
 _RANK = 512
 _LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("rank", pa.binary())])
@@ -128,7 +128,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces, which follow a space unless they start with a line break.
@@ -136,27 +136,22 @@ class Encoder:
         Joined they are a text that may be cut between them, so many are encoded
         at once, and the lengths of the tokens say where each piece ends.
         """
-        good, held, size = [], [], 0
-        for p in pieces:
-            bare = p[1:] if p[:1] == "\n" else p
-            if bare.split() == [bare]:
-                held.append(p)
-                size += len(p)
-            else:
-                self.known[p] = -1
-            if size > _CHUNK:
-                good.append(held)
-                held, size = [], 0
-        if held:
-            good.append(held)
+        bare = [p[1:] if p[:1] == "\n" else p for p in pieces]
+        if " ".join(bare).split() != bare:
+            solid = [b.split() == [b] for b in bare]
+            self.known.update((p, -1) for p, good in zip(pieces, solid) if not good)
+            pieces = [p for p, good in zip(pieces, solid) if good]
         begins, ids, count = [self.begin], [self.ids], len(self.begin) - 1
-        for part in good:
-            texts = [p if p[0] == "\n" else " " + p for p in part]
-            found = self._whole("".join(texts))
-            ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        for a in range(0, len(pieces), _PIECES):
+            part = pieces[a : a + _PIECES]
+            joined = (" " + " ".join(part)).replace(" \n", "\n")
+            found = self._whole(joined)
+            data = np.frombuffer(joined.encode(), np.uint8)
+            # Each piece begins with its space or line break and has no other.
+            ends = np.append(np.flatnonzero((data == 32) | (data == 10))[1:], len(data))
             token_ends = np.cumsum(self.bytes[found])
             last = np.searchsorted(token_ends, ends)
-            if (token_ends[last] != ends).any():
+            if len(ends) != len(part) or (token_ends[last] != ends).any():
                 raise ValueError("this tokenizer joins what stands apart; it is not a byte-level one")
             self.known.update(zip(part, range(count, count + len(part))))
             count += len(part)
