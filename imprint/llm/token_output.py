@@ -13,16 +13,18 @@ counts and levels. ``shard`` and ``block`` give the order of blocks.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from imprint.llm.common import batch
+from imprint.llm.common import batch, slices, utf8
 from imprint.session import checkpoint_dir
 
 #: Tokens in a block, give or take its last document.
@@ -159,25 +161,40 @@ class Encoder:
             ids.append(found)
         self.begin, self.ids = np.concatenate(begins), np.concatenate(ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column of large strings without nulls."""
         if len(self.known) > CACHE:
             self._clear()
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        fresh = {p for pieces in cut for p in pieces[1:]}.difference(self.known)
-        self._learn(list(fresh))
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy()
+        later = np.ones(offsets[-1] - offsets[0], bool)
+        later[offsets[:-1] - offsets[0]] = False
+        coded = cut.flatten().filter(pa.array(later)).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, pieces))
+        fresh = [i for i, number in enumerate(found) if number is None]
+        self._learn([pieces[i] for i in fresh])
+        for i in fresh:
+            found[i] = self.known[pieces[i]]
+        number = np.array(found, np.int64)
+        numbers = number[coded.indices.to_numpy()]
+        begin = self.begin[numbers]
+        size = np.where(numbers < 0, 0, self.begin[numbers + 1] - begin)
+        ends = np.cumsum(size)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)
+        body = self.ids[where]
+        # The first piece of each text is not among the numbers.
+        at = offsets - offsets[0] - np.arange(len(offsets))
+        token = np.concatenate([[0], ends])[at]
+        whole = np.concatenate([[0], np.cumsum(numbers < 0)])[at]
+        whole = whole[1:] > whole[:-1]
         out = []
-        for text, pieces in zip(texts, cut):
-            first = pieces[0]
-            numbers = np.fromiter(map(self.known.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
-            if len(numbers) == 0 or first.split() != [first] or (numbers < 0).any():
+        for i, text in enumerate(texts.to_pylist()):
+            first = text[: re.search("[ \n]|$", text).start()]
+            if whole[i] or at[i] == at[i + 1] or first.split() != [first]:
                 out.append(self._whole(text))
-                continue
-            begin = self.begin[numbers]
-            size = self.begin[numbers + 1] - begin
-            ends = np.cumsum(size)
-            where = np.arange(ends[-1]) + np.repeat(begin - ends + size, size)
-            out.append(np.concatenate([self._whole(first), self.ids[where]]))
+            else:
+                out.append(np.concatenate([self._whole(first), body[token[i] : token[i + 1]]]))
         return out
 
 
@@ -207,9 +224,9 @@ def _writer(path: str, end_id: int, block_tokens: int):
         for b in batches:
             schema = _block_schema(b.schema.field("doc_id").type)
             ids = b.column("doc_id").to_pylist()
-            for a in range(0, b.num_rows, 128):
-                texts = [t or "" for t in b.column("text").slice(a, 128).to_pylist()]
-                for key, tokens in zip(ids[a:], encoder.encode(texts)):
+            texts = b.column("text").fill_null("").cast(pa.large_string())
+            for a, z in slices(utf8(texts)[1]):
+                for key, tokens in zip(ids[a:z], encoder.encode(texts.slice(a, z - a))):
                     held.append(np.append(tokens, np.uint32(end_id)))
                     keys.append(key)
                     sizes.append(len(tokens) + 1)

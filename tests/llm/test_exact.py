@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def test_token_files_of_odd_rows(spark, odd, clashing, empty):
 def test_encoding_by_pieces_equals_whole_texts():
     texts = ["a b\nc", " a", "a ", "a  b", "a \n b", "a\n\nb", "\n", "", "don't 'll x's y 　z", "a\tb c", "1 22 <|endoftext|> é", "x\x1cy z"]
     encoder = token_output.Encoder(PATH)
-    assert [x.tolist() for x in encoder.encode(texts)] == [encoder._whole(t).tolist() for t in texts]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == [encoder._whole(t).tolist() for t in texts]
 
 
 @pytest.mark.parametrize("top", [1, 255, 256, 50_000, 2**24])
