@@ -6,15 +6,16 @@ finished or failed) and ``duration_ms``.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from imprint.config import AdmissionConfig, AlertConfig
+from imprint.functions.windows import admit
 from imprint.schemas import AUTOMATED_STAGES
 
 FEED_LENGTH = 50
@@ -179,19 +180,18 @@ def admit_attempts(attempts: DataFrame, config: AdmissionConfig = AdmissionConfi
     most = config.max_attempts
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current: tuple | None = None
-        held: deque = deque()
+        current, held = None, np.empty(0, np.int64)
         for batch in batches:
-            admitted = []
-            columns = [batch.column(c).to_pylist() for c in ("key", "_segment", "_us")]
-            for key, segment, us in zip(*columns):
-                if (key, segment) != current:
-                    current, held = (key, segment), deque()
-                while held and us - held[0] > window_us:
-                    held.popleft()
-                admitted.append(len(held) < most)
-                if admitted[-1]:
-                    held.append(us)
+            keys = batch.column("key")
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            segments, times = (batch.column(c).to_numpy() for c in ("_segment", "_us"))
+            changes = np.flatnonzero((np.diff(codes) != 0) | (np.diff(segments) != 0)) + 1
+            starts = [0, *changes.tolist()] if batch.num_rows else []
+            admitted = np.zeros(batch.num_rows, bool)
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                if (run := (keys[start].as_py(), segments[start])) != current:
+                    current, held = run, held[:0]
+                admitted[start:end], held = admit(times[start:end], held, most, window_us)
             kept = batch.drop_columns(["_us", "_segment"])
             yield kept.append_column("admitted", pa.array(admitted, pa.bool_()))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from imprint.config import AdmissionConfig
+from imprint.functions.windows import admit
 
 ADMISSION = T.StructType(
     [
@@ -37,20 +38,16 @@ class Admission(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = deque(row[0] for row in self._held.get()) if self._held.exists() else deque()
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame["us"] = frame["ts"].astype("datetime64[us]").astype("int64")
-        frame = frame.sort_values(["us", "id"])
-        admitted = []
-        for us in frame["us"]:
-            while held and us - held[0] > self._window_us:
-                held.popleft()
-            admitted.append(len(held) < self._most)
-            if admitted[-1]:
-                held.append(us)
-        if held:
-            self._held.put([(int(us),) for us in held])
-        yield pd.DataFrame({"key": key[0], "id": frame["id"], "admitted": admitted})
+        held = [row[0] for row in self._held.get()] if self._held.exists() else []
+        # Only two numbers of each row are gathered.
+        parts = [(r["ts"].astype("datetime64[us]").astype("int64").to_numpy(), r["id"].to_numpy()) for r in rows]
+        us, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((ids, us))
+        us, ids = us[order], ids[order]
+        admitted, last = admit(us, np.array(held, np.int64), self._most, self._window_us)
+        if len(last):
+            self._held.put([(int(t),) for t in last])
+        yield pd.DataFrame({"key": key[0], "id": ids, "admitted": admitted})
 
     def close(self) -> None:
         pass

@@ -3,11 +3,13 @@ import json
 import random
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from imprint import AdmissionConfig
 from imprint.functions import text
+from imprint.functions.windows import admit
 from imprint.operators import telemetry
 from imprint.sources.events import parse_log_lines
 
@@ -118,3 +120,19 @@ def test_log_lines(spark):
 def test_failure_class(spark, kind, message, errno, expected):
     column = text.failure_class(*(F.lit(v).cast(t) for v, t in ((kind, "string"), (message, "string"), (errno, "int"))))
     assert tuple(spark.range(1).select(column).first()[0]) == expected
+
+
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_admission_kernel_goes_on_where_it_stopped(most):
+    rng = np.random.default_rng(most)
+    times = np.sort(rng.integers(0, 400, 300))
+    held, got = times[:0], []
+    for part in np.split(times, [1, 40, 40, 200]):
+        admitted, held = admit(part, held, most, 10)
+        got += admitted.tolist()
+    want, last = [], []
+    for t in times.tolist():
+        last = [x for x in last if t - x <= 10]
+        want.append(len(last) < most)
+        last += [t] * want[-1]
+    assert got == want

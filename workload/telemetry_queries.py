@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,27 +258,28 @@ def health_report(t: Tables) -> DataFrame:
     return lines.filter(F.col("field").isin("batches", "count", "failed_count", "max_duration_ms", "started", "failed"))
 
 
-def _as_stream(rows: DataFrame, files: int) -> tuple[DataFrame, str]:
-    """The rows as a stream of files that arrive by id, and a folder for the query.
+def _arrivals(rows: DataFrame, groups: int) -> Iterator[tuple[DataFrame, str]]:
+    """The rows as a stream that grows by id, one group of files at a time, and a folder for the query.
 
-    The files are written one after the other, so that their order is certain.
+    A group is written by as many tasks as the rows have, and read as one
+    micro-batch by a query that is run to its end before the next group comes.
     """
     spark = rows.sparkSession
     root = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     source = f"{root}/source"
-    cuts = rows.approxQuantile("id", [i / files for i in range(1, files)], 0.01)
+    cuts = rows.approxQuantile("id", [i / groups for i in range(1, groups)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(F.col("id") > low)
         part = part if high is None else part.filter(F.col("id") <= high)
-        part.coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), root
+        part.write.mode("append").parquet(source)
+        yield spark.readStream.schema(rows.schema).parquet(source), root
 
 
 @query("T1 T7", _NEW_PAIRS, "hits")
 def incremental_matching(t: Tables) -> DataFrame:
-    """All prints as a stream of files, each micro-batch matched against those before it."""
-    stream, root = _as_stream(t.prints, 4)
-    matching.start_matching(stream, f"{root}/index", f"{root}/checkpoint", MATCH).awaitTermination()
+    """All prints as a growing stream, each micro-batch matched against those before it."""
+    for stream, root in _arrivals(t.prints, 4):
+        matching.start_matching(stream, f"{root}/index", f"{root}/checkpoint", MATCH).awaitTermination()
     pairs = matching.IncrementalMatcher(f"{root}/index", MATCH).pairs(t.spark)
     # Which side of a pair was the query follows from arrival, which is by id here.
     return _pair_columns(pairs)
@@ -291,22 +293,23 @@ _STATEFUL = {
 }
 
 
-def _run_stateful(stream: DataFrame, root: str, mode: str) -> DataFrame:
-    """Everything the stream emits, with the ``epoch`` it came in."""
-    spark = stream.sparkSession
+def _run_stateful(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Everything ``operator`` emits on a stream of the rows, with the ``epoch`` it came in."""
+    spark = rows.sparkSession
     before = {name: spark.conf.get(name, None) for name in _STATEFUL}
-
-    def keep(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{root}/output/epoch={epoch}")
-
     try:
         for name, value in _STATEFUL.items():
             spark.conf.set(name, value)
-        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
-        running = writer.foreachBatch(keep).trigger(availableNow=True).start()
-        if not running.awaitTermination(600):
-            running.stop()
-            raise TimeoutError("stream did not end")
+        for stream, root in _arrivals(rows, 4):
+
+            def keep(out: DataFrame, epoch: int, root: str = root) -> None:
+                out.write.mode("overwrite").parquet(f"{root}/output/epoch={epoch}")
+
+            writer = operator(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
+            running = writer.foreachBatch(keep).trigger(availableNow=True).start()
+            if not running.awaitTermination(600):
+                running.stop()
+                raise TimeoutError("stream did not end")
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
@@ -321,8 +324,7 @@ def _run_stateful(stream: DataFrame, root: str, mode: str) -> DataFrame:
 def live_stages(t: Tables) -> DataFrame:
     """Keyed state over a stream of events; the last state of each batch."""
     events = t.stage_events.withColumn("ts", F.col("ts").cast("timestamp"))
-    stream, root = _as_stream(events, 4)
-    states = _run_stateful(stages.live_stages(stream), root, "update")
+    states = _run_stateful(events, stages.live_stages, "update")
     last = states.groupBy("batch_id").agg(
         *[F.max_by(c, "epoch").alias(c) for c in ("stage", "updated_at", "started_at")]
     )
@@ -332,5 +334,4 @@ def live_stages(t: Tables) -> DataFrame:
 @query("T6", f"SELECT key::VARCHAR AS key, id, admitted FROM ({_ADMITTED})")
 def admit_stream(t: Tables) -> DataFrame:
     attempts = t.attempts.withColumn("ts", F.col("ts").cast("timestamp"))
-    stream, root = _as_stream(attempts, 4)
-    return _run_stateful(admission.admit_stream(stream, DAILY), root, "append").drop("epoch")
+    return _run_stateful(attempts, lambda stream: admission.admit_stream(stream, DAILY), "append").drop("epoch")
