@@ -29,8 +29,8 @@ from imprint.session import checkpoint_dir
 
 #: Tokens in a block, give or take its last document.
 BLOCK_TOKENS = 1 << 18
-#: Entries of a worker's table of known pieces; a full one is emptied.
-CACHE = 800_000
+#: Entries of a worker's table of known pieces; a full one keeps the half seen most often.
+CACHE = 300_000
 #: New pieces given to the tokenizer at once.
 _PIECES = 10_000
 
@@ -120,14 +120,24 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes[number] = len(token)
-        self._clear()
-
-    def _clear(self) -> None:
         #: Number of each known piece; -1: a text with it is not to be cut.
         self.known: dict[str, int] = {}
         #: Where the ids of each piece begin in ``ids``, with the end of the last.
         self.begin = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        #: How many columns had each piece.
+        self.seen = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Forget pieces seen once; of the others, keep those seen most often, half a table at most."""
+        size, keep = np.diff(self.begin), self.seen > 1
+        if keep.sum() > CACHE // 2:
+            keep[np.argsort(-self.seen, kind="stable")[CACHE // 2 :]] = False
+        number = np.append(np.where(keep, np.cumsum(keep) - 1, -1), -1)
+        self.known = {p: n for p, n in zip(self.known, number[list(self.known.values())].tolist()) if n >= 0}
+        self.ids = self.ids[np.repeat(keep, size)]
+        self.begin = np.concatenate([[0], np.cumsum(size[keep])])
+        self.seen = self.seen[keep]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -160,11 +170,12 @@ class Encoder:
             begins.append(begins[-1][-1] + last + 1)
             ids.append(found)
         self.begin, self.ids = np.concatenate(begins), np.concatenate(ids)
+        self.seen = np.append(self.seen, np.zeros(count - len(self.seen), np.int32))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a column of large strings without nulls."""
         if len(self.known) > CACHE:
-            self._clear()
+            self._forget()
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = cut.offsets.to_numpy()
         later = np.ones(offsets[-1] - offsets[0], bool)
@@ -177,6 +188,7 @@ class Encoder:
         for i in fresh:
             found[i] = self.known[pieces[i]]
         number = np.array(found, np.int64)
+        self.seen[number[number >= 0]] += 1
         numbers = number[coded.indices.to_numpy()]
         begin = self.begin[numbers]
         size = np.where(numbers < 0, 0, self.begin[numbers + 1] - begin)

@@ -135,6 +135,16 @@ def test_encoding_by_pieces_equals_whole_texts():
     assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == [encoder._whole(t).tolist() for t in texts]
 
 
+def test_a_full_table_of_pieces_forgets_and_still_encodes_alike(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 20)
+    encoder, rng = token_output.Encoder(PATH), random.Random(5)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "cat", "x　y", f"w{rng.random()}", f"\nv{rng.random()}"]) for _ in range(9)) for _ in range(4)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == [encoder._whole(t).tolist() for t in texts]
+        assert len(encoder.known) <= 20 + 4 * 9
+    assert " the" in encoder.known or "the" in encoder.known
+
+
 @pytest.mark.parametrize("top", [1, 255, 256, 50_000, 2**24])
 def test_codes_give_any_token(top):
     rng = np.random.default_rng(top)
