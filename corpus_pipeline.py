@@ -22,11 +22,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near copies.
+    """The first document of every group of near copies: similarity 0.8 or more over five-word shingles.
 
     Of rows that repeat an id one stays; a null id is an id.
     """
-    linked = materialize(ngram_join.link_similar(docs, n=3, part=90, whole=100).select("doc_id", "component_id"))
+    linked = materialize(ngram_join.link_similar(docs, n=5, part=80, whole=100).select("doc_id", "component_id"))
     gone = materialize(linked.filter("doc_id <> component_id OR (doc_id is null AND component_id is not null)").select("doc_id"))
     few = gone.count() <= SMALL_IDS
     gone = gone.select(F.col("doc_id").alias("gone_id"))

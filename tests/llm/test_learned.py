@@ -222,6 +222,35 @@ def test_pipeline_stages_by_loops(spark):
     assert sorted(map(tuple, tokens.collect())) == sorted(brute.token_rows(rows, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    """All stages from the second on, near copies being those of 0.8 or more over five words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(tuple(r) for r in docs.collect())
+    sets, root = {r[0]: brute.shingles(r[1], 5) for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a < b and x and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    want = [r for r in rows if find(r[0]) == r[0]]
+    looser = brute.groups(rows)
+    assert len(want) < sum(looser[r[0]][1] == r[0] for r in rows)
+    assert sorted(tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()) == want
+    left = corpus_pipeline.drop_benchmark_text(spark, spark.createDataFrame(want, docs.schema), FOLDER)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    dirty = {x[0] for x in brute.contamination(want, bench) if x[5]}
+    assert sorted(tuple(r) for r in left.collect()) == [r for r in want if r[0] not in dirty]
+    mixed = [tuple(r) for r in corpus_pipeline.mix_to_weights(spark, left, FOLDER).collect()]
+    assert Counter(r[0] for r in mixed) == Counter(r.doc_id for r in mixing.mix_sources(left).collect())
+    tokens = corpus_pipeline.write_token_files(spark, spark.createDataFrame(mixed, docs.schema), FOLDER)
+    assert sorted(map(tuple, tokens.collect())) == sorted(brute.token_rows(mixed, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def test_pipeline_of_odd_rows(spark, clashing, empty):
     for docs in (clashing, empty):
         for _, stage in corpus_pipeline.STAGES:
