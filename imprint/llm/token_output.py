@@ -106,7 +106,9 @@ class Encoder:
 
     The byte-level pre-tokenizer always begins a token before a single space or
     line break between two other characters, so such a text may be cut there and
-    its pieces encoded apart. Texts with other white space go to the tokenizer whole.
+    its pieces encoded apart. Texts with other white space go to the tokenizer whole,
+    and so do texts that contain an added token such as ``<|endoftext|>``, which has
+    the id that the tokenizer gives it.
     """
 
     def __init__(self, path: str):
@@ -114,7 +116,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of added tokens, which are found before a text is cut into tokens.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: May an added token reach over white space, or be found only in normalized text?
+        self.uncut = self.tokenizer.normalizer is not None or any(t.split() != [t] for t in self.added)
         vocabulary = self.tokenizer.get_vocab()
         # Byte-level tokens are spelled with one character for each byte.
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -174,9 +179,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a column of large strings without nulls."""
+        if self.uncut:
+            return [self._whole(t) for t in texts.to_pylist()]
         if len(self.known) > CACHE:
             self._forget()
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        # A text with an added token is cut as if it were empty, so it goes whole.
+        plain = texts
+        for content in self.added:
+            plain = pc.if_else(pc.match_substring(plain, content), pa.scalar("", texts.type), plain)
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
         offsets = cut.offsets.to_numpy()
         later = np.ones(offsets[-1] - offsets[0], bool)
         later[offsets[:-1] - offsets[0]] = False
@@ -270,7 +281,8 @@ def write_tokens(
 ) -> None:
     """Encode every whole text and write the ids to ``folder`` in ascending id order.
 
-    ``end_id`` ends each document. ``tokenizer_path`` must be readable on all
+    ``end_id`` ends each document. A text is encoded as the tokenizer does by default,
+    so the written form of an added token gives that token. ``tokenizer_path`` must be readable on all
     executors. Null text is empty and has the end id only. Null ids come first;
     rows that repeat an id are all written, in the order of their texts. Other
     columns are ignored. An empty table writes an empty one.

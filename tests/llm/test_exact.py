@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from imprint.llm import decontaminate, licenses, ngram_join, perplexity, secrets, suffix_dedup, token_output
 from imprint.llm.queries import QUERIES, _listed
@@ -135,6 +137,22 @@ def test_encoding_by_pieces_equals_whole_texts():
     assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == [encoder._whole(t).tolist() for t in texts]
 
 
+def test_added_tokens_get_the_ids_of_the_library(spark, make):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a b", "<|endoftext|>\n<|endoftext|> a  b", "<|endoftext| > c", "a b"]
+    plain = Tokenizer.from_file(PATH)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    encoder = token_output.Encoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(pa.array(texts, pa.large_string()))] == want
+    folder = token_output.new_folder(spark, "test")
+    token_output.write_tokens(make(list(enumerate(texts))), folder, PATH)
+    crc = [zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for ids in want]
+    assert [(r.n_tokens, r.ids_crc32) for r in token_output.read_documents(spark, folder).orderBy("doc_id").collect()] == [
+        (len(ids) + 1, c) for ids, c in zip(want, crc)
+    ]
+
+
 def test_a_full_table_of_pieces_forgets_and_still_encodes_alike(monkeypatch):
     monkeypatch.setattr(token_output, "CACHE", 20)
     encoder, rng = token_output.Encoder(PATH), random.Random(5)
