@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognisable language; those without letters go."""
+    """Documents with a recognisable language; those that op1 calls ``und`` go."""
     return language.keep_recognised(docs, train_languages(docs))
 
 

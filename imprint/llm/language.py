@@ -6,6 +6,11 @@ the labelled sample; a text is described by its kernel with each landmark, and a
 one-versus-rest ridge regression over that description scores the languages. All
 texts of a batch are scored by two matrix products: presence by landmark n-grams,
 kernel by coefficients.
+
+A text is of no learned language, ``und``, when too few of its own n-grams are
+known to the model. How few is set for each language from the sample: halfway
+between what its rows that are no landmarks reach and what their letters reach
+strewn at random.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ from imprint.llm.common import batch
 
 UNKNOWN = "und"
 _ROWS = 64
+#: Sampled rows that the floor of a language is set from; with fewer only texts without any known n-gram are rejected.
+_LEAST = 20
+#: Least distance between those rows and random letters for a floor to mean anything.
+_APART = 0.1
 
 
 def profile(text: str | None, longest: int = 3) -> np.ndarray | None:
@@ -42,6 +51,18 @@ def profile(text: str | None, longest: int = 3) -> np.ndarray | None:
     return np.concatenate(grams)
 
 
+def _strewn(profiles: list[np.ndarray], rows: int = 256) -> list[np.ndarray]:
+    """Profiles of words of random letters, each with the letters and about the length of one of ``profiles``."""
+    rng, out = np.random.default_rng(1), []
+    for grams in profiles[:: max(1, len(profiles) // rows)]:
+        letters = [chr(g) for g in grams[(grams < 1 << 21) & (grams != 32)]]
+        size = int(np.clip(np.count_nonzero(grams >= 1 << 42), 20, 2000))
+        text = np.array(letters)[rng.integers(0, len(letters), size)]
+        text[rng.random(size) < 0.15] = " "
+        out.append(profile("".join(text)))
+    return [p for p in out if p is not None]
+
+
 class KernelModel:
     """Landmark n-grams, coefficients and languages; plain arrays, sent to the tasks."""
 
@@ -65,8 +86,28 @@ class KernelModel:
         solved = np.linalg.solve(gram + ridge * np.eye(len(gram)), (features * weight[:, None]).T @ target)
         self.coefficients = (whiten @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)
+        values, found = self._values(profiles)
+        unseen = values.argmax(1) == y
+        unseen[chosen] = False  # every n-gram of a landmark is known
+        self.floor = np.zeros(len(self.languages))
+        for k in range(len(self.languages)):
+            rows = np.flatnonzero(unseen & (y == k))
+            if len(rows) >= _LEAST:
+                clean = np.quantile(found[rows], 0.001)
+                noise = np.median(self._values(_strewn([profiles[i] for i in rows]))[1])
+                self.floor[k] = (clean + noise) / 2 if clean - noise > _APART else 0
+
+    def _values(self, profiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Regression value of every text and language, and the share of each text's n-grams that is known."""
+        kernel, known = self._compare(profiles)
+        return kernel @ self.coefficients + self.bias, known
 
     def kernel(self, profiles: list[np.ndarray]) -> np.ndarray:
+        return self._compare(profiles)[0]
+
+    def _compare(self, profiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel with every landmark, and the share of n-grams, the space aside, that landmarks have."""
+        known = np.empty(len(profiles))
         out = np.empty((len(profiles), self.marks.shape[1]), np.float32)
         marks = self.marks.astype(np.float32)
         for a in range(0, len(profiles), _ROWS):
@@ -77,16 +118,18 @@ class KernelModel:
                 row[at[self.vocabulary[at] == grams]] = 1
             own = np.sqrt(np.array([len(g) for g in part], np.float32))
             out[a : a + len(part)] = (present @ marks) / (own[:, None] * self.norms)
-        return out
+            known[a : a + len(part)] = (present.sum(1) - 1) / (own * own - 1)
+        return out, known
 
     def predict(self, profiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, share of the positive evidence it holds)."""
-        f = self.kernel(profiles) @ self.coefficients + self.bias
+        """(language number, share of the positive evidence it holds); -1 and 0 when too little of the text is known."""
+        f, found = self._values(profiles)
         best = f.argmax(1)
         evidence = np.clip((f + 1) / 2, 0, 1)
         total = evidence.sum(1)
         top = evidence[np.arange(len(f)), best]
-        return best, np.where(total > 0, top / np.maximum(total, 1e-9), 0)
+        known = found > self.floor[best]
+        return np.where(known, best, -1), np.where(known & (total > 0), top / np.maximum(total, 1e-9), 0)
 
 
 def train_language_model(
@@ -142,8 +185,8 @@ def predict_language(
 ) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every text, from the text alone.
 
-    Null text and text without letters is ``und`` with score 0, and so is every
-    text when there is no model. Rows that repeat an id come back as often.
+    Null text, text without letters and text of no learned language is
+    ``und`` with score 0, and so is every text when there is no model. Rows that repeat an id come back as often.
     Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -158,7 +201,7 @@ def predict_language(
                 if found:
                     best, score = model.predict([p for _, p in found])
                     for (i, _), k, s in zip(found, best, score):
-                        names[i], scores[i] = model.languages[k], s
+                        names[i], scores[i] = model.languages[k] if k >= 0 else UNKNOWN, s
             yield batch(doc_id=ids, lang_pred=pa.array(names, pa.string()), score=scores)
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
@@ -167,8 +210,8 @@ def predict_language(
 def keep_recognised(docs: DataFrame, model: KernelModel | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns kept, whose text has a language with at least this score.
 
-    Texts that are null or without letters go; so does everything when there is
-    no model.
+    Texts that ``predict_language`` calls ``und`` go: those that are null, without
+    letters or of no learned language, and everything when there is no model.
     """
 
     def run(batches):
@@ -179,8 +222,8 @@ def keep_recognised(docs: DataFrame, model: KernelModel | None, least_score: flo
                 found = [(a + i, profile(t)) for i, t in enumerate(texts.slice(a, _ROWS).to_pylist())]
                 found = [(i, p) for i, p in found if p is not None]
                 if found:
-                    _, score = model.predict([p for _, p in found])
-                    keep[[i for i, _ in found]] = score >= least_score
+                    best, score = model.predict([p for _, p in found])
+                    keep[[i for i, _ in found]] = (best >= 0) & (score >= least_score)
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

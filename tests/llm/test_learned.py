@@ -1,6 +1,7 @@
 """Learned operators by held-out accuracy and properties; mixing and the pipeline by plain loops."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,10 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from imprint.llm import language, mixing, perplexity, toxicity
-from imprint.llm.queries import QUERIES
+from imprint.llm.queries import QUERIES, train_languages
 from tests.llm import brute
 from tests.llm.conftest import ODD
 
@@ -61,6 +63,21 @@ def test_languages_of_odd_rows(spark, odd, clashing, empty):
     assert language.keep_recognised(odd, model).count() == len(ODD) - 3
 
 
+def test_text_of_no_learned_language_is_rejected(spark, make):
+    model = train_languages(docs_of(spark))
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    noise += ["Это русский текст о погоде и о природе", "これは日本語の文章です。", "漢字 " * 50, "z" * 500]
+    docs = make(list(enumerate(noise))).select(*docs_of(spark).columns)
+    assert {(r.lang_pred, r.score) for r in language.predict_language(docs, model).collect()} == {("und", 0.0)}
+    assert language.keep_recognised(docs, model).count() == 0
+    # The stage, learning from the same rows, drops exactly those, and no document.
+    known = {r.doc_id: r.lang_pred for r in language.predict_language(docs_of(spark), model).collect()}
+    assert "und" not in known.values()
+    both = docs_of(spark).union(docs.select(F.col("doc_id") + 10**6, F.col("text"), F.lit(None).cast("string"), "source", "n_chars"))
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, both, FOLDER).collect()} == set(known)
+
+
 # toxicity
 
 
