@@ -24,6 +24,8 @@ from imprint.llm.common import batch
 
 UNKNOWN = "und"
 _ROWS = 64
+#: Labels that each may have all their rows and landmarks; with more, each has fewer.
+_LABELS = 64
 #: Sampled rows that the floor of a language is set from; with fewer only texts without any known n-gram are rejected.
 _LEAST = 20
 #: Least distance between those rows and random letters for a floor to mean anything.
@@ -136,7 +138,6 @@ def train_language_model(
     labelled: DataFrame,
     rows_per_language: int = 300,
     landmarks_per_language: int = 48,
-    max_languages: int = 64,
     ridge: float = 1e-4,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -144,20 +145,26 @@ def train_language_model(
 ) -> KernelModel | None:
     """A model of the languages of ``labelled``; None if no row has a label and letters.
 
-    Learns from at most ``rows_per_language`` rows of each of the
-    ``max_languages`` most frequent labels, taken by a hash of id and text, which
-    bounds what the driver gathers: the distinct n-grams of those rows.
+    Learns from at most ``rows_per_language`` rows of every label, taken by a hash
+    of id and text, so the driver gathers the distinct n-grams of a bounded sample
+    of each. With more than ``_LABELS`` labels each has a smaller sample and fewer
+    landmarks, at least two rows and one landmark, so that all together stay as
+    many as those of ``_LABELS``; no label is left out.
     """
     rows = labelled.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).filter("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    many = counts.count()
+    if not many:
         return None
+    if many > _LABELS:
+        rows_per_language = max(2, rows_per_language * _LABELS // many)
+        landmarks_per_language = max(1, landmarks_per_language * _LABELS // many)
     # Twice the rows wanted, by the value of a hash, then the first of those.
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 2.0 * rows_per_language / r["count"] + 0.01)])
     order = F.xxhash64("doc_id", F.lit("language"))
-    sample = rows.filter(F.pmod(order, F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    share = 2.0 * rows_per_language / F.col("rows") + 0.01
+    sample = rows.join(counts, "lang").filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
 
     def run(batches):
         for b in batches:

@@ -78,6 +78,17 @@ def test_text_of_no_learned_language_is_rejected(spark, make):
     assert {r.doc_id for r in corpus_pipeline.identify_language(spark, both, FOLDER).collect()} == set(known)
 
 
+def test_every_label_is_learned(make):
+    """Seventy labels, each with letters of its own; the last six are the rarest."""
+    letters = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(70)]
+    rows = [(1000 * k + i, " ".join(letters[k][(i + j) % 3] + letters[k][j % 2] for j in range(8)), f"l{k:02d}") for k in range(70) for i in range(6 if k < 64 else 4)]
+    docs = make(rows)
+    model = language.train_language_model(docs)
+    assert model.languages == [f"l{k:02d}" for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in language.predict_language(docs, model).collect()}
+    assert got == {d: lang for d, _, lang in rows}
+
+
 # toxicity
 
 
