@@ -4,7 +4,9 @@ The model is one of characters, order five, with modified Kneser-Ney smoothing a
 one set of counts per language. Spark counts the n-grams of all documents and
 derives lower orders, discounts and context weights by aggregation. What scoring
 needs is two numbers per n-gram, its discounted probability and the weight that
-its context leaves to the next lower order, held in arrays sorted by hash.
+its context leaves to the next lower order. A model of bounded size is held in
+arrays sorted by a 64-bit hash; a larger one stays in tables, and the texts'
+n-grams are joined to it.
 
 A document is rejected when its perplexity lies outside its language's band, which
 is set by the quartiles of all documents of that language.
@@ -17,15 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from imprint.llm.common import SOLID, Words, batch, mix, slices, utf8
 from imprint.session import materialize
 
 ORDER = 5
-#: Hash range of the model's arrays: at most 2 ** 25 entries of 8 bytes, whatever the corpus.
-SLOT_BITS = 25
+#: Entries of a model that may be sent to every task, 12 bytes each; a larger model is joined.
+SENT_ENTRIES = 1 << 24
 
 _CHAR = 12
 _MASK = (1 << _CHAR) - 1
@@ -164,19 +166,18 @@ def _count(batches):
 
 @dataclass
 class Model:
-    """Values by hash of (language, order, kind, n-gram), in arrays sorted by hash."""
+    """Values by 64-bit hash of (language, order, kind, n-gram), in arrays sorted by hash."""
 
     keys: np.ndarray
     values: np.ndarray
-    bits: int
 
     @staticmethod
-    def hash(lang: np.uint64, order: int, kind: int, gram: np.ndarray, bits: int) -> np.ndarray:
+    def hash(lang: np.uint64, order: int, kind: int, gram: np.ndarray) -> np.ndarray:
         salt = mix(np.array([lang], np.uint64) ^ np.uint64(order * 2 + kind + 1))[0]
-        return (mix(gram.astype(np.uint64) ^ salt) >> np.uint64(64 - bits)).astype(np.uint32)
+        return mix(gram.astype(np.uint64) ^ salt)
 
     def look(self, lang, order: int, kind: int, gram: np.ndarray, missing: float) -> np.ndarray:
-        key = self.hash(lang, order, kind, gram, self.bits)
+        key = self.hash(lang, order, kind, gram)
         at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
         return np.where(self.keys[at] == key, self.values[at], missing) if len(self.keys) else np.full(len(gram), missing)
 
@@ -196,38 +197,35 @@ def lang_seed(lang: str) -> np.uint64:
     return np.uint64(zlib.crc32(raw) | (zlib.adler32(raw) << 32))
 
 
-def _entries(bits: int):
-    """(slot, value) of rows (lang, ord, kind, gram, value)."""
-
-    def run(batches):
-        for b in batches:
-            langs, orders, kinds = (np.array(b.column(k).to_pylist(), object) for k in ("lang", "ord", "kind"))
-            gram, value = b.column("gram").to_numpy(), b.column("value").to_numpy()
-            slot = np.zeros(b.num_rows, np.int64)
-            group = pa.array([f"{o}/{k}/{v}" for v, o, k in zip(langs, orders, kinds)]).dictionary_encode()
-            code = group.indices.to_numpy()
-            for i, name in enumerate(group.dictionary.to_pylist()):
-                order, kind, lang = name.split("/", 2)
-                mine = code == i
-                slot[mine] = Model.hash(lang_seed(lang), int(order), int(kind), gram[mine], bits)
-            yield batch(slot=slot, value=value)
-
-    return run
-
-
-def train(docs: DataFrame, bits: int = SLOT_BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Modified Kneser-Ney model of all texts, by language (null: ``und``).
-
-    The counts are whole: every character of every document enters. Entries that
-    share one of the ``2 ** bits`` hash slots share the larger value, which bounds
-    what the driver gathers and sends to the tasks at any size of corpus.
+def _entries(batches):
+    """(key, value) of rows (lang, ord, kind, gram, value)."""
+    for b in batches:
+        langs, orders, kinds = (np.array(b.column(k).to_pylist(), object) for k in ("lang", "ord", "kind"))
+        gram, value = b.column("gram").to_numpy(), b.column("value").to_numpy()
+        keys = np.zeros(b.num_rows, np.uint64)
+        group = pa.array([f"{o}/{k}/{v}" for v, o, k in zip(langs, orders, kinds)]).dictionary_encode()
+        code = group.indices.to_numpy()
+        for i, name in enumerate(group.dictionary.to_pylist()):
+            order, kind, lang = name.split("/", 2)
+            mine = code == i
+            keys[mine] = Model.hash(lang_seed(lang), int(order), int(kind), gram[mine])
+        yield batch(key=keys.view(np.int64), value=value)
+
+
+def _levels(rows: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], int]:
+    """Tables of the model of texts (lang, text), lowest order first, and a bound on their rows.
+
+    For each order (lang, gram, context, alpha) of all n-grams and (lang, context,
+    gamma) of all contexts. The counts are whole: every character of every
+    document enters.
     """
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null")
     counts = materialize(
-        rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        rows.filter("text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    parts = []
+    levels, entries = [], 0
     for order in range(ORDER, 0, -1):
+        entries += 2 * counts.count()
         few = {
             (r["lang"], r["n"]): r["many"]
             for r in counts.filter("n <= 4").groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many")).collect()
@@ -238,8 +236,7 @@ def train(docs: DataFrame, bits: int = SLOT_BITS, id_col: str = "doc_id", text_c
             y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
             cut = [k - (k + 1) * y * b / a if a else k * 0.5 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
             table.append((lang, *(float(min(max(d, 0.05), k - 0.05)) for k, d in zip((1, 2, 3), cut))))
-        spark = docs.sparkSession
-        discounts = spark.createDataFrame(table, "lang string, d1 double, d2 double, d3 double")
+        discounts = rows.sparkSession.createDataFrame(table, "lang string, d1 double, d2 double, d3 double")
         known = (
             counts.join(F.broadcast(discounts), "lang", "left").na.fill(0.5, ["d1", "d2", "d3"])
             .withColumn("context", F.shiftright("gram", _CHAR))
@@ -247,27 +244,52 @@ def train(docs: DataFrame, bits: int = SLOT_BITS, id_col: str = "doc_id", text_c
         )
         contexts = known.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
         alpha = known.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select(
-            "lang", F.lit(order).alias("ord"), F.lit(0).alias("kind"), "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("value")
-        )
-        gamma = contexts.select(
-            "lang", F.lit(order).alias("ord"), F.lit(1).alias("kind"), F.col("context").alias("gram"), (F.col("cut") / F.col("total")).alias("value")
+            "lang", "gram", "context", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha")
         )
-        parts += [alpha, gamma]
+        levels.insert(0, (alpha, contexts.select("lang", "context", (F.col("cut") / F.col("total")).alias("gamma"))))
         if order > 1:
-            lower = F.col("gram").bitwiseAND((1 << (_CHAR * (order - 1))) - 1)
-            counts = materialize(counts.groupBy("lang", lower.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    found = (
-        every.mapInArrow(_entries(bits), "slot bigint, value double")
-        .groupBy("slot").agg(F.max("value").alias("value"))
-        .select(F.col("slot").cast("int"), F.col("value").cast("float"))
-        .toArrow()
-    )
-    keys, values = found.column("slot").to_numpy().astype(np.uint32), found.column("value").to_numpy()
+            counts = materialize(counts.groupBy("lang", _lower(order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    return levels, entries
+
+
+def _lower(order: int) -> Column:
+    """The n-gram without its first character."""
+    return F.col("gram").bitwiseAND((1 << (_CHAR * (order - 1))) - 1)
+
+
+def _gather(levels: list[tuple[DataFrame, DataFrame]]) -> Model:
+    """The model in arrays, exact but for equal 64-bit hashes."""
+    every = None
+    for order, (alpha, gamma) in enumerate(levels, 1):
+        for kind, part in enumerate((alpha.select("lang", "gram", "alpha"), gamma)):
+            named = part.toDF("lang", "gram", "value").select("lang", F.lit(order).alias("ord"), F.lit(kind).alias("kind"), "gram", "value")
+            every = named if every is None else every.union(named)
+    found = every.mapInArrow(_entries, "key bigint, value double").select("key", F.col("value").cast("float")).toArrow()
+    keys, values = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
     order = np.argsort(keys)
-    return Model(keys[order], values[order], bits)
+    return Model(keys[order], values[order])
+
+
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Modified Kneser-Ney model of all texts, by language (null: ``und``), gathered on the driver whatever its size."""
+    return _gather(_levels(_texts(docs, text_col, lang_col))[0])
+
+
+def _surprises(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(lang, gram, bits) of all n-grams of the highest order, by joins."""
+    found = None
+    for order, (alpha, gamma) in enumerate(levels, 1):
+        own = alpha.join(gamma, ["lang", "context"]).withColumn("lower", _lower(order))
+        if found is None:
+            own = own.withColumn("p", F.lit(1 / (_MASK + 1)))
+        else:
+            own = own.join(found.withColumnRenamed("gram", "lower"), ["lang", "lower"])
+        found = materialize(own.select("lang", "gram", (F.col("alpha") + F.col("gamma") * F.col("p")).alias("p")))
+    return found.select("lang", "gram", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
 
 
 class _Scorer:
@@ -315,12 +337,63 @@ def _score(shared):
     return run
 
 
+def _list(batches):
+    """Per text a row with its surface counts, and a row for each of its distinct n-grams."""
+    from pyspark import TaskContext
+
+    row, names = TaskContext.get().partitionId() << 33, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for b in batches:
+        found = surface(b.column("text"))
+        langs = [v if v is not None else "und" for v in b.column("lang").to_pylist()]
+        data, offsets = utf8(b.column("text"))
+        chars = np.zeros(b.num_rows, np.int64)
+        for lo, hi in slices(offsets):
+            g, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            chars[lo:hi] = np.diff(at)
+            parts = [np.unique(g[a:z], return_counts=True) for a, z in zip(at[:-1], at[1:])]
+            size = np.array([len(x) for x, _ in parts])
+            none = pa.nulls(int(size.sum()), pa.int64())
+            yield batch(
+                row=row + np.repeat(np.arange(lo, hi), size), doc_id=pa.nulls(len(none), b.schema.field("doc_id").type),
+                lang=pa.array(langs[lo:hi], pa.string()).take(pa.array(np.repeat(np.arange(hi - lo), size))),
+                **{k: none for k in names}, n_chars=none,
+                gram=np.concatenate([x for x, _ in parts]), times=np.concatenate([n for _, n in parts]).astype(np.int64),
+            )
+        none = pa.nulls(b.num_rows, pa.int64())
+        yield batch(
+            row=row + np.arange(b.num_rows), doc_id=b.column("doc_id"), lang=pa.array(langs, pa.string()),
+            **{k: found[k] for k in names}, n_chars=chars, gram=none, times=none,
+        )
+        row += b.num_rows
+
+
+def _scored_by_join(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """What ``_score`` gives, the model staying in tables: the distinct n-grams of each text are joined to it."""
+    kind = dict(rows.dtypes)["doc_id"]
+    listed = materialize(
+        rows.mapInArrow(
+            _list,
+            f"row bigint, doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+            "n_repeat_words bigint, n_chars bigint, gram bigint, times bigint",
+        )
+    )
+    total = (
+        listed.filter("times is not null").select("row", "lang", "gram", "times").join(_surprises(levels), ["lang", "gram"])
+        .groupBy("row").agg(F.sum(F.col("bits") * F.col("times")).alias("total"))
+    )
+    return listed.filter("times is null").drop("gram", "times").join(total, "row", "left").select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
+        F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars")).alias("bits"),
+    )
+
+
 def judge(
     docs: DataFrame,
     width: float = 4.0,
     short: float = 16.0,
     least_words: int = 10,
     most_repeated: int = 20,
+    sent_entries: int = SENT_ENTRIES,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -340,17 +413,24 @@ def judge(
     Null and empty text has no words and fails. A null language is ``und``, a
     language of its own. Rows that repeat an id are judged one by one. Other
     columns are ignored. Empty tables give empty results.
+
+    A model of at most ``sent_entries`` entries goes to every task. Beyond that the
+    distinct n-grams of each text are shuffled to its tables; the result is the same.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kind = dict(rows.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows))
-    scored = materialize(
-        rows.mapInArrow(
-            _score(shared),
-            f"doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-            "n_repeat_words bigint, n_chars bigint, bits double",
+    levels, entries = _levels(_texts(rows, "text", "lang"))
+    if entries > sent_entries:
+        scored = materialize(_scored_by_join(rows, levels))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(_gather(levels))
+        scored = materialize(
+            rows.mapInArrow(
+                _score(shared),
+                f"doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+                "n_repeat_words bigint, n_chars bigint, bits double",
+            )
         )
-    )
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     quartiles = scored.filter("NOT base_failed").groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.75], 2000).alias("q"))

@@ -169,6 +169,21 @@ def test_model_equals_plain_kneser_ney(make):
         assert np.allclose(got, [-math.log2(estimate(s[i : i + order])) for i in range(len(t))], atol=1e-3)
 
 
+def test_unseen_ngrams_find_no_entry(spark):
+    model = perplexity.train(docs_of(spark))
+    gram = np.random.default_rng(6).integers(1 << 59, 1 << 60, 1_000_000)  # their first characters are above 2047
+    assert (model.look(perplexity.lang_seed("en"), perplexity.ORDER, 0, gram, -1.0) == -1).all()
+
+
+def test_a_model_in_tables_judges_alike(spark, odd):
+    for docs in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd):
+        sent, joined = (sorted((tuple(r) for r in perplexity.judge(docs, sent_entries=n).collect()), key=repr) for n in (1 << 24, 0))
+        assert [(*x[:7], *x[10:]) for x in sent] == [(*x[:7], *x[10:]) for x in joined]
+        for x, y in zip(sent, joined):
+            assert [v is None for v in x[7:10]] == [v is None for v in y[7:10]]
+            assert np.allclose([v for v in x[7:10] if v is not None], [v for v in y[7:10] if v is not None], rtol=1e-4)
+
+
 # mixing
 
 
