@@ -29,13 +29,15 @@ ORDER = 5
 #: Entries of a model that may be sent to every task, 12 bytes each; a larger model is joined.
 SENT_ENTRIES = 1 << 24
 
-_CHAR = 12
+_CHAR = 21
 _MASK = (1 << _CHAR) - 1
+#: Characters in the lower of the two integers of an n-gram; the first ones are in the higher.
+_LOW = 3
+#: Probability of a character before any is seen.
+_BASE = 1 / 4096
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _PAD = ORDER - 1
-#: A code for the space before a text and one for what the table of codes leaves out.
-_START, _OTHER = 0, _MASK
 _COUNTERS = 1 << 21
 
 
@@ -94,17 +96,15 @@ def surface(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _codes(piece: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Twelve-bit codes of the characters of texts, each after ``_PAD`` starts, and where each text's codes begin.
+    """Code points of the characters of texts, each text after ``_PAD`` zeros, and where each text's codes begin.
 
-    Characters are lower-cased, digits are one, white space is one; those beyond
-    the first four thousand code points share one code.
+    Characters are lower-cased, digits are one, white space is one.
     """
     chars = np.frombuffer(piece.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.flatnonzero((piece & 0xC0) != 0x80)
     if len(chars) != len(starts):  # lower-casing that lengthens a text: go without it
         chars = np.frombuffer(piece.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    chars = np.minimum(chars, _OTHER).astype(np.int64)
-    chars = _FOLD[chars]
+    chars = np.where(chars < len(_FOLD), _FOLD[np.minimum(chars, len(_FOLD) - 1)], chars).astype(np.int64)
     at = np.searchsorted(starts, bounds)
     size = np.diff(at)
     out = np.zeros(len(chars) + _PAD * len(size), np.int64)
@@ -112,39 +112,56 @@ def _codes(piece: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at + _PAD * np.arange(len(at))
 
 
-_FOLD = np.arange(_OTHER + 1, dtype=np.int64)
+_FOLD = np.arange(128, dtype=np.int64)
 _FOLD[48:58] = 48
 _FOLD[[9, 10, 11, 12, 13, 0]] = 32
 
 
 def grams(piece: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, and bounds of the texts among them."""
+    """The n-gram (high, low) that ends at each character, and bounds of the texts among them."""
     codes, at = _codes(piece, bounds)
-    gram = codes[: max(0, len(codes) - _PAD)].copy()
-    for k in range(1, ORDER):
-        gram = (gram << _CHAR) | codes[k : len(codes) - _PAD + k]
+    count = max(0, len(codes) - _PAD)
+    gram = np.zeros((count, 2), np.int64)
+    for k in range(ORDER):
+        part = gram[:, int(k >= ORDER - _LOW)]
+        part <<= _CHAR
+        part |= codes[k : k + count]
     keep = np.ones(len(codes), bool)
     for k in range(_PAD):
         keep[at[:-1] + k] = False
     return gram[keep[_PAD:]], at - _PAD * np.arange(len(at))
 
 
+def _key(gram: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """64-bit hashes of n-grams."""
+    return mix(gram[:, 1].astype(np.uint64) ^ mix(gram[:, 0].astype(np.uint64) ^ salt))
+
+
+def _distinct(gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams and how often each is there; with equal hashes one may come twice."""
+    key = _key(gram, np.uint64(0))
+    order = np.argsort(key)
+    gram = gram[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]).any(1)
+    first = np.flatnonzero(new)
+    if n is None:
+        return gram[first], np.diff(np.append(first, len(gram)))
+    return gram[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _count(batches):
-    """(lang, gram, n) of all texts a task sees, added up as far as memory is bounded."""
+    """(lang, high, low, n) of all texts a task sees, added up as far as memory is bounded."""
     held: dict[str, list] = {}
 
     def settle(lang):
-        g, n = (np.concatenate(x) for x in zip(*held[lang]))
-        order = np.argsort(g, kind="stable")
-        g, n = g[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-        held[lang] = [(g[first], np.add.reduceat(n, first) if len(g) else n)]
+        held[lang] = [_distinct(*(np.concatenate(x) for x in zip(*held[lang])))]
 
     def rows(langs):
         for lang in langs:
             settle(lang)
             g, n = held.pop(lang)[0]
-            yield batch(lang=pa.repeat(pa.scalar(lang), len(g)), gram=g, n=n)
+            yield batch(lang=pa.repeat(pa.scalar(lang), len(g)), high=g[:, 0], low=g[:, 1], n=n)
 
     for b in batches:
         langs = np.array([v if v is not None else "und" for v in b.column("lang").to_pylist()], object)
@@ -152,8 +169,7 @@ def _count(batches):
             data, offsets = utf8(b.column("text").filter(pa.array(langs == lang)))
             for lo, hi in slices(offsets):
                 g, _ = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                g, n = np.unique(g, return_counts=True)
-                held.setdefault(lang, []).append((g, n))
+                held.setdefault(lang, []).append(_distinct(g))
                 if sum(len(x) for x, _ in held[lang]) > _COUNTERS:
                     settle(lang)
             if sum(len(x) for v in held.values() for x, _ in v) > 2 * _COUNTERS:
@@ -174,7 +190,7 @@ class Model:
     @staticmethod
     def hash(lang: np.uint64, order: int, kind: int, gram: np.ndarray) -> np.ndarray:
         salt = mix(np.array([lang], np.uint64) ^ np.uint64(order * 2 + kind + 1))[0]
-        return mix(gram.astype(np.uint64) ^ salt)
+        return _key(gram, salt)
 
     def look(self, lang, order: int, kind: int, gram: np.ndarray, missing: float) -> np.ndarray:
         key = self.hash(lang, order, kind, gram)
@@ -183,10 +199,11 @@ class Model:
 
     def surprise(self, lang, gram: np.ndarray) -> np.ndarray:
         """Bits of the last character of each n-gram."""
-        p = np.full(len(gram), 1 / (_MASK + 1))
+        p = np.full(len(gram), _BASE)
         for order in range(1, ORDER + 1):
-            own = gram & ((1 << (_CHAR * order)) - 1)
-            context = own >> _CHAR
+            own = gram & np.array([(1 << _CHAR * max(0, order - _LOW)) - 1, (1 << _CHAR * min(order, _LOW)) - 1])
+            high, low = own.T
+            context = np.stack([high >> _CHAR, (low >> _CHAR) | ((high & _MASK) << _CHAR * (_LOW - 1))], 1)
             p = self.look(lang, order, 0, own, 0.0) + self.look(lang, order, 1, context, 1.0) * p
         return -np.log2(np.maximum(p, 1e-12))
 
@@ -198,10 +215,10 @@ def lang_seed(lang: str) -> np.uint64:
 
 
 def _entries(batches):
-    """(key, value) of rows (lang, ord, kind, gram, value)."""
+    """(key, value) of rows (lang, ord, kind, high, low, value)."""
     for b in batches:
         langs, orders, kinds = (np.array(b.column(k).to_pylist(), object) for k in ("lang", "ord", "kind"))
-        gram, value = b.column("gram").to_numpy(), b.column("value").to_numpy()
+        gram, value = np.stack([b.column(k).to_numpy() for k in ("high", "low")], 1), b.column("value").to_numpy()
         keys = np.zeros(b.num_rows, np.uint64)
         group = pa.array([f"{o}/{k}/{v}" for v, o, k in zip(langs, orders, kinds)]).dictionary_encode()
         code = group.indices.to_numpy()
@@ -212,16 +229,20 @@ def _entries(batches):
         yield batch(key=keys.view(np.int64), value=value)
 
 
+_GRAM, _CONTEXT = ["lang", "high", "low"], ["lang", "c_high", "c_low"]
+
+
 def _levels(rows: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], int]:
     """Tables of the model of texts (lang, text), lowest order first, and a bound on their rows.
 
-    For each order (lang, gram, context, alpha) of all n-grams and (lang, context,
+    For each order (lang, high, low, c_high, c_low, alpha) of all n-grams, the
+    context being the n-gram without its last character, and (lang, c_high, c_low,
     gamma) of all contexts. The counts are whole: every character of every
     document enters.
     """
     counts = materialize(
-        rows.filter("text is not null").mapInArrow(_count, "lang string, gram bigint, n bigint")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        rows.filter("text is not null").mapInArrow(_count, "lang string, high bigint, low bigint, n bigint")
+        .groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
     )
     levels, entries = [], 0
     for order in range(ORDER, 0, -1):
@@ -239,30 +260,32 @@ def _levels(rows: DataFrame) -> tuple[list[tuple[DataFrame, DataFrame]], int]:
         discounts = rows.sparkSession.createDataFrame(table, "lang string, d1 double, d2 double, d3 double")
         known = (
             counts.join(F.broadcast(discounts), "lang", "left").na.fill(0.5, ["d1", "d2", "d3"])
-            .withColumn("context", F.shiftright("gram", _CHAR))
+            .withColumn("c_high", F.shiftright("high", _CHAR))
+            .withColumn("c_low", F.shiftright("low", _CHAR).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(_MASK), _CHAR * (_LOW - 1))))
             .withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         )
-        contexts = known.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
-        alpha = known.join(contexts.select("lang", "context", "total"), ["lang", "context"]).select(
-            "lang", "gram", "context", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha")
+        contexts = known.groupBy(*_CONTEXT).agg(F.sum("n").alias("total"), F.sum("d").alias("cut"))
+        alpha = known.join(contexts.select(*_CONTEXT, "total"), _CONTEXT).select(
+            *_GRAM, "c_high", "c_low", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha")
         )
-        levels.insert(0, (alpha, contexts.select("lang", "context", (F.col("cut") / F.col("total")).alias("gamma"))))
+        levels.insert(0, (alpha, contexts.select(*_CONTEXT, (F.col("cut") / F.col("total")).alias("gamma"))))
         if order > 1:
-            counts = materialize(counts.groupBy("lang", _lower(order).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+            counts = materialize(counts.groupBy("lang", *_lower(order)).agg(F.count(F.lit(1)).alias("n")))
     return levels, entries
 
 
-def _lower(order: int) -> Column:
+def _lower(order: int) -> list[Column]:
     """The n-gram without its first character."""
-    return F.col("gram").bitwiseAND((1 << (_CHAR * (order - 1))) - 1)
+    high, low = (1 << _CHAR * max(0, order - 1 - _LOW)) - 1, (1 << _CHAR * min(order - 1, _LOW)) - 1
+    return [F.col("high").bitwiseAND(F.lit(high).cast("bigint")).alias("high"), F.col("low").bitwiseAND(F.lit(low).cast("bigint")).alias("low")]
 
 
 def _gather(levels: list[tuple[DataFrame, DataFrame]]) -> Model:
     """The model in arrays, exact but for equal 64-bit hashes."""
     every = None
     for order, (alpha, gamma) in enumerate(levels, 1):
-        for kind, part in enumerate((alpha.select("lang", "gram", "alpha"), gamma)):
-            named = part.toDF("lang", "gram", "value").select("lang", F.lit(order).alias("ord"), F.lit(kind).alias("kind"), "gram", "value")
+        for kind, part in enumerate((alpha.select(*_GRAM, "alpha"), gamma)):
+            named = part.toDF(*_GRAM, "value").select(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), *_GRAM, "value")
             every = named if every is None else every.union(named)
     found = every.mapInArrow(_entries, "key bigint, value double").select("key", F.col("value").cast("float")).toArrow()
     keys, values = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
@@ -280,16 +303,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 def _surprises(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, bits) of all n-grams of the highest order, by joins."""
+    """(lang, high, low, bits) of all n-grams of the highest order, by joins."""
     found = None
     for order, (alpha, gamma) in enumerate(levels, 1):
-        own = alpha.join(gamma, ["lang", "context"]).withColumn("lower", _lower(order))
+        own = alpha.join(gamma, _CONTEXT)
         if found is None:
-            own = own.withColumn("p", F.lit(1 / (_MASK + 1)))
+            own = own.withColumn("p", F.lit(_BASE))
         else:
-            own = own.join(found.withColumnRenamed("gram", "lower"), ["lang", "lower"])
-        found = materialize(own.select("lang", "gram", (F.col("alpha") + F.col("gamma") * F.col("p")).alias("p")))
-    return found.select("lang", "gram", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
+            l_high, l_low = _lower(order)
+            own = own.withColumns({"l_high": l_high, "l_low": l_low}).join(
+                found.toDF("lang", "l_high", "l_low", "p"), ["lang", "l_high", "l_low"]
+            )
+        found = materialize(own.select(*_GRAM, (F.col("alpha") + F.col("gamma") * F.col("p")).alias("p")))
+    return found.select(*_GRAM, (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
 
 
 class _Scorer:
@@ -302,13 +328,13 @@ class _Scorer:
 
     def score(self, lang: str, gram: np.ndarray) -> np.ndarray:
         seed = lang_seed(lang)
-        key = mix(gram.astype(np.uint64) ^ mix(np.array([seed]))[0]) | np.uint64(1)
+        key = _key(gram, mix(np.array([seed]))[0]) | np.uint64(1)
         slot = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.bitsof[slot]
         miss = np.flatnonzero(self.keys[slot] != key)
         if len(miss):
-            fresh, where = np.unique(gram[miss], return_inverse=True)
-            value = self.model.surprise(seed, fresh).astype(np.float32)[where]
+            _, fresh, where = np.unique(key[miss], return_index=True, return_inverse=True)
+            value = self.model.surprise(seed, gram[miss[fresh]]).astype(np.float32)[where]
             out[miss] = value
             self.keys[slot[miss]], self.bitsof[slot[miss]] = key[miss], value
         return out
@@ -350,19 +376,19 @@ def _list(batches):
         for lo, hi in slices(offsets):
             g, at = grams(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             chars[lo:hi] = np.diff(at)
-            parts = [np.unique(g[a:z], return_counts=True) for a, z in zip(at[:-1], at[1:])]
+            parts = [_distinct(g[a:z]) for a, z in zip(at[:-1], at[1:])]
             size = np.array([len(x) for x, _ in parts])
             none = pa.nulls(int(size.sum()), pa.int64())
             yield batch(
                 row=row + np.repeat(np.arange(lo, hi), size), doc_id=pa.nulls(len(none), b.schema.field("doc_id").type),
                 lang=pa.array(langs[lo:hi], pa.string()).take(pa.array(np.repeat(np.arange(hi - lo), size))),
                 **{k: none for k in names}, n_chars=none,
-                gram=np.concatenate([x for x, _ in parts]), times=np.concatenate([n for _, n in parts]).astype(np.int64),
+                high=np.concatenate([x[:, 0] for x, _ in parts]), low=np.concatenate([x[:, 1] for x, _ in parts]), times=np.concatenate([n for _, n in parts]).astype(np.int64),
             )
         none = pa.nulls(b.num_rows, pa.int64())
         yield batch(
             row=row + np.arange(b.num_rows), doc_id=b.column("doc_id"), lang=pa.array(langs, pa.string()),
-            **{k: found[k] for k in names}, n_chars=chars, gram=none, times=none,
+            **{k: found[k] for k in names}, n_chars=chars, high=none, low=none, times=none,
         )
         row += b.num_rows
 
@@ -374,14 +400,14 @@ def _scored_by_join(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]])
         rows.mapInArrow(
             _list,
             f"row bigint, doc_id {kind}, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-            "n_repeat_words bigint, n_chars bigint, gram bigint, times bigint",
+            "n_repeat_words bigint, n_chars bigint, high bigint, low bigint, times bigint",
         )
     )
     total = (
-        listed.filter("times is not null").select("row", "lang", "gram", "times").join(_surprises(levels), ["lang", "gram"])
+        listed.filter("times is not null").select("row", *_GRAM, "times").join(_surprises(levels), _GRAM)
         .groupBy("row").agg(F.sum(F.col("bits") * F.col("times")).alias("total"))
     )
-    return listed.filter("times is null").drop("gram", "times").join(total, "row", "left").select(
+    return listed.filter("times is null").drop("high", "low", "times").join(total, "row", "left").select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
         F.when(F.col("n_chars") > 0, F.col("total") / F.col("n_chars")).alias("bits"),
     )

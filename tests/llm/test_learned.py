@@ -171,7 +171,7 @@ def test_model_equals_plain_kneser_ney(make):
 
 def test_unseen_ngrams_find_no_entry(spark):
     model = perplexity.train(docs_of(spark))
-    gram = np.random.default_rng(6).integers(1 << 59, 1 << 60, 1_000_000)  # their first characters are above 2047
+    gram = np.random.default_rng(6).integers(1 << 59, 1 << 60, (1_000_000, 2))  # far from any text's
     assert (model.look(perplexity.lang_seed("en"), perplexity.ORDER, 0, gram, -1.0) == -1).all()
 
 
@@ -184,6 +184,24 @@ def test_a_model_in_tables_judges_alike(spark, odd):
             assert np.allclose([v for v in x[7:10] if v is not None], [v for v in y[7:10] if v is not None], rtol=1e-4)
 
 
+def test_characters_of_all_scripts_are_told_apart(make):
+    rng = random.Random(8)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(3)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(80)]
+    mixed = list(texts[0].replace(" ", ""))
+    rng.shuffle(mixed)
+    shuffled = " ".join("".join(mixed[i : i + 3]) for i in range(0, len(mixed), 3))
+    model = perplexity.train(make([(i, t, "zh") for i, t in enumerate(texts)]))
+
+    def bits(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return model.surprise(perplexity.lang_seed("zh"), perplexity.grams(data, np.array([0, len(data)]))[0]).mean()
+
+    assert bits(shuffled) > 2 * max(map(bits, texts))
+    emoji, other = (perplexity.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in ("\U0001f600", "\U0001f601"))
+    assert (emoji != other).any()
+
+
 # mixing
 
 
