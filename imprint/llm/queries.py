@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imprint.llm import decontaminate, language, licenses, mixing, ngram_join, perplexity, secrets, suffix_dedup, token_output, toxicity
+from imprint.llm import (
+    chat, decontaminate, infill, language, licenses, mixing, ngram_join, perplexity, secrets, spelling, suffix_dedup, token_output, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +161,103 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.judge(table(spark, folder, "documents"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, folder, "documents")))
+
+
+_UNIT_SQL = "[A-Za-z]+|[^A-Za-z]"
+
+_INFILL_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT_SQL}') AS u, sha256('1:' || doc_id) AS s FROM documents
+), h AS MATERIALIZED (
+  SELECT doc_id, t, u, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+    CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d
+), p AS MATERIALIZED (
+  SELECT doc_id, t, n, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+    array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+    array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query(_INFILL_SQL)
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, folder, "documents"), seed=1)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+#: What the conversation with id -1 says, in both of its turns.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+_CHAT_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
+), s AS (
+  SELECT *, coalesce(role, '') AS r, regexp_replace(text, '{chat.control_pattern(chat.INSTRUCT)}', '\1\2\\\3', 'g') AS e,
+    coalesce(last_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END IGNORE NULLS) OVER (
+      PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS state
+  FROM c
+), f AS (
+  SELECT *, CASE WHEN role = 'system' AND state = 'start' THEN '<<SYS>>' || chr(10) || e || chr(10) || '<</SYS>>' || chr(10)
+    WHEN role = 'user' AND state <> 'user' THEN '<s>[INST] ' || e || ' [/INST]'
+    WHEN role = 'assistant' AND state = 'user' THEN ' ' || e || '</s>'
+    ELSE '[ROLE]' || regexp_replace(r, '{chat.control_pattern(chat.INSTRUCT)}', '\1\2\\\3', 'g') || '[/ROLE] ' || e || '</s>' END AS turn_text
+  FROM s
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(r || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(turn_text)) AS BIGINT) AS formatted_chars,
+  CAST(count(*) FILTER (starts_with(turn_text, '[ROLE]')) AS BIGINT) AS n_irregular
+FROM f GROUP BY conv_id
+"""
+
+
+def read_conversations(chunks: DataFrame) -> DataFrame:
+    """Digests of formatted conversations, from their chunks.
+
+    The digest of a conversation is one over all of its text, so the chunks of a
+    long one meet in the end; all others are whole already and stay where they are.
+    """
+    text, loss = chat.formatted(F.col("segments")), chat.learned(F.col("segments"))
+    read = chunks.select("conv_id", "chunk", "alone", "n_irregular", text.alias("text"), loss.alias("loss"))
+    read = read.withColumn("turns", chat.read_turns(F.col("text"))).select(
+        "conv_id", "chunk", "alone", "n_irregular", "loss", F.size("turns").cast("bigint").alias("n_turns"),
+        F.length("text").cast("bigint").alias("formatted_chars"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
+    )
+    columns = ["conv_id", "n_turns", "said", "loss", "formatted_chars", "n_irregular"]
+    joined = read.filter("NOT alone").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "said", "loss"))).alias("parts"),
+        *[F.sum(c).alias(c) for c in ("n_turns", "formatted_chars", "n_irregular")],
+    )
+    joined = joined.withColumns({c: F.array_join(F.col(f"parts.{c}"), "") for c in ("said", "loss")})
+    return read.filter("alone").select(columns).union(joined.select(columns)).select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_irregular",
+    )
+
+
+@query(_CHAT_SQL)
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return read_conversations(chat.format_chunks(turns.union(more)))

@@ -132,3 +132,94 @@ def base_secrets(text):
     counts = [sum(k == kind for k, _ in spans) for kind in rank]
     joined = ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in spans)
     return (*counts, hashlib.sha256(joined.encode()).hexdigest(), joined)
+
+
+def counted_words(rows):
+    """word -> occurrences, of at least five letters and three occurrences."""
+    out = Counter()
+    for d, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            if len(run) >= 5:
+                out[run] += 1
+    return {w: n for w, n in out.items() if n >= 3}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def variants(words):
+    """(word, form, root, n, n_near, form_n) by comparing words that share what is left without a letter."""
+    holes = {}
+    for w in words:
+        for k in range(len(w)):
+            holes.setdefault(w[:k] + w[k + 1 :], set()).add(w)
+    near = {w: set() for w in words}
+    for key, group in holes.items():
+        for w in group:
+            near[w] |= {x for x in group if one_edit(w, x)}
+            if key in near and one_edit(w, key):
+                near[w].add(key)
+                near[key].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * words[w] else None
+    out = []
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, words[w], len(near[w]), words.get(form[w])))
+    return out
+
+
+def infilled(doc_id, text, seed=1):
+    """(n, form, prefix, middle, suffix, output)."""
+    text = text or ""
+    tokens = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(tokens) + 1) for x in h[:2])
+    p, m, s = ("".join(x) for x in (tokens[:a], tokens[a:b], tokens[b:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(tokens), "plain", None, None, None, text
+    if h[3] % 100 < 20:
+        return len(tokens), "spm", p, m, s, f"<S>{s}<P>{p}<M>{m}"
+    return len(tokens), "psm", p, m, s, f"<P>{p}<S>{s}<M>{m}"
+
+
+def chat_turns(rows):
+    """conv_id -> [(role, text)] in order, of (conv_id, turn, role, text) rows."""
+    out = {}
+    lead = lambda x: (x is not None, x if x is not None else 0)
+    for c, _, role, text in sorted(rows, key=lambda r: (lead(r[0]), lead(r[1]), (r[2] is not None, r[2] or ""), r[3] or "")):
+        out.setdefault(c, []).append((role, text or ""))
+    return out
+
+
+def chat_text(turns, learned=("assistant",)):
+    """(formatted text, irregular turns, state at the end) by a plain walk; texts must hold no control string."""
+    state, out, odd = "start", [], 0
+    for role, text in turns:
+        if role == "system" and state == "start":
+            out.append(f"<<SYS>>\n{text}\n<</SYS>>\n")
+        elif role == "user" and state != "user":
+            out.append(f"<s>[INST] {text} [/INST]")
+        elif role == "assistant" and state == "user":
+            out.append(f" {text}</s>")
+        else:
+            odd += 1
+            out.append(f"[ROLE]{role or ''}[/ROLE] {text}</s>")
+        state = role if role in ("system", "user", "assistant") else state
+    return "".join(out), odd, state
