@@ -7,10 +7,10 @@ one-versus-rest ridge regression over that description scores the languages. All
 texts of a batch are scored by two matrix products: presence by landmark n-grams,
 kernel by coefficients.
 
-A text is of no learned language, ``und``, when too few of its own n-grams are
-known to the model. How few is set for each language from the sample: halfway
-between what its rows that are no landmarks reach and what their letters reach
-strewn at random.
+Every text with a letter gets the best learned language. A text is not recognised
+as of that language when too few of its own n-grams are known to the model. How few
+is set for each language from the sample: halfway between what its rows that are no
+landmarks reach and what their letters reach strewn at random.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ UNKNOWN = "und"
 _ROWS = 64
 #: Labels that each may have all their rows and landmarks; with more, each has fewer.
 _LABELS = 64
+#: Labels that may be sent to every task with their counts.
+SENT_LABELS = 100_000
 #: Sampled rows that the floor of a language is set from; with fewer only texts without any known n-gram are rejected.
 _LEAST = 20
 #: Least distance between those rows and random letters for a floor to mean anything.
@@ -123,15 +125,24 @@ class KernelModel:
             known[a : a + len(part)] = (present.sum(1) - 1) / (own * own - 1)
         return out, known
 
-    def predict(self, profiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, share of the positive evidence it holds); -1 and 0 when too little of the text is known."""
+    def predict(self, profiles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, share of the positive evidence it holds, whether enough of the text is known).
+
+        Of languages with equal values the first in name order is taken.
+        """
         f, found = self._values(profiles)
         best = f.argmax(1)
         evidence = np.clip((f + 1) / 2, 0, 1)
-        total = evidence.sum(1)
         top = evidence[np.arange(len(f)), best]
-        known = found > self.floor[best]
-        return np.where(known, best, -1), np.where(known & (total > 0), top / np.maximum(total, 1e-9), 0)
+        return best, top / np.maximum(evidence.sum(1), 1e-9), found > self.floor[best]
+
+    def predict_texts(self, texts: list[str | None]):
+        """(place, language number, score, recognised) of the texts that have a letter."""
+        for a in range(0, len(texts), _ROWS):
+            found = [(a + i, profile(t)) for i, t in enumerate(texts[a : a + _ROWS])]
+            found = [(i, p) for i, p in found if p is not None]
+            if found:
+                yield from zip([i for i, _ in found], *self.predict([p for _, p in found]))
 
 
 def train_language_model(
@@ -146,7 +157,7 @@ def train_language_model(
     """A model of the languages of ``labelled``; None if no row has a label and letters.
 
     Learns from at most ``rows_per_language`` rows of every label, taken by a hash
-    of id and text, so the driver gathers the distinct n-grams of a bounded sample
+    of id and text (equal rows are taken or left together), so the driver gathers the distinct n-grams of a bounded sample
     of each. With more than ``_LABELS`` labels each has a smaller sample and fewer
     landmarks, at least two rows and one landmark, so that all together stay as
     many as those of ``_LABELS``; no label is left out.
@@ -162,9 +173,11 @@ def train_language_model(
         rows_per_language = max(2, rows_per_language * _LABELS // many)
         landmarks_per_language = max(1, landmarks_per_language * _LABELS // many)
     # Twice the rows wanted, by the value of a hash, then the first of those.
-    order = F.xxhash64("doc_id", F.lit("language"))
+    order = F.xxhash64("doc_id", "text", F.lit("language"))
     share = 2.0 * rows_per_language / F.col("rows") + 0.01
-    sample = rows.join(counts, "lang").filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
+    # The texts stay where they are as long as the labels are few enough to be sent to them.
+    joined = rows.join(F.broadcast(counts) if many <= SENT_LABELS else counts, "lang")
+    sample = joined.filter(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
 
     def run(batches):
         for b in batches:
@@ -190,47 +203,40 @@ def train_language_model(
 def predict_language(
     docs: DataFrame, model: KernelModel | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of every text, from the text alone.
+    """doc_id, lang_pred, score (0 to 1) and recognised of every text, from the text alone.
 
-    Null text, text without letters and text of no learned language is
-    ``und`` with score 0, and so is every text when there is no model. Rows that repeat an id come back as often.
-    Other columns are ignored.
+    Null text and text without letters is ``und`` with score 0 and not recognised,
+    and so is every text when there is no model. Any other text has the best learned
+    language; ``recognised`` is false if too little of it is known for that language.
+    Rows that repeat an id come back as often. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
-            names, scores = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
-            ids, texts = b.column("doc_id"), b.column("text")
-            for a in range(0, b.num_rows if model else 0, _ROWS):
-                found = [(a + i, profile(t)) for i, t in enumerate(texts.slice(a, _ROWS).to_pylist())]
-                found = [(i, p) for i, p in found if p is not None]
-                if found:
-                    best, score = model.predict([p for _, p in found])
-                    for (i, _), k, s in zip(found, best, score):
-                        names[i], scores[i] = model.languages[k] if k >= 0 else UNKNOWN, s
-            yield batch(doc_id=ids, lang_pred=pa.array(names, pa.string()), score=scores)
+            names, scores, known = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            if model:
+                for i, k, score, recognised in model.predict_texts(b.column("text").to_pylist()):
+                    names[i], scores[i], known[i] = model.languages[k], score, recognised
+            yield batch(doc_id=b.column("doc_id"), lang_pred=pa.array(names, pa.string()), score=scores, recognised=pa.array(known))
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, recognised boolean")
 
 
 def keep_recognised(docs: DataFrame, model: KernelModel | None, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns kept, whose text has a language with at least this score.
+    """Rows of ``docs``, all columns kept, whose text is recognised with at least this score.
 
-    Texts that ``predict_language`` calls ``und`` go: those that are null, without
-    letters or of no learned language, and everything when there is no model.
+    Texts go that are null, without letters or of no learned language, and
+    everything goes when there is no model.
     """
 
     def run(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            texts = b.column(b.schema.get_field_index(text_col))
-            for a in range(0, b.num_rows if model else 0, _ROWS):
-                found = [(a + i, profile(t)) for i, t in enumerate(texts.slice(a, _ROWS).to_pylist())]
-                found = [(i, p) for i, p in found if p is not None]
-                if found:
-                    best, score = model.predict([p for _, p in found])
-                    keep[[i for i, _ in found]] = (best >= 0) & (score >= least_score)
+            if model:
+                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                for i, _, score, recognised in model.predict_texts(texts):
+                    keep[i] = recognised and score >= least_score
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,22 +1,21 @@
 """Join of texts by the Jaccard similarity of their word n-grams, over prefix trees.
 
-Every text is the set of the 64-bit hashes of its n-grams, ordered by hash, which
-is the same order everywhere. The join has two halves:
-
-* Candidates. Two sets that are similar enough differ in at most ``d`` n-grams, so
-  of ``d + 1`` consecutive ranges of the hash order at least one holds the same
-  n-grams in both. A text is listed under the content of each range, which is one
-  labelled edge of its path in the tree of ordered sets. A passage that many
-  texts share does not bring them together, because a range must agree wholly.
+Every text is the set of the 64-bit hashes of its n-grams, in one global order: by
+hash, but n-grams that many texts have come last. The join has two halves:
+
+* Candidates. Of a set of n n-grams with t n in common with any match, the first
+  n - t n + 1 hold one that the match has among its own first ones. So sets meet at
+  the first edges of their paths in the tree of ordered sets. N-grams that many texts
+  share are late in the order, so a common passage brings texts together only if
+  little else is in them.
 * Verification. The sets that a query set is to be compared with are stored in a
-  tree along the global order. A traversal carries the overlap so far into all
-  sets below a node and leaves a subtree when what remains cannot reach the bound.
-
-Candidates are first compared with one leader per range only, the text that shares
-most ranges. After that most of
-a group of copies is one component, and only pairs that are still in different
-components are compared; so a group costs its size, not its square, and no link
-that could join two components is left out.
+  tree along the order. A traversal carries the overlap so far into all sets below a
+  node and leaves a subtree when what remains cannot reach the bound.
+
+Candidates are first compared with one leader per first edge only, the text that
+shares most of them. After that most of a group of copies is one component, and only
+pairs that are still in different components are compared; so a group costs its size,
+not its square, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -34,6 +33,11 @@ SMALL_IDS = 1_000_000
 #: Members compared in one tree.
 BLOCK = 128
 
+#: Texts with an n-gram among their first ones beyond which it counts as common and comes last.
+COMMON = 50
+#: Common n-grams that may be sent to every task, 8 bytes each; beyond, only the more common ones are.
+MOST_COMMON = 1_000_000
+
 _STEP = 64
 #: Words of a parity sketch, 1024 bits.
 _SKETCH = 16
@@ -56,21 +60,10 @@ class Threshold:
         """Least intersection of matching sets of these sizes."""
         return -(-self.part * (a + b) // (self.part + self.whole))
 
-    def difference(self, both: int) -> int:
-        """Most n-grams that are in only one of two matching sets of ``both`` n-grams together."""
-        return (self.whole - self.part) * both // (self.whole + self.part)
-
-    def classes(self, n: int) -> list[tuple[int, int, int]]:
-        """Size classes as (least size, largest size, ranges), up to size ``n``.
-
-        A set and its largest match are in the same class or in neighbouring ones.
-        """
-        out, least = [], 1
-        while least <= n:
-            most = self.largest(least)
-            out.append((least, most, self.difference(most + self.largest(most)) + 1))
-            least = most + 1
-        return out
+    def first(self, n: int) -> int:
+        """How many n-grams of a set of ``n`` hold one that a match has among its own; 0 if only an equal set matches."""
+        alone = self.largest(n) == n and n * self.part > (n - 1) * self.whole and self.overlap(n, n) == n
+        return 0 if alone else n - -(-self.part * n // self.whole) + 1
 
 
 def ngram_sets(words, n: int):
@@ -90,43 +83,60 @@ def ngram_sets(words, n: int):
             yield np.empty(0, np.uint64)
 
 
-def _range_keys(values: np.ndarray, classes: list[tuple[int, int, int]], steps: np.ndarray) -> np.ndarray:
-    """Keys of a set in its size class and in the one below."""
-    own = int(np.searchsorted(steps, len(values), "right")) - 1
-    mixed = mix(values)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mixed, out=total[1:])
-    high = values >> np.uint64(32)
-    keys = []
-    for c in range(max(0, own - 1), own + 1):
-        ranges = classes[c][2]
-        if ranges == 1:  # only equal sets match, and those are one already
-            continue
-        cuts = np.searchsorted((high * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1))
-        content = total[cuts[1:]] - total[cuts[:-1]] + np.diff(cuts).astype(np.uint64)
-        keys.append(mix(content ^ mix((np.arange(ranges) + (c << 32)).astype(np.uint64))))
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
-
-
-def _describe(n: int, limit: Threshold):
+def _first_ones(values: np.ndarray, limit: Threshold, common: np.ndarray) -> np.ndarray:
+    """The first n-grams of a set by which it meets its matches."""
+    n = limit.first(len(values)) if len(values) else 0
+    if n and len(common):
+        late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+        early = values[~late]
+        return early[:n] if len(early) >= n else np.concatenate([early, values[late][: n - len(early)]])
+    return values[:n]
+
+
+def _list_first(n: int, limit: Threshold):
+    """All first n-grams of all texts, were none common."""
+
+    def run(batches):
+        none = np.empty(0, np.uint64)
+        for b in batches:
+            for _, _, words in word_slices(b.column("text"), SOLID, lower=True):
+                found = [_first_ones(v, limit, none) for v in ngram_sets(words, n)]
+                yield batch(key=np.concatenate(found or [none]).view(np.int64))
+
+    return run
+
+
+def common_ngrams(texts: DataFrame, n: int, limit: Threshold, least: int = COMMON, most: int = MOST_COMMON) -> np.ndarray:
+    """N-grams that more than ``least`` rows have among their first ones, sorted; ``least`` rises so that they are ``most`` at most.
+
+    Any choice gives the same links, as long as it is the same for all texts.
+    """
+    counts = materialize(
+        texts.select("text").mapInArrow(_list_first(n, limit), "key bigint")
+        .groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > least)
+    )
+    while counts.count() > most:
+        least *= 2
+        counts = counts.filter(F.col("rows") > least)
+    found = np.array([r.key for r in counts.select("key").collect()], np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def _describe(n: int, limit: Threshold, common: np.ndarray):
     def run(batches):
-        classes = limit.classes(1024)
-        steps = np.array([c[0] for c in classes])
         for b in batches:
             sizes, digests, sketches, keys = [], [], [], []
             for _, _, words in word_slices(b.column("text"), SOLID, lower=True):
                 for values in ngram_sets(words, n):
-                    if len(values) > classes[-1][1]:
-                        classes = limit.classes(2 * len(values))
-                        steps = np.array([c[0] for c in classes])
                     sizes.append(len(values))
                     digests.append(mix(np.array([np.sum(mix(values), dtype=np.uint64) + np.uint64(len(values))]))[0])
                     parity = np.bincount((values & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
                     sketches.append(np.packbits(parity.astype(bool)).view(np.int64))
-                    keys.append(_range_keys(values, classes, steps).view(np.int64) if len(values) else np.empty(0, np.int64))
+                    keys.append(_first_ones(values, limit, common).view(np.int64))
             s = np.array(sketches, np.int64).reshape(-1, _SKETCH)
             yield batch(
                 doc_id=b.column("doc_id"),
+                digest=b.column("digest"),
                 n_shingles=np.array(sizes, np.int64),
                 node=np.array(digests, np.uint64).view(np.int64),
                 **{c: s[:, i].copy() for i, c in enumerate(_SKETCH_COLUMNS)},
@@ -246,11 +256,13 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, limit:
         F.col("query").alias("node"),
     )
     wanted = materialize(
-        pairs.select("node").union(blocks.select("query")).distinct().join(nodes.select("node", "rep"), "node")
+        pairs.select("node").union(blocks.select("query")).distinct().join(nodes.select("node", "rep", "rep_digest"), "node")
     )
     few = wanted.count() <= small
+    # A text is fetched by id and digest: ids may be null, or on several texts.
+    named = texts.doc_id.eqNullSafe(wanted.rep) & (texts.digest == wanted.rep_digest)
     sets = (
-        texts.join(F.broadcast(wanted) if few else wanted, texts.doc_id == wanted.rep)
+        texts.join(F.broadcast(wanted) if few else wanted, named)
         .select("node", "text")
         .mapInArrow(_ordered_sets(n), "node bigint, grams binary")
         .groupBy("node").agg(F.first("grams").alias("grams"))
@@ -263,38 +275,26 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, limit:
     )
 
 
-def link_similar(
-    docs: DataFrame,
-    n: int = 3,
-    part: int = 90,
-    whole: int = 100,
-    small_ids: int = SMALL_IDS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """Texts grouped by links of similarity ``part / whole`` or more: doc_id, n_shingles, component_id.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
 
-    Words lie between ASCII white space, A-Z lower-cased. A text's set has its
-    distinct ``n``-word shingles; with fewer words it has the whole sequence as
-    one. ``component_id`` is the smallest id reachable over links.
 
-    Null text, empty text and text without words have an empty set and stand
-    alone. Texts with equal sets are folded by a 64-bit digest and never paired.
-    Rows with the same id and text each come back, with equal values. A null id
-    never is a component id unless all ids of the component are null. An id is
-    expected to name one text. Other columns are ignored.
+def link_texts(docs: DataFrame, n: int, part: int, whole: int, small_ids: int = SMALL_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, digest (of the text), n_shingles, group of every row; ``group`` is null where the set is empty.
 
-    The range keys of all texts are shuffled twice; leaders, pairs and sets of
-    candidates grow with the number of near copies only. Beyond ``small_ids``
+    The first n-grams of all texts are shuffled three times; leaders, pairs and sets
+    of candidates grow with the number of near copies only. Beyond ``small_ids``
     candidates the texts are shuffled to them.
     """
     limit = Threshold(part, whole)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = _texts(docs, id_col, text_col)
     kind = dict(texts.dtypes)["doc_id"]
+    common = common_ngrams(texts, n, limit)
     sets = materialize(
-        texts.mapInArrow(
-            _describe(n, limit),
-            f"doc_id {kind}, n_shingles bigint, node bigint, {', '.join(f'{c} bigint' for c in _SKETCH_COLUMNS)}, keys array<bigint>",
+        texts.select("doc_id", "digest", "text").mapInArrow(
+            _describe(n, limit, common),
+            f"doc_id {kind}, digest bigint, n_shingles bigint, node bigint, {', '.join(f'{c} bigint' for c in _SKETCH_COLUMNS)}, keys array<bigint>",
         )
     )
     full = sets.filter("n_shingles > 0")
@@ -303,13 +303,14 @@ def link_similar(
         keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     )
     members = materialize(keys.join(shared, "key").select("key", "node").distinct())
-    # A text that shares most of its ranges has few edits of its own, so it leads best.
-    central = members.groupBy("node").agg(F.count(F.lit(1)).alias("ranges"))
-    leads = members.join(central, "node").groupBy("key").agg(F.max(F.struct("ranges", "node"))["node"].alias("query"))
+    # A text that shares most of its first n-grams has few edits of its own, so it leads best.
+    central = members.groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
+    leads = members.join(central, "node").groupBy("key").agg(F.max(F.struct("edges", "node"))["node"].alias("query"))
     candidates = members.join(leads, "key").filter("node <> query").select("query", "node").distinct()
     involved = materialize(
         full.join(members.select("node").distinct(), "node", "left_semi")
-        .groupBy("node", "n_shingles", *_SKETCH_COLUMNS).agg(F.min("doc_id").alias("rep"))
+        .groupBy("node", "n_shingles", *_SKETCH_COLUMNS)
+        .agg(F.min_by("doc_id", "digest").alias("rep"), F.min("digest").alias("rep_digest"))
     )
     traits = involved.select("node", "n_shingles", *_SKETCH_COLUMNS)
     x, y = traits.alias("x"), traits.alias("y")
@@ -332,16 +333,66 @@ def link_similar(
         .join(led.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")), ["query", "node"], "left_anti")
     )
     if not rest.isEmpty():
-        links = links.union(_linked(rest, involved, texts, n, limit, small_ids))
-        first = components(links)
-    named = first.join(involved.select("node", "rep"), "node")
-    roots = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    alone = full.groupBy("node").agg(F.min("doc_id").alias("own"))
-    ids = alone.join(first, "node", "left").join(roots, "root", "left").select(
-        "node", F.coalesce("component_id", "own").alias("component_id")
-    )
-    return (
-        sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-        .join(ids, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        first = components(links.union(_linked(rest, involved, texts, n, limit, small_ids)))
+    named = sets.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    return named.join(first, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("root", "node").alias("group"))
+
+
+def link_similar(
+    docs: DataFrame,
+    n: int = 3,
+    part: int = 90,
+    whole: int = 100,
+    small_ids: int = SMALL_IDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Texts grouped by links of similarity ``part / whole`` or more: doc_id, n_shingles, component_id.
+
+    Words lie between ASCII white space, A-Z lower-cased. A text's set has its
+    distinct ``n``-word shingles; with fewer words it has the whole sequence as
+    one. ``component_id`` is the smallest id reachable over links.
+
+    Null text, empty text and text without words have an empty set and stand
+    alone. Texts with equal sets are folded by a 64-bit digest and never paired.
+    Every row comes back; rows with the same id and text have equal values. A null
+    id never is a component id unless all ids of the component are null. Texts that
+    share an id, or have none, are linked each by its own. Other columns are ignored.
+    """
+    linked = materialize(link_texts(docs, n, part, whole, small_ids, id_col, text_col))
+    least = linked.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return linked.join(least, "group", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_first(
+    docs: DataFrame, n: int, part: int, whole: int, small_ids: int = SMALL_IDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of every group of similar texts, all columns kept: that of the smallest id.
+
+    Null ids come last; of texts with the same id the one with the least digest
+    stays, of rows with the same id and text any one. Texts without words are no
+    copies of each other, but rows with the same id and text are.
+    """
+    linked = materialize(link_texts(docs, n, part, whole, small_ids, id_col, text_col))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    stays = linked.filter("group is not null").groupBy("group").agg(F.min(place).alias("kept"))
+    away = ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest")))
+    gone = linked.join(stays, "group").filter(away).select("doc_id", "digest", F.lit(True).alias("copy"))
+    again = linked.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id", "digest", F.lit(False).alias("copy"))
+    marked = materialize(gone.union(again).groupBy("doc_id", "digest").agg(F.max("copy").alias("copy")))
+    size = marked.count()
+    if not size:
+        return docs
+    taken = {c.lower() for c in docs.columns}
+    own = [next(x for x in (f"{c}{'_' * k}" for k in range(99)) if x not in taken) for c in ("digest", "mark_id", "mark_digest", "copy")]
+    marked = marked.toDF(own[1], own[2], own[3])
+    rows = docs.withColumn(own[0], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    met = F.col(id_col).eqNullSafe(F.col(own[1])) & (F.col(own[0]) == F.col(own[2]))
+    rows = rows.join(F.broadcast(marked) if size <= small_ids else marked, met, "left").filter(F.coalesce(~F.col(own[3]), F.lit(True)))
+    # What is left of a mark are rows that repeat an id and its text.
+    repeated = rows.filter(F.col(own[3]).isNotNull())
+    if marked.filter(~F.col(own[3])).isEmpty():
+        return rows.select(docs.columns)
+    return rows.filter(F.col(own[3]).isNull()).union(repeated.dropDuplicates([id_col, own[0]])).select(docs.columns)

@@ -46,7 +46,7 @@ def train_languages(docs: DataFrame) -> language.KernelModel | None:
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.predict_language(docs, train_languages(docs))
-    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "recognised")
 
 
 @query()

@@ -4,7 +4,7 @@ Base kinds are found by their patterns alone. A token that merely looks random i
 a weak candidate: it counts only where parts that complete a credential stand
 near it, an access identifier or an endpoint. Candidates and parts are spans of a
 text; they are joined as intervals within scopes, stretches of a text of fixed
-width, each part being listed in all scopes it reaches.
+width: a candidate is listed in those it touches, a part in those it reaches.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 # Parts that complete a credential, and what a lone secret looks like.
 IDENTIFIER = r"""(?i:(user_?name|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9@+/_.-]+)"""
 ENDPOINT = r"(?i:https?|postgres|mysql|mongodb|redis|amqp|ftp)://[A-Za-z0-9.:@/_-]+"
-WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_=-])"
+WEAK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 
 #: Most code points between a weak candidate and a part that completes it.
 REACH = 200
@@ -61,7 +61,8 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
 
     Places are code points, the end exclusive. ``linked`` has the weak candidates
     that stand within ``reach`` code points of an access key, a named identifier
-    or an endpoint, and lie outside the base spans.
+    or an endpoint, and lie outside the base spans. A candidate has 20 characters or
+    more, of any number, and up to two ``=`` at its end.
 
     Null and empty texts have no spans. Rows that repeat an id and text come back
     as often, with equal values; an id on different texts is told apart by their
@@ -86,11 +87,12 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     some = found.filter(F.size("weak") > 0).dropDuplicates(key)
     base = lambda s: F.exists(F.concat("assign", "access", "hex"), lambda x: (x["start"] < s["stop"]) & (s["start"] < x["stop"]))
     weak = some.select(*key, F.explode(F.filter("weak", lambda s: ~base(s))).alias("s")).select(
-        *key, "s.start", "s.stop", F.floor(F.col("s.start") / reach).alias("scope")
+        *key, "s.start", "s.stop",
+        F.explode(F.sequence(F.floor(F.col("s.start") / reach), F.floor(F.col("s.stop") / reach))).alias("scope"),
     )
     parts = some.select(*key, F.explode(F.concat("access", "named", "endpoint")).alias("p")).select(
         *key, F.col("p.start").alias("p_start"), F.col("p.stop").alias("p_stop"),
-        F.explode(F.sequence(F.floor((F.col("p.start") - reach - 64) / reach), F.floor((F.col("p.stop") + reach) / reach))).alias("scope"),
+        F.explode(F.sequence(F.floor((F.col("p.start") - reach) / reach), F.floor((F.col("p.stop") + reach) / reach))).alias("scope"),
     )
     # A scope holds no more parts than characters, so no key of this join is hot.
     near = (F.col("w.start") <= F.col("p.p_stop") + reach) & (F.col("p.p_start") <= F.col("w.stop") + reach)

@@ -107,13 +107,25 @@ def _later_copies(rank: np.ndarray, first: np.ndarray, gram: np.ndarray, content
     return out
 
 
+def _text_ranks(ids: pa.Array, digests: pa.Array) -> np.ndarray:
+    """Dense ranks of texts by id, null first, and then by digest."""
+    by_id = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    by_digest = digests.to_numpy().astype(np.int64)
+    order = np.lexsort((by_digest, by_id))
+    new = np.ones(len(order), bool)
+    new[1:] = (by_id[order][1:] != by_id[order][:-1]) | (by_digest[order][1:] != by_digest[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def _list_spans(length: int):
     def run(batches):
         hasher = _Hasher(_PIECE + length)
         for b in batches:
             data, offsets = utf8(b.column("text"))
-            ids = b.column("doc_id")
-            rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            ids, digests = b.column("doc_id"), b.column("digest")
+            rank = _text_ranks(ids, digests)
             for lo, hi in slices(offsets, 16 << 20):
                 found = []
                 for i in range(lo, hi):
@@ -128,7 +140,7 @@ def _list_spans(length: int):
                     gram[later] = mix(gram[later] ^ mix(rank[row[later]].astype(np.uint64) << np.uint64(40) ^ first[later].astype(np.uint64)))
                     yield batch(
                         gram=gram.view(np.int64), content=content.view(np.int64), doc_id=ids.take(pa.array(row)),
-                        first=first, shape=shape.astype(np.int32), copy=later,
+                        digest=digests.take(pa.array(row)), first=first, shape=shape.astype(np.int32), copy=later,
                     )
 
     return run
@@ -229,7 +241,8 @@ def _export_runs(length: int, ranges: int):
         for b in batches:
             data, offsets = utf8(b.column("text"))
             runs: dict[int, list] = {}
-            for i, (doc, wanted) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("wanted").to_pylist())):
+            texts = zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist())
+            for i, (doc, wanted) in enumerate(zip(texts, b.column("wanted").to_pylist())):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 for w in wanted:
                     first, count, lead = w["first"], w["shape"] & 255, w["shape"] >> 8
@@ -250,7 +263,7 @@ def _export_runs(length: int, ranges: int):
                 common, rest = front_code([s[0] for s in spans])
                 rows.append({
                     "range": where, "common": common, "rest": rest, "before": [s[1] for s in spans],
-                    "doc_id": [s[2] for s in spans], "first": [s[3] for s in spans], "count": [s[4] for s in spans],
+                    "doc_id": [s[2][0] for s in spans], "digest": [s[2][1] for s in spans], "first": [s[3] for s in spans], "count": [s[4] for s in spans],
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=_run_schema(b.schema.field("doc_id").type))
 
@@ -260,14 +273,14 @@ def _export_runs(length: int, ranges: int):
 def _run_schema(kind: pa.DataType) -> pa.Schema:
     return pa.schema([
         ("range", pa.int64()), ("common", pa.list_(pa.int32())), ("rest", pa.list_(pa.binary())),
-        ("before", pa.list_(pa.binary())), ("doc_id", pa.list_(kind)), ("first", pa.list_(pa.int64())),
+        ("before", pa.list_(pa.binary())), ("doc_id", pa.list_(kind)), ("digest", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())),
         ("count", pa.list_(pa.int32())),
     ])
 
 
 def _order(doc) -> tuple:
-    """Sort key of ids in which null comes first."""
-    return (False,) if doc is None else (True, doc)
+    """Sort key of texts (id, digest) in which null ids come first."""
+    return (False, doc[1]) if doc[0] is None else (True, *doc)
 
 
 def _repeats(spans: list[tuple[bytes, bytes, object, int, int]], length: int):
@@ -291,7 +304,7 @@ def _repeats(spans: list[tuple[bytes, bytes, object, int, int]], length: int):
 def _merge_runs(length: int):
     def run(table: pa.Table) -> pa.Table:
         runs = [
-            list(zip(r["common"], r["rest"], zip(r["before"], r["doc_id"], r["first"], r["count"])))
+            list(zip(r["common"], r["rest"], zip(r["before"], zip(r["doc_id"], r["digest"]), r["first"], r["count"])))
             for r in table.to_pylist()
         ]
         found, group = [], []
@@ -311,8 +324,8 @@ def _merge_runs(length: int):
             else:
                 out.append([doc, start, start + length])
         kind = table.schema.field("doc_id").type.value_type
-        schema = pa.schema([("doc_id", kind), ("begin", pa.int64()), ("stop", pa.int64())])
-        return pa.table([[x[k] for x in out] for k in range(3)], schema=schema)
+        schema = pa.schema([("doc_id", kind), ("digest", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64())])
+        return pa.table([[x[0][0] for x in out], [x[0][1] for x in out], [x[1] for x in out], [x[2] for x in out]], schema=schema)
 
     return run
 
@@ -359,12 +372,14 @@ def remove_repeats(
     ``removed`` has the maximal removed runs [begin, stop), ``kept`` the remaining
     bytes (which may end inside a character).
 
-    Null text is empty, and texts shorter than ``length`` stay whole. An id is
-    expected to name one text; rows that repeat an id and its text are one place,
-    so none of them goes because of the other, and all come back. Null ids come
-    before all others. Other columns are ignored.
+    Null text is empty, and texts shorter than ``length`` stay whole. Texts are told
+    apart by id and a 64-bit digest, and those of one id stand in the order of their
+    digests; rows that repeat an id and its text are one place, so none of them goes
+    because of the other, and all come back. Null ids come before all others. Other
+    columns are ignored.
 
-    Moves once: the spans (about 40 bytes for every 35 of text), the texts that
+    Moves once: the spans (about 48 bytes for every 35 of text; up to one a byte where
+    text repeats itself), the texts that
     lose or compare something, and the front-coded suffixes at the borders of
     repeated passages. ``ranges`` is the number of merges, by default as many as
     shuffle partitions.
@@ -372,44 +387,47 @@ def remove_repeats(
     if not GRAM < length <= 255:
         raise ValueError(f"length must be from {GRAM + 1} to 255")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     kind = dict(texts.dtypes)["doc_id"]
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = texts.mapInArrow(_list_spans(length), f"gram bigint, content bigint, doc_id {kind}, first bigint, shape int, copy boolean")
+    spans = texts.mapInArrow(_list_spans(length), f"gram bigint, content bigint, doc_id {kind}, digest bigint, first bigint, shape int, copy boolean")
     # One exchange by anchor serves all of this: equal spans, then anchors of several spans.
-    equal = Window.partitionBy("gram", "content").orderBy(F.col("doc_id").asc_nulls_first(), "first")
-    nth = spans.repartition("gram").withColumn("lead", F.first(F.struct("doc_id", "first")).over(equal))
-    later = F.col("copy") | ~(F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.first") == F.col("first")))
+    equal = Window.partitionBy("gram", "content").orderBy(F.col("doc_id").asc_nulls_first(), "digest", "first")
+    nth = spans.repartition("gram").withColumn("lead", F.first(F.struct("doc_id", "digest", "first")).over(equal))
+    same = F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.digest") == F.col("digest")) & (F.col("lead.first") == F.col("first"))
+    later = F.col("copy") | ~same
     one = Window.partitionBy("gram")
     marked = materialize(
         nth.withColumn("later", later)
         .withColumn("mixed", F.min("content").over(one) != F.max("content").over(one))
         .filter("later OR mixed")
-        .select("gram", "doc_id", "first", "shape", "later")
+        .select("gram", "doc_id", "digest", "first", "shape", "later")
     )
     counts = marked.filter("NOT later").groupBy("gram").count().filter(F.col("count") > hot).select("gram", F.lit(True).alias("hot"))
     border = marked.filter("NOT later").join(counts, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    per_text = border.groupBy("doc_id").agg(
+    per_text = border.groupBy("doc_id", "digest").agg(
         F.collect_list(F.struct(F.abs("gram").alias("gram"), "first", "shape", "hot")).alias("wanted")
     )
     runs = (
-        texts.join(per_text, texts.doc_id.eqNullSafe(per_text.doc_id)).select(texts.doc_id, "text", "wanted")
+        texts.join(per_text, texts.doc_id.eqNullSafe(per_text.doc_id) & (texts.digest == per_text.digest))
+        .select(texts.doc_id, texts.digest, "text", "wanted")
         .mapInArrow(_export_runs(length, ranges), _spark_schema(kind))
     )
-    merged = runs.groupBy("range").applyInArrow(_merge_runs(length), f"doc_id {kind}, begin bigint, stop bigint")
+    merged = runs.groupBy("range").applyInArrow(_merge_runs(length), f"doc_id {kind}, digest bigint, begin bigint, stop bigint")
     whole = marked.filter("later").select(
-        "doc_id", F.col("first").alias("begin"),
+        "doc_id", "digest", F.col("first").alias("begin"),
         (F.col("first") + F.col("shape").bitwiseAND(255) - 1 + length).alias("stop"),
     )
-    gone = whole.union(merged).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("gone"))
+    gone = whole.union(merged).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("begin", "stop")).alias("gone"))
     return (
-        texts.join(gone, texts.doc_id.eqNullSafe(gone.doc_id), "left").select(texts.doc_id, "text", "gone")
+        texts.join(gone, texts.doc_id.eqNullSafe(gone.doc_id) & (texts.digest == gone.digest), "left").select(texts.doc_id, "text", "gone")
         .mapInArrow(_keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed array<struct<begin:bigint,stop:bigint>>, kept binary")
     )
 
 
 def _spark_schema(kind: str) -> str:
     return (
-        f"range bigint, common array<int>, rest array<binary>, before array<binary>, doc_id array<{kind}>, "
+        f"range bigint, common array<int>, rest array<binary>, before array<binary>, doc_id array<{kind}>, digest array<bigint>, "
         "first array<bigint>, count array<int>"
     )

@@ -23,9 +23,9 @@ def shingles(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
 
 
-def groups(rows, part=90):
+def groups(rows, part=90, n=3):
     """doc_id -> (size, smallest linked id)."""
-    sets = {d: shingles(t) for d, t, *_ in rows}
+    sets = {d: shingles(t, n) for d, t, *_ in rows}
     root = {d: d for d in sets}
 
     def find(x):
@@ -68,7 +68,6 @@ def token_rows(rows, path, end=2):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for d, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]

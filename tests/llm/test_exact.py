@@ -75,14 +75,55 @@ def test_tree_traversal_equals_comparing_all():
         assert sorted(tree.matches(q, limit)) == [k for k, i, u in both if 100 * i >= 80 * u]
 
 
-def test_size_classes_reach_every_match():
+@pytest.mark.parametrize("part", [50, 80, 90])
+def test_matches_meet_in_their_first_ngrams(part):
+    rng, limit = np.random.default_rng(part), ngram_join.Threshold(part, 100)
+    common = np.sort(rng.integers(0, 2**63, 40, dtype=np.uint64))
+    for _ in range(3000):
+        base = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+        base = np.union1d(base, rng.choice(common, rng.integers(0, 20)))
+        x, y = (np.unique(np.append(base[rng.random(len(base)) > 0.1], rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64))) for _ in range(2))
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if 100 * both >= part * either and both < either:
+            for late in (common, np.empty(0, np.uint64)):
+                a, b = (ngram_join._first_ones(v, limit, late) for v in (x, y))
+                assert len(np.intersect1d(a, b))
+
+
+def test_common_ngrams_change_no_link(make, monkeypatch):
+    rows = near_copies(4, families=3, members=40)
+    expected = ordered((d, *v) for d, v in brute.groups(rows).items())
     limit = ngram_join.Threshold(90, 100)
-    classes = limit.classes(3000)
-    for n in range(1, 3000):
-        own = [k for k, (a, b, _) in enumerate(classes) if a <= n <= b]
-        most = [k for k, (a, b, _) in enumerate(classes) if a <= limit.largest(n) <= b] or [own[0]]
-        assert len(own) == 1 and most[0] - own[0] <= 1
-        assert limit.difference(n + limit.largest(n)) < classes[own[0]][2]
+    for least in (0,):
+        monkeypatch.setattr(ngram_join.common_ngrams, "__defaults__", (least, ngram_join.MOST_COMMON))
+        assert rows_of(ngram_join.link_similar(make(rows))) == expected
+    texts = ngram_join._texts(make(rows), "doc_id", "text")
+    assert len(ngram_join.common_ngrams(texts, 3, limit, 2)) > 20 >= len(ngram_join.common_ngrams(texts, 3, limit, 2, 20))
+
+
+def test_links_of_null_and_shared_ids(make):
+    words = [f"w{k}" for k in range(100)]
+    text, other = " ".join(words), " ".join(f"v{k}" for k in range(100))
+    rows = [(None, text), (1, text + " more"), (2, other), (2, text + " less"), (3, other + " more"), (None, "quite other words here"), (None, other)]
+    got = [(r.doc_id, r.component_id) for r in ngram_join.link_similar(make(rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 1), (1, 1), (2, 2), (2, 1), (3, 2), (None, None), (None, 2)], key=repr)
+
+
+def test_first_rows_of_groups_with_null_and_shared_ids(make):
+    text, other = " ".join(f"w{k}" for k in range(100)), " ".join(f"v{k}" for k in range(100))
+    rows = [
+        (None, text), (1, text + " more"), (2, other), (2, "another text of id two"), (2, "another text of id two"), (3, other + " more"),
+        (None, "completely other words here"), (None, "completely other words here"), (7, None), (7, ""), (8, " "), (7, None),
+    ]
+    names = ["gone_id", "copy", "digest", "group", "node", "mark_id"]
+    docs = make(rows).withColumns({n: F.lit(1) for n in names})
+    for small in (ngram_join.SMALL_IDS, 0):
+        kept = ngram_join.keep_first(docs, 5, 80, 100, small)
+        assert kept.columns == docs.columns
+        # Null and empty text of one id are the same text.
+        got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+        want = [(1, text + " more"), (2, other), (2, "another text of id two"), (None, "completely other words here"), (7, ""), (8, " ")]
+        assert got == sorted(want, key=repr)
 
 
 # decontamination
@@ -216,6 +257,19 @@ def test_repeats_of_the_small_table(spark, small):
     assert rows_of(QUERIES["op9_suffix_dedup"](spark, FOLDER)) == ordered(brute.repeats(small))
 
 
+def test_repeats_among_texts_that_share_an_id(make):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, other = noise(250), noise(250)
+    rows = [(1, noise(300) + passage), (2, noise(80) + passage + noise(90)), (2, noise(400)), (3, noise(60) + other), (3, other + noise(70)), (None, noise(50) + other), (None, noise(333))]
+    got = {r.kept.decode(): (r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(make(rows)).collect()}
+    whole = {t: d for d, t in rows}
+    assert got[rows[0][1]] == (1, 0) and got[rows[2][1]] == (2, 0) and got[rows[6][1]] == (None, 0)
+    assert got[rows[5][1]] == (None, 0)  # null ids come first, so this one holds the other passage
+    cut = {k: v for k, v in got.items() if k not in whole}
+    assert sorted(v[0] for v in cut.values()) == [2, 3, 3] and all(250 <= v[1] <= 252 for v in cut.values())
+
+
 def test_repeats_on_odd_rows(odd, clashing, empty):
     got = digest(suffix_dedup.remove_repeats(odd))
     assert got == ordered(brute.repeats(ODD)) == digest(suffix_dedup.remove_repeats(clashing))
@@ -316,6 +370,18 @@ def test_weak_candidates_need_a_complement(make):
     assert got == {1: [], 2: [], 3: [], 4: [weak], 5: [], 6: [], 7: ["zY9wJalrXUtnFEMIK7MD"]}
 
 
+def test_long_and_padded_tokens_are_linked(make):
+    rng = random.Random(3)
+    token = lambda n: "aZ9" + "".join(rng.choice("abcXYZ0189+/") for _ in range(n - 3))
+    key = "AKIA" + "Q" * 16
+    weak = [token(20), token(73), token(88)[:-2] + "==", token(30) + "=", token(5000)]
+    rows = [(k, f"{key} then {t} end") for k, t in enumerate(weak)] + [(50 + k, f"{t} then {key}") for k, t in enumerate(weak)]
+    rows += [(100, f"{key} {'x' * 150} {weak[1]}"), (101, f"{key}{' ' * 250}{weak[1]}"), (102, f"{weak[4]}{' ' * 150}{key}"), (103, f"{weak[4]}{' ' * 250}{key}"), (104, f"{key} {weak[0]}===")]
+    found = {r.doc_id: [rows_text[s.start : s.stop] for s in r.linked] for r in secrets.scan_secrets(make(rows)).collect() for rows_text in [dict(rows)[r.doc_id]]}
+    assert all(found[k] == [t] and found[50 + k] == [t] for k, t in enumerate(weak))
+    assert found[100] == [weak[1]] and found[102] == [weak[4]] and found[101] == found[103] == found[104] == []
+
+
 def test_secrets_of_odd_rows(odd, clashing, empty):
     got = rows_of(secrets.scan_secrets(odd))
     assert len(got) == len(ODD) and got == rows_of(secrets.scan_secrets(clashing))
