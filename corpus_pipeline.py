@@ -3,50 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from imprint.llm import decontaminate, language, mixing, ngram_join
 from imprint.llm.queries import table, train_languages, write_and_read_tokens
 from imprint.session import materialize
 
-#: Ids that may be sent to every task to leave documents out.
-SMALL_IDS = 1_000_000
-
 #: SQL cannot classify languages or encode tokens; the tests compare with plain loops.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognisable language; those that op1 calls ``und`` go."""
+    """Documents in a language that the labelled ones teach; the others go.
+
+    Texts that are null or without letters go, and those of which too little is known
+    for their best language. Repeated rows are judged alike. Without any label
+    everything goes, and an empty table stays empty.
+    """
     return language.keep_recognised(docs, train_languages(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near copies: similarity 0.8 or more over five-word shingles.
 
-    Of rows that repeat an id one stays; a null id is an id.
+    The smallest id stays, null ids come last. Texts without words are no copies. Texts
+    that share an id are judged each by its own; of rows with the same id and text one
+    stays.
     """
-    linked = materialize(ngram_join.link_similar(docs, n=5, part=80, whole=100).select("doc_id", "component_id"))
-    gone = materialize(linked.filter("doc_id <> component_id OR (doc_id is null AND component_id is not null)").select("doc_id"))
-    few = gone.count() <= SMALL_IDS
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(F.broadcast(gone) if few else gone, docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
-    counts = linked.agg(F.count(F.lit(1)).alias("all"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("ids")).first()
-    return kept if counts["all"] == counts["ids"] else kept.dropDuplicates(["doc_id"])
+    return ngram_join.keep_first(docs, n=5, part=80, whole=100)
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts stay, as nothing occurs in them, and repeated rows are judged
+    alike. With an empty benchmark all documents stay.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), window=10)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them."""
+    """Documents as often as the mix reads them.
+
+    A null source is a source. Texts without words have no weight and are not read.
+    """
     return mixing.apply_mix(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and what they hold of each document."""
+    """Token files of the mix, and what they hold of each document.
+
+    Null text is empty and gets the end id alone. A document that the mix reads
+    twice is written twice.
+    """
     return write_and_read_tokens(spark, docs)
 
 
