@@ -55,9 +55,10 @@ def best_match(
 class FoldedPrints:
     """Rows folded by fingerprint, so that copies are searched once.
 
-    ``members`` has every row with its ``print_key``; ``prints`` has one row per
-    key and rotation. ``arrived`` marks rows, and prints of rows, that are to be
-    matched; the others are history, which is only matched against.
+    ``members`` has every row with its ``print_key``; ``prints`` has one row per key
+    and rotation, with the ``least`` and ``most`` id among its ``arrived`` rows and
+    whether there are ``old`` ones. ``arrived`` marks rows, and prints of rows, that
+    are to be matched; the others are history, which is only matched against.
     """
 
     members: DataFrame
@@ -69,36 +70,64 @@ class FoldedPrints:
         return [*self.by, "print_key"]
 
 
+#: Print keys with several rows that may be sent to every task, about 70 bytes each.
+_SENT_KEYS = 500_000
+#: Prints that may be sent to every task to leave the colours of others out.
+_SENT_PRINTS = 500_000
+
+
 def with_print_key(rows: DataFrame) -> DataFrame:
     """Add the key that rows with equal fingerprints share."""
     return rows.withColumn("print_key", F.unhex(F.sha2(F.to_json("prints"), 256)))
 
 
-def folded_prints(keyed: DataFrame, by: list[str]) -> DataFrame:
-    """One row per print key and rotation of rows with ``print_key`` and ``arrived``."""
-    folded = keyed.groupBy(*by, "print_key").agg(
-        F.any_value("prints").alias("prints"), F.bool_or("arrived").alias("arrived")
+def turned_prints(keyed: DataFrame, by: list[str]) -> DataFrame:
+    """One row per print key and rotation, of rows with ``print_key`` and ``arrived``; other columns are kept.
+
+    Only keys with several rows are looked at together, so the fingerprints stay in
+    place: the row of least id has them, and the others are left out.
+    """
+    ids = lambda f, flag: f(F.when(flag, F.col("id")))
+    several = materialize(
+        keyed.groupBy(*by, "print_key").agg(
+            F.count(F.lit(1)).alias("_rows"), F.min("id").alias("_first"),
+            ids(F.min, F.col("arrived")).alias("_least"), ids(F.max, F.col("arrived")).alias("_most"),
+            F.bool_or(~F.col("arrived")).alias("_old"),
+        ).filter("_rows > 1").drop("_rows")
     )
-    return folded.select(*by, "print_key", "arrived", F.inline("prints")).filter(
+    marks = F.broadcast(several) if several.count() <= _SENT_KEYS else several
+    alone = F.col("_first").isNull()
+    own = F.when(F.col("arrived"), F.col("id"))
+    kept = keyed.join(marks, [*by, "print_key"], "left").filter(alone | (F.col("id") == F.col("_first"))).withColumns({
+        "least": F.when(alone, own).otherwise(F.col("_least")),
+        "most": F.when(alone, own).otherwise(F.col("_most")),
+        "old": F.when(alone, ~F.col("arrived")).otherwise(F.col("_old")),
+    }).drop("_first", "_least", "_most", "_old")
+    return kept.select(*[c for c in kept.columns if c != "prints"], F.inline("prints")).filter(
         F.col("hash").isNotNull() & F.col("color").isNotNull()
     )
 
 
 def fold_copies(new: DataFrame, history: DataFrame | None = None, by: list[str] | None = None) -> FoldedPrints:
-    """Fold rows with equal fingerprints (and equal ``by`` columns)."""
+    """Fold rows with equal fingerprints (and equal ``by`` columns).
+
+    Ids are unique; of rows that repeat one, each counts.
+    """
     by = by or []
     rows = new.withColumn("arrived", F.lit(True))
     if history is not None:
         rows = rows.unionByName(history.withColumn("arrived", F.lit(False)))
     keyed = materialize(with_print_key(rows))
-    return FoldedPrints(keyed.drop("prints"), materialize(folded_prints(keyed, by)), by)
+    prints = turned_prints(keyed, by).withColumn("arrived", F.col("least").isNotNull())
+    return FoldedPrints(keyed.drop("prints"), prints.select(*by, "print_key", "arrived", "least", "most", "old", "rotation", "hash", "color"), by)
 
 
-def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Matching (query_key, print_key) pairs of prints, one row per pair.
+def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig(), direction: str = "later") -> DataFrame:
+    """Matching (query_key, print_key) pairs of prints that have rows to pair, one row per pair.
 
     This is the compact result: its size depends on the number of different
-    fingerprints, not on how many rows share them.
+    fingerprints, not on how many rows share them. Pairs of prints without two rows
+    in the right order are left out before any colour is read.
     """
     by, prints = folded.by, folded.prints
     upright = prints.filter(F.col("arrived") & (F.col("rotation") == 0))
@@ -115,16 +144,30 @@ def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig()) -> D
     )
     # Written, so that its true size decides how the fingerprints are joined to it.
     near = materialize(near)
-    left = upright.select(*by, F.col("hash").alias("left_hash"), F.col("print_key").alias("query_key"))
-    right = prints.select(*by, F.col("hash").alias("right_hash"), "print_key", "rotation")
+    left = upright.select(
+        *by, F.col("hash").alias("left_hash"), F.col("print_key").alias("query_key"),
+        F.col("least").alias("query_least"), F.col("most").alias("query_most"),
+    )
+    right = prints.select(*by, F.col("hash").alias("right_hash"), "print_key", "rotation", "least", "most", "old")
     hits = chunked_join(near, left, [*by, "left_hash"], "query_key", config.split_rows, probing_rows)
     hits = chunked_join(hits, right, [*by, "right_hash"], "print_key", config.split_rows, indexed_rows)
-    query_colors = upright.select(
-        *by, F.col("print_key").alias("query_key"), root_shares(F.col("color")).alias("query_color")
+    ordered = F.col("query_most") > F.col("least")
+    if direction == "either":
+        ordered = ordered | (F.col("query_least") < F.col("most"))
+    # A print with one row is no pair with itself, whatever its rotations.
+    hits = materialize(
+        hits.filter(F.col("old") | F.coalesce(ordered, F.lit(False)))
+        .select(*by, "query_key", "print_key", "rotation", "distance")
     )
-    print_colors = prints.select(
-        *by, "print_key", "rotation", root_shares(F.col("color")).alias("print_color")
+    colored = prints.select(*by, "print_key", "rotation", "arrived", "color")
+    wanted = hits.select(*by, "print_key").union(hits.select(*by, F.col("query_key").alias("print_key"))).distinct()
+    if wanted.count() <= _SENT_PRINTS:
+        # So few that the colours of all others stay where they are.
+        colored = colored.join(F.broadcast(wanted), [*by, "print_key"], "left_semi")
+    query_colors = colored.filter(F.col("arrived") & (F.col("rotation") == 0)).select(
+        *by, F.col("print_key").alias("query_key"), root_shares(F.col("color")).alias("query_color")
     )
+    print_colors = colored.select(*by, "print_key", "rotation", root_shares(F.col("color")).alias("print_color"))
     scored = (
         hits.join(query_colors, [*by, "query_key"])
         .join(print_colors, [*by, "print_key", "rotation"])
@@ -180,7 +223,7 @@ def within_batch_hits(
 ) -> DataFrame:
     """Hits between rows of one batch; the batch is part of every join key."""
     folded = fold_copies(rows, by=["batch_id"])
-    hits = expand_matches(match_prints(folded, config), folded, config, direction)
+    hits = expand_matches(match_prints(folded, config, direction), folded, config, direction)
     return hits.withColumns(
         {"query_batch_id": F.col("batch_id"), "other_batch_id": F.col("batch_id")}
     ).drop("batch_id")
@@ -207,7 +250,7 @@ def all_hits(
     matched against itself.
     """
     folded = fold_copies(rows, history)
-    return expand_matches(match_prints(folded, config), folded, config, direction)
+    return expand_matches(match_prints(folded, config, direction), folded, config, direction)
 
 
 def canonical_pairs(hits: DataFrame) -> DataFrame:
@@ -258,3 +301,72 @@ def emit_candidates(pairs: DataFrame) -> DataFrame:
 def matched_ids(hits: DataFrame) -> DataFrame:
     """Distinct matched rows per query row, over all rotations."""
     return hits.select("query_id", "other_id").dropDuplicates()
+
+
+@dataclass(frozen=True)
+class DuplicateClasses:
+    """Duplicates without a row for every pair: n copies take n rows.
+
+    ``members`` has every row with the ``class_id`` of its print, the least id that
+    has it. ``pairs`` has the matching classes, ``class_a`` < ``class_b``, with the best
+    scores of either direction, and each class that matches itself under both names.
+    """
+
+    members: DataFrame
+    pairs: DataFrame
+    by: list[str]
+
+    def rows(self) -> DataFrame:
+        """Every row with its class, the rows of the class, and the number of other rows that are linked to it."""
+        by = self.by
+        sizes = materialize(self.members.groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("class_size")))
+        both = self.pairs.select(*by, F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).union(
+            self.pairs.filter("class_a <> class_b").select(*by, "class_b", "class_a")
+        )
+        others = sizes.select(*by, F.col("class_id").alias("other"), F.col("class_size").alias("other_size"))
+        linked = both.join(others, [*by, "other"]).groupBy(*by, "class_id").agg(
+            F.sum(F.col("other_size") - F.when(F.col("other") == F.col("class_id"), 1).otherwise(0)).alias("links")
+        )
+        totals = sizes.join(linked, [*by, "class_id"], "left").select(
+            *by, "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
+        )
+        return self.members.join(totals, [*by, "class_id"]).select("id", "batch_id", "class_id", "class_size", "links")
+
+    def expand(self, split_rows: int = MatchConfig().split_rows) -> DataFrame:
+        """A row for every linked pair of rows: id_a < id_b and the scores of their classes."""
+        total, pairs = self.members.count(), self.pairs
+        for side in ("a", "b"):
+            rows = self.members.select(*self.by, F.col("class_id").alias(f"class_{side}"), F.col("id").alias(f"id_{side}"))
+            pairs = chunked_join(pairs, rows, [*self.by, f"class_{side}"], f"id_{side}", split_rows, total)
+        kept = (F.col("class_a") != F.col("class_b")) | (F.col("id_a") < F.col("id_b"))
+        return pairs.filter(kept).select(
+            F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "structural", "rotation", "color"
+        )
+
+
+def duplicate_classes(rows: DataFrame, config: MatchConfig = MatchConfig(), by: list[str] | None = None) -> DuplicateClasses:
+    """Classes of rows with equal prints, and which classes match in either direction.
+
+    With ``by=["batch_id"]`` only rows of one batch are compared. Rows without a
+    print, and those with an empty histogram, are classes that match nothing.
+    """
+    by = by or []
+    folded = fold_copies(rows, by=by)
+    members = folded.members
+    names = members.groupBy(*by, "print_key").agg(F.min("id").alias("class_id"))
+    named = materialize(members.join(names, [*by, "print_key"]).select(*dict.fromkeys([*by, "id", "batch_id", "print_key", "class_id"])))
+    keys = named.filter("id = class_id").select(*by, "print_key", "class_id")
+    matches = match_prints(folded, config, "either")
+    a = keys.select(*by, F.col("print_key").alias("query_key"), F.col("class_id").alias("query_class"))
+    b = keys.select(*by, "print_key", F.col("class_id").alias("other_class"))
+    met = matches.join(a, [*by, "query_key"]).join(b, [*by, "print_key"])
+    rank = (F.col("structural") * 360 + F.col("rotation")).cast("int")
+    pairs = (
+        met.groupBy(*by, F.least("query_class", "other_class").alias("class_a"), F.greatest("query_class", "other_class").alias("class_b"))
+        .agg(F.min(rank).alias("rank"), F.min_by("color", rank).alias("color"))
+        .select(
+            *by, "class_a", "class_b", F.expr("cast(rank div 360 as int)").alias("structural"),
+            F.expr("cast(rank % 360 as int)").alias("rotation"), "color",
+        )
+    )
+    return DuplicateClasses(named.drop("print_key"), materialize(pairs), by)

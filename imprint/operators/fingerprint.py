@@ -42,31 +42,42 @@ _LUMA = ((7471, 38470, 19595), 16)
 _LUMA_BACKGROUND = ((1868, 9617, 4899), 14)
 
 
+#: Weights are whole multiples of two to the minus these powers. All sums then stay
+#: whole numbers below 2 to the 53rd, so they are exact in any order and on any engine.
+WEIGHT_BITS, COSINE_BITS = 22, 16
+
+
 @lru_cache(maxsize=256)
-def _lanczos(size: int, out: int) -> np.ndarray:
+def resampling_weights(size: int, out: int) -> np.ndarray:
     """Weights that resample ``size`` samples to ``out`` with a 3-lobed window."""
     stretch = max(1.0, size / out)
     centers = (np.arange(out) + 0.5) * size / out
     offsets = (np.arange(size)[None, :] + 0.5 - centers[:, None]) / stretch
     weights = np.where(np.abs(offsets) < 3, np.sinc(offsets) * np.sinc(offsets / 3), 0.0)
-    return weights / weights.sum(axis=1, keepdims=True)
+    return np.rint(weights / weights.sum(axis=1, keepdims=True) * (1 << WEIGHT_BITS))
 
 
 @lru_cache(maxsize=1)
-def _cosines() -> np.ndarray:
+def cosine_weights() -> np.ndarray:
     """Lowest rows of the type-II cosine transform."""
     k, n = np.arange(HASH_SIDE)[:, None], np.arange(HASH_INPUT)[None, :]
-    return 2 * np.cos(np.pi * k * (2 * n + 1) / (2 * HASH_INPUT))
+    return np.rint(2 * np.cos(np.pi * k * (2 * n + 1) / (2 * HASH_INPUT)) * (1 << COSINE_BITS))
+
+
+def _level(sums: np.ndarray) -> np.ndarray:
+    """Weighted sums as levels from 0 to 255, halves upwards."""
+    return np.clip(np.floor((sums + (1 << (WEIGHT_BITS - 1))) / (1 << WEIGHT_BITS)), 0, 255)
 
 
 def structural_hashes(bgr: np.ndarray) -> np.ndarray:
     """64-bit perceptual hashes, as signed integers, of a stack of images."""
     gray = _gray(bgr, *_LUMA).astype(np.float64)
     _, height, width = gray.shape
-    across = np.clip(np.rint(gray @ _lanczos(width, HASH_INPUT).T), 0, 255)
-    small = np.clip(np.rint(_lanczos(height, HASH_INPUT) @ across), 0, 255)
-    low = (_cosines() @ small @ _cosines().T).reshape(len(bgr), -1)
-    bits = low > np.median(low, axis=1, keepdims=True)
+    across = _level(gray @ resampling_weights(width, HASH_INPUT).T)
+    small = _level(resampling_weights(height, HASH_INPUT) @ across)
+    low = (cosine_weights() @ small @ cosine_weights().T).reshape(len(bgr), -1)
+    ranked = np.sort(low, axis=1)
+    bits = 2 * low > (ranked[:, 31] + ranked[:, 32])[:, None]
     return np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64)
 
 

@@ -9,50 +9,81 @@ from pyspark.sql import functions as F
 
 from imprint.schemas import BATCH_STATUSES, CANDIDATE_STATUSES, SCAN_STATUSES, SIDES
 
+#: Stands for no parent table: marks of it are violations already.
+_NONE = "none"
 
-def _found(rows: DataFrame, rule: str, key: Column) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
+def _mark(condition: Column, rule: str, parent: str, ref: Column) -> Column:
+    entry = F.struct(F.lit(rule).alias("rule"), F.lit(parent).alias("parent"), ref.cast("string").alias("ref"))
+    return F.when(condition, entry)
 
-def outside_vocabulary(rows: DataFrame, column: str, allowed: list[str], rule: str) -> DataFrame:
-    return _found(rows.filter(~F.col(column).isin(allowed)), rule, F.col("id"))
 
+def outside_vocabulary(column: str, allowed: list[str], rule: str) -> Column:
+    return _mark(~F.col(column).isin(allowed), rule, _NONE, F.col("id"))
 
-def missing(rows: DataFrame, column: str, rule: str) -> DataFrame:
-    return _found(rows.filter(F.col(column).isNull()), rule, F.col("id"))
 
+def missing(column: str, rule: str) -> Column:
+    return _mark(F.col(column).isNull(), rule, _NONE, F.col("id"))
 
-def repeated(rows: DataFrame, column: str, rule: str) -> DataFrame:
-    """Values that must be unique and are not."""
-    counted = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return _found(counted.filter("n > 1"), rule, F.col(column))
 
+def refers_to(parent: str, column: str, rule: str) -> Column:
+    """A reference that is looked up in another table."""
+    return _mark(F.col(column).isNotNull(), rule, parent, F.col(column))
 
-def orphans(rows: DataFrame, column: str, parents: DataFrame, rule: str) -> DataFrame:
-    """Rows whose reference points nowhere."""
-    known = parents.select(F.col("id").alias(column))
-    dangling = rows.filter(F.col(column).isNotNull()).join(known, column, "left_anti")
-    return _found(dangling, rule, F.col("id"))
+
+def marks(rows: DataFrame, *checks: Column) -> DataFrame:
+    """(rule, key, parent, ref) of all that a table's rows break or refer to, in one pass."""
+    found = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return rows.select(F.col("id").cast("string").alias("key"), F.explode(found).alias("x")).select("x.rule", "key", "x.parent", "x.ref")
+
+
+def unbroken(found: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
+    """(rule, key) of the marks that no parent row answers: one join for all tables."""
+    known = reduce(
+        DataFrame.unionByName,
+        [rows.select(F.lit(name).alias("parent"), F.col("id").cast("string").alias("ref")) for name, rows in parents.items()],
+    )
+    return found.join(known, ["parent", "ref"], "left_anti").select("rule", "key")
+
+
+def repeated(values: DataFrame) -> DataFrame:
+    """(rule, key) of values (``rule``, ``key``) that must be unique and are not."""
+    counted = values.filter(F.col("key").isNotNull()).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter("n > 1").select("rule", "key")
 
 
 def constraint_audit(
     batches: DataFrame, scans: DataFrame, crops: DataFrame, candidates: DataFrame, users: DataFrame
 ) -> DataFrame:
-    """Every violation as (rule, key)."""
-    checks = [
-        outside_vocabulary(batches, "status", BATCH_STATUSES, "batch_status"),
-        outside_vocabulary(scans, "status", SCAN_STATUSES, "scan_status"),
-        outside_vocabulary(scans, "side", SIDES, "scan_side"),
-        outside_vocabulary(candidates, "status", CANDIDATE_STATUSES, "candidate_status"),
-        missing(scans, "original_filename", "scan_filename_missing"),
-        missing(scans, "r2_key_raw", "scan_key_missing"),
-        missing(scans, "batch_id", "scan_batch_missing"),
-        repeated(crops, "raw_scan_id", "crop_scan_unique"),
-        repeated(users, "name", "user_name_unique"),
-        orphans(scans, "batch_id", batches, "scan_without_batch"),
-        orphans(crops, "raw_scan_id", scans, "crop_without_scan"),
-        orphans(candidates, "card_crop_id_a", crops, "pair_without_first"),
-        orphans(candidates, "card_crop_id_b", crops, "pair_without_second"),
-        orphans(candidates, "reviewed_by", users, "pair_without_reviewer"),
+    """Every violation as (rule, key).
+
+    Each table is read once for all rules of its rows and once for each other use: as
+    the parent of references, and where a column must be unique.
+    """
+    found = [
+        marks(batches, outside_vocabulary("status", BATCH_STATUSES, "batch_status")),
+        marks(
+            scans,
+            outside_vocabulary("status", SCAN_STATUSES, "scan_status"),
+            outside_vocabulary("side", SIDES, "scan_side"),
+            missing("original_filename", "scan_filename_missing"),
+            missing("r2_key_raw", "scan_key_missing"),
+            missing("batch_id", "scan_batch_missing"),
+            refers_to("batches", "batch_id", "scan_without_batch"),
+        ),
+        marks(crops, refers_to("scans", "raw_scan_id", "crop_without_scan")),
+        marks(
+            candidates,
+            outside_vocabulary("status", CANDIDATE_STATUSES, "candidate_status"),
+            refers_to("crops", "card_crop_id_a", "pair_without_first"),
+            refers_to("crops", "card_crop_id_b", "pair_without_second"),
+            refers_to("users", "reviewed_by", "pair_without_reviewer"),
+        ),
+    ]
+    parents = {"batches": batches, "scans": scans, "crops": crops, "users": users}
+    unique = [
+        crops.select(F.lit("crop_scan_unique").alias("rule"), F.col("raw_scan_id").cast("string").alias("key")),
+        users.select(F.lit("user_name_unique").alias("rule"), F.col("name").alias("key")),
     ]
-    return reduce(DataFrame.unionByName, checks)
+    broken = unbroken(reduce(DataFrame.unionByName, found), parents)
+    return broken.unionByName(repeated(reduce(DataFrame.unionByName, unique)))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions.keys import upload_key
+from imprint.session import materialize
 
 NOTES_PER_PART = 1000
+#: Ids that may be sent to every task to leave rows out.
+SENT_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,25 +43,29 @@ def cascade_delete(
 ) -> Remaining:
     """Tables without the ``doomed`` batches (``id``).
 
-    A candidate pair goes when either of its crops goes.
+    A candidate pair goes when either of its crops goes. The ids that go are found
+    once and written; where they are few they are sent to the tables, which then stay
+    in place.
     """
-    gone_scans = scans.join(
-        doomed.select(F.col("id").alias("batch_id")), "batch_id", "left_semi"
-    ).select("id")
-    gone_crops = crops.join(
-        gone_scans.withColumnRenamed("id", "raw_scan_id"), "raw_scan_id", "left_semi"
-    ).select("id")
+    gone_batches = doomed.select("id").distinct()
+    gone_scans = _gone(scans.join(gone_batches.withColumnRenamed("id", "batch_id"), "batch_id", "left_semi"))
+    gone_crops = _gone(crops.join(gone_scans.withColumnRenamed("id", "raw_scan_id"), "raw_scan_id", "left_semi"))
     kept_pairs = candidates
     for side in ("card_crop_id_a", "card_crop_id_b"):
         kept_pairs = kept_pairs.join(gone_crops.withColumnRenamed("id", side), side, "left_anti")
     return Remaining(
-        batches=batches.join(doomed.select("id"), "id", "left_anti"),
+        batches=batches.join(gone_batches, "id", "left_anti"),
         scans=scans.join(gone_scans, "id", "left_anti"),
         crops=crops.join(gone_crops, "id", "left_anti"),
         candidates=kept_pairs.select(candidates.columns),
     )
 
 
+def _gone(rows: DataFrame) -> DataFrame:
+    ids = materialize(rows.select("id"))
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def failure_notes(removals: DataFrame) -> DataFrame:
     """Failed removals joined to text with '; ', in numbered parts per batch.
 
@@ -71,7 +78,7 @@ def failure_notes(removals: DataFrame) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / NOTES_PER_PART).alias("note_parts")
     )
     note = F.concat("key", F.lit(": "), "error")
-    part = F.pmod(F.xxhash64("key"), F.col("note_parts"))
+    part = F.conv(F.substring(F.md5("key"), 1, 8), 16, 10).cast("bigint") % F.col("note_parts")
     return (
         failed.join(parts, "batch_id")
         .groupBy("batch_id", "note_parts", part.alias("part"))
@@ -80,28 +87,21 @@ def failure_notes(removals: DataFrame) -> DataFrame:
 
 
 def deletion_accounting(removals: DataFrame) -> DataFrame:
-    """Keys deleted and failed per batch, with the failure notes.
+    """Keys deleted and failed per batch.
 
-    ``notes`` holds the whole text of a batch's failures, however many, and is
-    NULL without any. ``note_parts`` says how many rows of ``failure_notes`` hold
-    the same text in pieces.
+    ``note_parts`` says how many rows of ``failure_notes`` hold the text of a batch's
+    failures; the text is never gathered in one row.
     """
-    note = F.when(F.col("error").isNotNull(), F.concat("key", F.lit(": "), "error"))
     return removals.groupBy("batch_id").agg(
         F.count_if(F.col("error").isNull()).alias("keys_deleted"),
         F.count_if(F.col("error").isNotNull()).alias("keys_failed"),
-        F.array_sort(F.collect_list(note)).alias("_notes"),
-    ).select(
-        "batch_id", "keys_deleted", "keys_failed",
-        F.when(F.col("keys_failed") > 0, F.concat_ws("; ", "_notes")).alias("notes"),
-        F.ceil(F.col("keys_failed") / NOTES_PER_PART).alias("note_parts"),
-    )
+    ).withColumn("note_parts", F.ceil(F.col("keys_failed") / NOTES_PER_PART))
 
 
 def audit_rows(
     doomed: DataFrame, scans: DataFrame, removals: DataFrame, performed_by: int | None = None
 ) -> DataFrame:
-    """One audit row per deleted batch, taken before the rows go.
+    """One audit row per deleted batch, taken before the rows go; its notes are rows of ``failure_notes``.
 
     ``doomed`` has ``id``, ``source_label`` and ``status``.
     """

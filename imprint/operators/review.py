@@ -63,12 +63,13 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates after the decisions; the last one for a pair holds.
 
     ``decisions`` has ``candidate_id``, ``seq``, ``status``, ``reviewed_by`` and
-    ``reviewed_at``.
+    ``reviewed_at``. Of decisions with the same ``seq`` the latest holds, then the one
+    whose status and reviewer come last.
     """
     accepted, _ = split_decisions(decisions)
     decided = ["status", "reviewed_by", "reviewed_at"]
     last = accepted.groupBy(F.col("candidate_id").alias("id")).agg(
-        F.max_by(F.struct(*decided), "seq").alias("_last")
+        F.max(F.struct("seq", "reviewed_at", "status", "reviewed_by")).alias("_last")
     )
     changed = {c: F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)) for c in decided}
     return candidates.join(last, "id", "left").withColumns(changed).drop("_last")

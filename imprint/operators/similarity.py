@@ -37,8 +37,12 @@ def _index_rows(hashes: DataFrame, plan: BandPlan, by: list[str]) -> DataFrame:
     return banded.selectExpr(*by, "hash as right_hash", "band", f"hash & {masks} as key")
 
 
-def _probe_rows(hashes: DataFrame, plan: BandPlan, by: list[str]) -> DataFrame:
-    """One row per hash, band and band value within the band's limit."""
+def _probe_rows(hashes: DataFrame, plan: BandPlan, by: list[str], symmetric: bool = False) -> DataFrame:
+    """One row per hash, band and band value within the band's limit.
+
+    ``symmetric`` leaves out band values below the hash's own: the hash that has such
+    a value looks for this one. ``straight`` rows have their own band value.
+    """
     flips: list[int] = []
     band = "case "
     for i in plan.used:
@@ -48,7 +52,10 @@ def _probe_rows(hashes: DataFrame, plan: BandPlan, by: list[str]) -> DataFrame:
     probes = hashes.selectExpr(
         *by, "hash", f"posexplode({_constants(flips, 'bigint')}) as (at, flip)"
     ).selectExpr(*by, "hash", "flip", f"{band} end as band")
-    return probes.selectExpr(*by, "hash as left_hash", "band", f"(hash ^ flip) & {masks} as key")
+    if not symmetric:
+        return probes.selectExpr(*by, "hash as left_hash", "band", f"(hash ^ flip) & {masks} as key")
+    probes = probes.selectExpr(*by, "hash as left_hash", "band", f"(hash ^ flip) & {masks} as key", f"hash & {masks} as own")
+    return probes.filter("key >= own").selectExpr(*by, "left_hash", "band", "key", "key = own as straight")
 
 
 def _first_band(plan: BandPlan) -> Column:
@@ -74,6 +81,7 @@ def hash_pairs(
     plan: BandPlan | None = None,
     sizes: tuple[int, int] | None = None,
     split_rows: int = 200_000,
+    symmetric: bool = False,
 ) -> DataFrame:
     """Pairs of different rows' hashes within a Hamming radius, each pair once.
 
@@ -83,6 +91,8 @@ def hash_pairs(
     are never shuffled.
 
     ``sizes`` are the numbers of distinct hashes, counted here if not given.
+    ``symmetric`` expects the same table on both sides and gives every pair of
+    different hashes in one order only, having tested it in one order only.
     Returns ``by``, ``left_hash``, ``right_hash`` and ``distance``.
     """
     by = by or []
@@ -91,7 +101,7 @@ def hash_pairs(
     probing, indexed = sizes or (left.count(), right.distinct().count())
     plan = plan or BandPlan.for_sizes(radius, probing, indexed)
     index_rows = indexed * len(plan.used)
-    if index_rows > _BROADCAST_ROWS and probing * plan.probes <= _BROADCAST_ROWS:
+    if index_rows > _BROADCAST_ROWS and probing * plan.probes <= _BROADCAST_ROWS and not symmetric:
         # Few probes go to a large index, which is then neither shuffled nor folded.
         probes = F.broadcast(_probe_rows(left, plan, by))
         index = _index_rows(right, plan, by)
@@ -100,7 +110,7 @@ def hash_pairs(
     work = probing * plan.probes + probing * indexed * plan.pair_share / 10
     # A fixed number: a few megabytes of hashes turn into many probe rows.
     left = left.repartition(max(1, min(100_000, ceil(work / _TASK_WORK))), *by, "hash")
-    probes = _probe_rows(left, plan, by)
+    probes = _probe_rows(left, plan, by, symmetric)
     index = _index_rows(right.distinct(), plan, by)
 
     keys = [*by, "band", "key"]
@@ -114,15 +124,17 @@ def hash_pairs(
         keys += ["left_chunk", "right_chunk"]
     small = hot is None and index_rows <= _BROADCAST_ROWS
     index = F.broadcast(index) if small else index.hint("merge")
-    return _meet(probes, index, keys, plan, by)
+    return _meet(probes, index, keys, plan, by, symmetric)
 
 
 def _meet(
-    probes: DataFrame, index: DataFrame, keys: list[str], plan: BandPlan, by: list[str]
+    probes: DataFrame, index: DataFrame, keys: list[str], plan: BandPlan, by: list[str], symmetric: bool = False
 ) -> DataFrame:
     """Probe and index rows of one band value that lie within the radius."""
     difference = F.col("left_hash").bitwiseXOR(F.col("right_hash"))
     condition = (F.bit_count(difference) <= plan.radius) & _first_band(plan)
+    if symmetric:
+        condition = condition & (~F.col("p.straight") | (F.col("left_hash") < F.col("right_hash")))
     for key in keys:
         condition = condition & (F.col(f"p.{key}") == F.col(f"x.{key}"))
     return probes.alias("p").join(index.alias("x"), condition).select(
@@ -165,11 +177,143 @@ def hamming_join(
     return pairs.select(*by, "left_id", "right_id", "distance")
 
 
+def hamming_self_join(
+    rows: DataFrame,
+    radius: int = 10,
+    *,
+    by: list[str] | None = None,
+    plan: BandPlan | None = None,
+    split_rows: int = 200_000,
+) -> DataFrame:
+    """All pairs of different rows of one table whose hashes lie within a Hamming radius.
+
+    As ``hamming_join`` of the table with itself, but with each pair once, the
+    smaller id on the left, and each pair of hashes tested once.
+    """
+    by = by or []
+    rows = materialize(rows.filter(F.col("hash").isNotNull()).select(*by, "id", "hash"))
+    total, distinct = _sizes(rows)
+    pairs = hash_pairs(
+        rows, rows, radius, by=by, plan=plan, sizes=(distinct, distinct), split_rows=split_rows, symmetric=True
+    )
+    repeated = rows.groupBy(*by, "hash").count().filter("count > 1")
+    hash_ = F.col("hash")
+    pairs = pairs.union(repeated.select(*by, hash_.alias("left_hash"), hash_.alias("right_hash"), F.lit(0).alias("distance")))
+    for side in ("left", "right"):
+        members = rows.select(*by, hash_.alias(f"{side}_hash"), F.col("id").alias(f"{side}_id"))
+        pairs = chunked_join(pairs, members, [*by, f"{side}_hash"], f"{side}_id", split_rows, total)
+    kept = (F.col("left_hash") != F.col("right_hash")) | (F.col("left_id") < F.col("right_id"))
+    return pairs.filter(kept).select(
+        *by, F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "distance"
+    )
+
+
 def _sizes(rows: DataFrame) -> tuple[int, int]:
     """Number of rows and, nearly, of different hashes."""
     return tuple(rows.agg(F.count("hash"), F.approx_count_distinct("hash")).first())
 
 
+#: Pivots that a cell is divided by.
+PIVOTS = 32
+#: Values of a cell that are compared with each other without dividing it once more.
+CELL = 256
+_LEVELS = 6
+
+
+def _pivots(cells: DataFrame, pivots: int) -> DataFrame:
+    """cell, pivots: a few values of every cell, those of least hash."""
+    rank = F.xxhash64("value")
+    drawn = cells.filter("home").groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    share = 4.0 * pivots / F.col("size")
+    some = cells.filter("home").join(drawn, "cell").filter(F.pmod(rank, F.lit(1_000_003)) <= share * 1_000_003)
+    first = some.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col("value")))).alias("some"))
+    return first.select("cell", F.transform(F.slice("some", 1, pivots), lambda s: s["value"]).alias("pivots"))
+
+
+def metric_self_join(
+    rows: DataFrame,
+    distance: Callable[[Column, Column], Column],
+    radius: float,
+    value: str = "value",
+    *,
+    pivots: int = PIVOTS,
+    cell: int = CELL,
+    split_rows: int = 200_000,
+) -> DataFrame:
+    """All pairs of rows (``id``, ``value``) within a radius of any metric: left_id < right_id, distance.
+
+    Needs no key that matches share. Space is divided into cells around pivots, drawn
+    from the values: a value is at home with its nearest pivot, and visits every pivot
+    at most ``2 * radius`` further away. By the triangle inequality a value visits the
+    home of each of its matches, so comparing those at home in a cell with its visitors
+    finds every pair. Cells with many values are divided again, around pivots of their
+    own. Within a cell, values are compared only where their distances to the pivot
+    differ by no more than the radius.
+
+    ``distance`` takes two columns, is a metric, and may be NULL for values that match
+    nothing. Rows with equal values are folded and come back as pairs at the end, hot
+    values and cells that cannot be divided in chunks. NULL values match nothing.
+    """
+    every = materialize(rows.select("id", F.col(value).alias("value")).filter(F.col("value").isNotNull()))
+    values = every.select("value").distinct()
+    cells = materialize(values.select(F.lit(0).cast("bigint").alias("cell"), "value", F.lit(True).alias("home"), F.lit(0.0).alias("off")))
+    done: list[DataFrame] = []
+    for level in range(_LEVELS):
+        sizes = cells.groupBy("cell").agg(F.count_if("home").alias("at_home"))
+        large = materialize(sizes.filter(F.col("at_home") > cell).select("cell"))
+        if large.isEmpty():
+            break
+        done.append(cells.join(large, "cell", "left_anti"))
+        divided = materialize(cells.join(large, "cell", "left_semi"))
+        drawn = materialize(_pivots(divided, pivots))
+        # A large cell's rows are many under one key, and its pivots are one row.
+        met = chunked_join(drawn, divided, ["cell"], "value", split_rows, divided.count())
+        away = F.transform("pivots", lambda p: distance(F.col("value"), p).cast("double"))
+        met = met.select("cell", "value", "home", away.alias("away")).withColumn("nearest", F.array_min("away"))
+        own = F.array_position("away", F.col("nearest")) - 1
+        spread = met.select("cell", "value", "home", "nearest", own.alias("own"), F.posexplode("away").alias("at", "off"))
+        spread = spread.filter(F.col("off") <= F.col("nearest") + 2 * radius)
+        cells = materialize(spread.select(
+            F.xxhash64("cell", "at", F.lit(level)).alias("cell"), "value", (F.col("home") & (F.col("at") == F.col("own"))).alias("home"), "off"
+        ))
+    for part in done:
+        cells = cells.union(part)
+    cells = materialize(cells)
+    near = _within_cells(cells, distance, radius, split_rows)
+    same = every.groupBy("value").count().filter("count > 1").select(
+        F.col("value").alias("left_value"), F.col("value").alias("right_value"), distance(F.col("value"), F.col("value")).alias("distance")
+    ).filter(F.col("distance") <= radius)
+    pairs, total = near.union(same), every.count()
+    for side in ("left", "right"):
+        members = every.select(F.col("value").alias(f"{side}_value"), F.col("id").alias(f"{side}_id"))
+        pairs = chunked_join(pairs, members, [f"{side}_value"], f"{side}_id", split_rows, total)
+    kept = (F.col("left_value") != F.col("right_value")) | (F.col("left_id") < F.col("right_id"))
+    return pairs.filter(kept).select(
+        F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "distance"
+    )
+
+
+def candidate_pairs(cells: DataFrame, radius: float, split_rows: int = 200_000) -> DataFrame:
+    """Pairs of values of one cell that the distances to its pivot allow, each unordered pair once."""
+    total = cells.count()
+    hot = hot_keys(cells, ["cell"], split_rows, total)
+    left = cells.filter("home").select("cell", F.col("value").alias("left_value"), F.col("off").alias("left_off"))
+    right = cells.select("cell", F.col("value").alias("right_value"), F.col("off").alias("right_off"))
+    keys = ["cell"]
+    if hot is not None:
+        left = visit_chunks(assign_chunk(left, hot, keys, "left_value", "_left"), hot, keys, "_right")
+        right = visit_chunks(assign_chunk(right, hot, keys, "right_value", "_right"), hot, keys, "_left")
+        keys = ["cell", "_left", "_right"]
+    met = left.join(right, keys)
+    return met.filter((F.col("left_value") < F.col("right_value")) & (F.abs(F.col("left_off") - F.col("right_off")) <= radius))
+
+
+def _within_cells(cells: DataFrame, distance: Callable[[Column, Column], Column], radius: float, split_rows: int) -> DataFrame:
+    met = candidate_pairs(cells, radius, split_rows)
+    scored = met.withColumn("distance", distance(F.col("left_value"), F.col("right_value")))
+    return scored.filter(F.col("distance") <= radius).select("left_value", "right_value", "distance")
+
+
 def similarity_join(
     left: DataFrame,
     right: DataFrame,

@@ -19,7 +19,8 @@ def card_detail(
     """(cards, history) of the wanted crops (``id``).
 
     A card row has the addresses of both its sides; the history has one row per
-    crop and candidate pair.
+    crop and candidate pair, with both crops of the pair and both sides of their
+    cards (``a_`` and ``b_``: batch, name, side, address, front and back address).
     """
     cards = crops_with_scans(crops, scans)
     keys = crops.select(F.col("id"), "r2_key_cropped")
@@ -30,9 +31,8 @@ def card_detail(
             public_url(F.col("r2_key_cropped"), url_base).alias(f"{name}_image_url"),
         )
 
-    detail = (
-        cards.join(wanted.select("id"), "id", "left_semi")
-        .join(card_sides(cards), ["batch_id", "pairing_key"], "left")
+    sided = (
+        cards.join(card_sides(cards), ["batch_id", "pairing_key"], "left")
         # The crop itself stands for its own side.
         .withColumns(
             {
@@ -44,9 +44,14 @@ def card_detail(
         .join(side_url("front"), "front_id", "left")
         .join(side_url("back"), "back_id", "left")
     )
+    detail = sided.join(wanted.select("id"), "id", "left_semi")
     history = pair_history(wanted, candidates).withColumns(
         {c: finite_or_null(F.col(c)) for c in ("structural_score", "color_score")}
     )
+    shown = ["batch_id", "original_filename", "side", "image_url", "front_image_url", "back_image_url"]
+    for end in ("a", "b"):
+        named = sided.select(F.col("id").alias(f"card_crop_id_{end}"), *[F.col(c).alias(f"{end}_{c}") for c in shown])
+        history = history.join(named, f"card_crop_id_{end}", "left")
     return detail, history
 
 

@@ -38,16 +38,30 @@ def health_report(
     }
 
 
+def _text(rows: DataFrame, column: str) -> Column:
+    """Values as text that reads the same everywhere: microseconds, four decimals."""
+    kind = dict(rows.dtypes)[column]
+    if kind.startswith("timestamp"):
+        return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+    if kind in ("double", "float"):
+        return F.col(column).cast("decimal(20,4)").cast("string").alias(column)
+    return F.col(column).cast("string").alias(column)
+
+
 def report_lines(sections: dict[str, DataFrame]) -> DataFrame:
     """The sections as one table of (section, item, field, value)."""
 
     def melted(name: str, rows: DataFrame) -> DataFrame:
-        texts = rows.select([F.col(c).cast("string").alias(c) for c in rows.columns])
-        key, *values = texts.columns
+        texts = rows.select([_text(rows, c) for c in rows.columns])
         if name == "task_counters":
-            texts, key, values = texts.withColumn("_all", F.lit("all")), "_all", texts.columns
-        return texts.unpivot([key], values, "field", "value").select(
-            F.lit(name).alias("section"), F.col(key).alias("item"), "field", "value"
+            texts = texts.withColumn("_item", F.lit("all"))
+        elif name == "recent":
+            texts = texts.withColumn("_item", F.concat_ws("#", "feed", "position")).drop("feed", "position")
+        else:
+            texts = texts.withColumnRenamed(texts.columns[0], "_item")
+        values = [c for c in texts.columns if c != "_item"]
+        return texts.unpivot(["_item"], values, "field", "value").select(
+            F.lit(name).alias("section"), F.col("_item").alias("item"), "field", "value"
         )
 
     lines = None

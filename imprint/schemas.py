@@ -95,6 +95,14 @@ AUDIT_LOG = T.StructType(
         T.StructField("keys_deleted", T.LongType()),
         T.StructField("keys_failed", T.LongType()),
         T.StructField("note_parts", T.LongType()),
+    ]
+)
+
+AUDIT_NOTES = T.StructType(
+    [
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("note_parts", T.LongType()),
+        T.StructField("part", T.LongType()),
         T.StructField("notes", T.StringType()),
     ]
 )
@@ -150,6 +158,8 @@ TABLES = {
     "card_crops": CARD_CROPS,
     "candidates": CANDIDATES,
     "audit_log": AUDIT_LOG,
+    "audit_notes": AUDIT_NOTES,
+    "audit_notes": AUDIT_NOTES,
     "users": USERS,
     "stage_events": STAGE_EVENTS,
 }

@@ -27,6 +27,12 @@ def append_audit(audit: DataFrame, root: str) -> None:
     audit.select(*columns).write.mode("append").parquet(f"{root}/audit_log")
 
 
+def append_notes(notes: DataFrame, root: str) -> None:
+    """Add the rows of ``failure_notes`` that belong to appended audit rows."""
+    columns = TABLES["audit_notes"].fieldNames()
+    notes.select(*columns).write.mode("append").parquet(f"{root}/audit_notes")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, tasks: int, **options) -> DataFrame:
     """A relational table read in key ranges."""
     reader = spark.read.format("jdbc").options(

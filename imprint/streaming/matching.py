@@ -4,90 +4,115 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from imprint.config import MatchConfig
-from imprint.operators.duplicates import (
-    FoldedPrints,
-    expand_matches,
-    folded_prints,
-    match_prints,
-    with_print_key,
-)
+from imprint.operators.duplicates import FoldedPrints, expand_matches, match_prints, turned_prints, with_print_key
+from imprint.operators.similarity import hash_pairs
 from imprint.plans.duplicates import new_candidates
 from imprint.session import materialize
+from imprint.streaming.growing import GrowingTable, bucket_of, touched
 
 
 @dataclass(frozen=True)
 class IncrementalMatcher:
     """Matches each micro-batch of print rows against everything before it.
 
-    ``root`` is a shared folder with one subfolder per micro-batch of each table:
-    ``members`` (the rows), ``prints`` (their folded fingerprints, ``fresh`` where
-    no earlier micro-batch had the same one) and ``pairs``. History is read
-    through its narrow columns and never written again. A micro-batch that is run
-    again replaces its own folders and reads only earlier ones, so a retry changes
-    nothing. Rows delivered twice are recognised by id, within a micro-batch and
-    across them.
+    ``root`` is a shared folder with one growing table of each kind:
+
+    * ``hashes``: hash and print key of every different print, 41 bytes a row. The
+      only table read whole, and only in its hash column: within a radius of 10 of 64
+      bits, the buckets of any index over hashes that a few prints can reach are
+      nearly all of them.
+    * ``prints`` and ``members``: fingerprints and rows by print key, ``ids`` by id.
+      Of these a micro-batch opens the buckets of its own keys and ids and of the
+      print keys that its hashes found.
+    * ``pairs``: what was found.
+
+    So history is neither shuffled nor written again. A micro-batch that is run again
+    replaces its own parts and reads only earlier ones, so a retry changes nothing.
+    Rows delivered twice are recognised by id, within a micro-batch (one of them
+    counts) and across them.
     """
 
     root: str
     config: MatchConfig = MatchConfig()
+    buckets: int = 64
+    fan: int = 8
 
-    def _before(self, spark: SparkSession, table: str, epoch: int) -> DataFrame | None:
-        try:
-            rows = spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        return rows.filter(F.col("epoch") < epoch).drop("epoch")
+    def table(self, name: str) -> GrowingTable:
+        return GrowingTable(f"{self.root}/{name}", self.fan)
 
-    def _write(self, rows: DataFrame, table: str, epoch: int) -> DataFrame:
-        folder = f"{self.root}/{table}/epoch={epoch}"
-        rows.write.mode("overwrite").parquet(folder)
-        return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    def _write(self, rows: DataFrame, name: str, epoch: int) -> DataFrame:
+        return self.table(name).write(rows, epoch)
+
+    def _fresh(self, rows: DataFrame, epoch: int) -> DataFrame:
+        """Rows whose ids were not delivered before, with their print keys."""
+        spark = rows.sparkSession
+        new = materialize(with_print_key(rows.dropDuplicates(["id"])).withColumn("bucket", bucket_of("id", self.buckets)))
+        known = self.table("ids").read(spark, new.select("id", "bucket").schema, epoch, touched(new))
+        return materialize(new.join(known.select("id"), "id", "left_anti").withColumn("bucket", bucket_of("print_key", self.buckets)))
+
+    def _found(self, upright: DataFrame, hashes: DataFrame) -> DataFrame:
+        """print_key and bucket of earlier prints with a hash near one of the new ones."""
+        total = hashes.count()
+        if not total:
+            return hashes.select("print_key").limit(0).withColumn("bucket", F.lit(0))
+        probing = upright.select("hash").distinct().count()
+        near = hash_pairs(upright, hashes, self.config.structural_max, sizes=(probing, total), split_rows=self.config.split_rows)
+        near = materialize(near.select(F.col("right_hash").alias("hash")).distinct())
+        keys = hashes.join(near, "hash", "left_semi").select("print_key").distinct()
+        return materialize(keys.withColumn("bucket", bucket_of("print_key", self.buckets)))
 
     def __call__(self, rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        old_members, old_prints, old_pairs = (
-            self._before(spark, table, epoch) for table in ("members", "prints", "pairs")
+        new = self._fresh(rows, epoch)
+        kept = self._write(new.select("id", bucket_of("id", self.buckets).alias("bucket")), "ids", epoch)
+        members = self._write(new.select("id", "batch_id", "pairing_key", "print_key", "bucket"), "members", epoch)
+        own = touched(new)
+        turned = turned_prints(new.withColumn("arrived", F.lit(True)), []).select(
+            "print_key", "rotation", "hash", "color", "least", "most", "bucket"
+        )
+        turned = materialize(turned)
+        schema = turned.drop("least", "most").schema
+        known = self.table("prints").read(spark, schema, epoch, own).select("print_key")
+        fresh = materialize(turned.drop("least", "most").join(known, "print_key", "left_anti"))
+        self._write(fresh, "prints", epoch)
+        narrow = fresh.select("hash", "print_key", F.lit(0).alias("bucket"))
+        earlier = self.table("hashes").read(spark, narrow.schema, epoch)
+        self._write(narrow, "hashes", epoch)
+
+        found = self._found(turned.filter("rotation = 0").select("hash"), earlier)
+        keys = new.select("print_key").distinct()
+        other_prints = (
+            self.table("prints").read(spark, schema, epoch, touched(found))
+            .join(found.select("print_key"), "print_key", "left_semi").join(keys, "print_key", "left_anti")
         )
-        new = rows.dropDuplicates(["id"])
-        if old_members is not None:
-            # Reduced by the new ids first, so that history is filtered, not shuffled.
-            seen = old_members.select("id").join(new.select("id"), "id", "left_semi")
-            new = new.join(seen, "id", "left_anti").select(rows.columns)
-        members = self._write(with_print_key(new), "members", epoch)
-        folded = folded_prints(members.withColumn("arrived", F.lit(True)), []).drop("arrived")
-        keys = members.select("print_key").distinct()
-        # Each table is asked for on its own: a failed first micro-batch leaves some of them.
-        if old_prints is None:
-            fresh = folded.withColumn("fresh", F.lit(True))
-        else:
-            known = old_prints.select("print_key").join(keys, "print_key", "left_semi").distinct()
-            known = known.withColumn("_known", F.lit(True))
-            fresh = folded.join(known, "print_key", "left").withColumn("fresh", F.col("_known").isNull()).drop("_known")
-        prints = self._write(fresh, "prints", epoch)
-
-        every_member = members.drop("prints").withColumn("arrived", F.lit(True))
-        every_print = prints.drop("fresh").withColumn("arrived", F.lit(True))
-        if old_members is not None:
-            earlier = old_members.drop("prints").withColumn("arrived", F.lit(False))
-            every_member = every_member.unionByName(earlier)
-        if old_prints is not None:
-            unseen = old_prints.filter("fresh").drop("fresh").join(keys, "print_key", "left_anti")
-            every_print = every_print.unionByName(unseen.withColumn("arrived", F.lit(False)))
-        index = FoldedPrints(every_member, every_print, [])
+        # Rows of the micro-batch are looked up among each other by id, earlier ones by print alone.
+        every_print = turned.withColumn("arrived", F.lit(True)).unionByName(
+            other_prints.withColumns({"arrived": F.lit(False), "least": F.lit(None), "most": F.lit(None)}), allowMissingColumns=True
+        ).drop("bucket")
+        wanted = found.select("print_key").union(keys).distinct()
+        places = sorted(set(touched(found)) | set(own))
+        old_members = self.table("members").read(spark, members.schema, epoch, places).join(wanted, "print_key", "left_semi")
+        seen = old_members.select("print_key").distinct().withColumn("_seen", F.lit(True))
+        every_print = every_print.join(seen, "print_key", "left").withColumn("old", F.col("_seen").isNotNull()).drop("_seen")
+        every_member = members.withColumn("arrived", F.lit(True)).unionByName(old_members.withColumn("arrived", F.lit(False))).drop("bucket")
+        index = FoldedPrints(materialize(every_member), materialize(every_print), [])
         matches = materialize(match_prints(index, self.config))
-        self._write(new_candidates(expand_matches(matches, index, self.config), old_pairs), "pairs", epoch)
+        # Each pair has an id that was not there before, so none of them is recorded yet.
+        pairs = new_candidates(expand_matches(matches, index, self.config))
+        written = self._write(pairs.withColumn("bucket", F.lit(0)), "pairs", epoch)
+        for name, schema in (("ids", kept.schema), ("members", members.schema), ("prints", fresh.schema), ("hashes", narrow.schema), ("pairs", written.schema)):
+            self.table(name).compact(spark, schema, epoch)
 
     def pairs(self, spark: SparkSession) -> DataFrame:
         """Every pair found so far."""
-        return spark.read.parquet(f"{self.root}/pairs").drop("epoch")
+        table = self.table("pairs")
+        paths = [f"{table.folder}/{table._name(*p)}" for p in table.parts(spark)]
+        return spark.read.option("basePath", table.folder).parquet(*paths).drop("part", "bucket")
 
 
 def start_matching(

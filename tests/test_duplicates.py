@@ -146,5 +146,36 @@ def test_recorded_pairs_stay_away_in_any_state(spark):
 def test_folded_result_stays_small_for_copies(spark):
     rows = table(spark, [card(i, 1, A) for i in range(200)] + [card(500, 1, FAR)])
     folded = duplicates.fold_copies(rows)
-    assert duplicates.match_prints(folded).count() == 2
+    # The copies match themselves; a print with one row has no row to pair with.
+    assert duplicates.match_prints(folded).count() == 1
     assert folded.members.count() == 201
+
+
+@pytest.mark.parametrize("by", [None, ["batch_id"]])
+def test_classes_hold_every_link_without_listing_it(spark, by):
+    rows = random_cards(40, seed=6)
+    rows += [(100 + i, i % 2, "copy", rows[0][3]) for i in range(30)] + [(200, 1, "none", []), (201, 1, "none", []), card(202, 1, A, [0.0] * 8)]
+    config = MatchConfig()
+    linked = {}
+    for q in rows:
+        for o in rows:
+            if q[0] != o[0] and q[3] and loop_match(q, o, config) and (by is None or q[1] == o[1]):
+                linked.setdefault(q[0], set()).add(o[0])
+                linked.setdefault(o[0], set()).add(q[0])
+    classes = duplicates.duplicate_classes(table(spark, rows), config, by)
+    got = {r.id: r for r in classes.rows().collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert {k: r.links for k, r in got.items()} == {r[0]: len(linked.get(r[0], ())) for r in rows}
+    assert all(got[100 + i].class_id == (0 if by is None or i % 2 == rows[0][1] else 100 + i % 2) for i in range(30))
+    pairs = [(r.id_a, r.id_b) for r in classes.expand(split_rows=7).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in linked for b in linked[a] if a < b}
+    assert classes.pairs.count() < 200
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_colours_are_fetched_for_hits_alone_or_for_all(spark, monkeypatch, sent):
+    monkeypatch.setattr(duplicates, "_SENT_PRINTS", sent)
+    monkeypatch.setattr(duplicates, "_SENT_KEYS", sent)
+    rows = random_cards(30, seed=8) + [(100 + i, 5, "copy", random_cards(30, seed=8)[3][3]) for i in range(4)]
+    want = {(o[0], q[0]) for q in rows for o in rows if q[0] > o[0] and loop_match(q, o, MatchConfig())}
+    assert found(find_duplicates(table(spark, rows))) == want

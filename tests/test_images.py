@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from imprint.operators import fingerprint
-from imprint.sources.archives import build_archive, expand_archives, read_archives
-from imprint.sources.images import display_orientation, read_images
+from imprint.sources.archives import build_archive, expand_archives, read_archives, read_members
+from imprint.sources.files import write_files
+from imprint.sources.images import build_png, display_orientation, read_images, read_upright_images, turn_back, turn_upright
 
 
 def png(bgr):
@@ -153,3 +154,52 @@ def test_a_broken_archive_or_member_leaves_the_others(spark):
     assert rows["good", "a.txt"].content == b"a" and rows["good", "b.txt"].error is None
     assert rows["bad", None].error and rows["none", None].error
     assert rows["bent", "a.txt"].content == b"a" and rows["bent", "b.txt"].error and rows["bent", "b.txt"].content is None
+
+
+def test_one_archive_is_read_by_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    files = [(f"d{k % 3}/f{k:03d}.bin", rng.bytes(2000)) for k in range(60)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "big.zip").write_bytes(build_archive(files))
+    (tmp_path / "small.zip").write_bytes(build_archive([("one", b"1")]))
+    (tmp_path / "tiny.ZIP").write_bytes(build_archive([]))
+    (tmp_path / "broken.zip").write_bytes(b"no archive" * 3000)
+    (tmp_path / "note.txt").write_bytes(b"no archive at all")
+    rows = read_members(spark, str(tmp_path), splitBytes=10_000)
+    found = rows.withColumn("task", F.spark_partition_id()).collect()
+    big = [r for r in found if r.archive == "in/big.zip"]
+    assert len({r.task for r in big}) > 8
+    assert sorted((r.ordinal, r.path, bytes(r.content)) for r in big) == [(k, *f) for k, f in enumerate(files)]
+    assert [(r.path, r.error is not None) for r in found if r.archive == "broken.zip"] == [(None, True)]
+    assert [r.path for r in found if r.archive == "small.zip"] == ["one"]
+    names = read_members(spark, str(tmp_path), content="false", splitBytes=10_000).collect()
+    assert len(names) == len(found) and all(r.content is None for r in names)
+    large = read_members(spark, str(tmp_path / "small.zip"), memberBytes=0).collect()
+    assert [(r.path, r.content) for r in large] == [("one", None)] and "more than" in large[0].error
+    (tmp_path / "empty").mkdir()
+    assert read_members(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_images_are_turned_upright(spark, tmp_path):
+    card = np.arange(5 * 3 * 3, dtype=np.uint8).reshape(5, 3, 3)
+    seen = {
+        1: card, 2: card[:, ::-1], 3: np.rot90(card, 2), 4: card[::-1], 5: card.transpose(1, 0, 2), 6: np.rot90(card, -1),
+        7: np.rot90(card, 2).transpose(1, 0, 2), 8: np.rot90(card, 1),
+    }
+    for k, want in seen.items():
+        assert (turn_upright(card, k) == want).all() and (turn_upright(turn_back(want, k), k) == want).all()
+        (tmp_path / f"{k}.png").write_bytes(build_png(card, k))
+    (tmp_path / "0.png").write_bytes(build_png(card))
+    (tmp_path / "9.png").write_bytes(b"broken")
+    got = {int(r.path.rsplit("/", 1)[1][0]): r for r in read_upright_images(spark, str(tmp_path)).collect() if not r.failed}
+    assert set(got) == set(range(9))
+    for k, want in {0: card, **seen}.items():
+        assert (fingerprint.pixels(got[k].image) == want).all()
+
+
+def test_files_are_written_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.bin", b"one"), ("b/y.bin", b""), ("z", None)], "path string, content binary")
+    for _ in range(2):
+        assert write_files(rows, str(tmp_path / "out")) == 3
+    assert (tmp_path / "out/a/x.bin").read_bytes() == b"one" and (tmp_path / "out/z").read_bytes() == b""
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["x.bin", "y.bin", "z"]

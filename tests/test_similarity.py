@@ -113,6 +113,73 @@ def test_other_metric(spark):
     assert [tuple(r) for r in got] == [(1, 2, 1)]
 
 
+@pytest.mark.parametrize("radius, split_rows, bands", [(10, 200_000, None), (10, 3, None), (20, 200_000, 6), (3, 200_000, 2), (0, 200_000, 1)])
+def test_self_join_finds_each_pair_once(spark, radius, split_rows, bands):
+    rows = planted(120, seed=radius) + [(1000 + i, planted(120, seed=radius)[0][1]) for i in range(9)]
+    df = table(spark, rows)
+    plan = BandPlan.balanced(radius, bands) if bands else None
+    got = [(r.left_id, r.right_id, r.distance) for r in similarity.hamming_self_join(df, radius, plan=plan, split_rows=split_rows).collect()]
+    mask = (1 << 64) - 1
+    want = {(a, b, ((x ^ y) & mask).bit_count()) for a, x in rows for b, y in rows if a < b and ((x ^ y) & mask).bit_count() <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_self_join_tests_half_the_pairs(spark):
+    hashes = table(spark, planted(200, seed=2)).select("hash").distinct()
+    plan = BandPlan.balanced(10, 4)
+    both, half = (similarity._probe_rows(hashes, plan, [], symmetric=s).count() for s in (False, True))
+    assert half < 0.55 * both
+
+
+def _metric_pairs(df, distance, radius, **settings):
+    return [(r.left_id, r.right_id) for r in similarity.metric_self_join(df, distance, radius, **settings).collect()]
+
+
+@pytest.mark.parametrize("cell, pivots, split_rows", [(256, 32, 200_000), (8, 4, 200_000), (5, 3, 6)])
+def test_any_metric_without_a_key(spark, cell, pivots, split_rows):
+    rng = random.Random(cell)
+    points = [(i, [rng.uniform(0, 30), rng.uniform(0, 30)]) for i in range(400)]
+    points += [(400 + i, points[0][1]) for i in range(12)] + [(900, None)]
+    df = spark.createDataFrame(points, "id long, value array<double>").repartition(3)
+    l1 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+    got = _metric_pairs(df, l1, 1.5, cell=cell, pivots=pivots, split_rows=split_rows)
+    want = {(i, j) for i, a in points for j, b in points if i < j and a and b and abs(a[0] - b[0]) + abs(a[1] - b[1]) <= 1.5}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+
+
+def test_edit_distance_and_hamming_as_metrics(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(150)] + [""]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, value string")
+    edits = df.alias("a").join(df.alias("b"), F.expr("a.id < b.id AND levenshtein(a.value, b.value) <= 1")).select("a.id", "b.id").collect()
+    assert sorted(_metric_pairs(df, F.levenshtein, 1, cell=10, pivots=5)) == sorted(map(tuple, edits))
+    rows = planted(150, seed=5)
+    want = [(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 6]
+    got = _metric_pairs(table(spark, rows).withColumnRenamed("hash", "value"), similarity.hamming_distance, 6, cell=20, pivots=8)
+    assert sorted(got) == sorted(want)
+
+
+def test_pivots_leave_few_candidates(spark):
+    rng = random.Random(7)
+    points = [(i, [rng.uniform(0, 100), rng.uniform(0, 100)]) for i in range(3000)]
+    df = spark.createDataFrame(points, "id long, value array<double>")
+    l1 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x)
+    tested = []
+    plain = similarity.candidate_pairs
+
+    def counted(*args):
+        out = plain(*args)
+        tested.append(out.count())
+        return out
+
+    similarity.candidate_pairs = counted
+    try:
+        similarity.metric_self_join(df, l1, 1.0).count()
+    finally:
+        similarity.candidate_pairs = plain
+    assert tested[0] < 0.01 * 3000 * 2999 / 2
+
+
 def test_hex_round_trip_and_median_bits(spark):
     hexes = ["ffffffffffffffff", "0000000000000001", "8000000000000000", "f0f0f0f0f0f0f0f0"]
     df = spark.createDataFrame([(h,) for h in hexes], "h string")

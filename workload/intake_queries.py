@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions import keys, naming
 from imprint.operators import export, intake
+from imprint.operators.order import with_previous
 from imprint.operators.retention import audit_rows
 from imprint.session import checkpoint_dir
-from imprint.sources.archives import build_archive, expand_archives
+from imprint.sources.archives import build_archive, expand_archives, read_members
+from imprint.sources.files import write_files
+from imprint.sources.images import build_png, read_upright_images, turn_back
 from imprint.sources.tables import append_audit, read_table, write_table
 from workload.registry import query
 from workload.tables import URL_BASE, Tables
@@ -136,8 +141,8 @@ def natural_sort_key(t: Tables) -> DataFrame:
 def natural_order(t: Tables) -> DataFrame:
     named = intake.name_entries(t.entries).withColumn("id", F.col("ordinal"))
     key = naming.natural_key(F.col("name"), F.coalesce("side", F.lit("back")))
-    order = Window.partitionBy("archive").orderBy(key, "id")
-    return named.select("archive", "id", "pairing_key", "side", F.lag("id").over(order).alias("previous"))
+    rows = named.select("archive", "id", "pairing_key", "side", key.alias("sort_key"))
+    return with_previous(rows, "archive", ["sort_key"], "id").drop("sort_key")
 
 
 @query(
@@ -159,6 +164,65 @@ def expand_archive_entries(t: Tables) -> DataFrame:
     return expand_archives(archives).select("archive", "ordinal", "path", "size")
 
 
+@query(
+    "S1",
+    """SELECT concat('up/', ordinal // 50, '.zip') AS archive, row_number() OVER (PARTITION BY ordinal // 50 ORDER BY ordinal) - 1 AS ordinal,
+    path, 20 * length(path) AS size, md5(repeat(path, 20)) AS digest FROM entries""",
+    "entries",
+)
+def archive_members(t: Tables) -> DataFrame:
+    """The same archives as files of a store, each read by several tasks."""
+
+    def pack(frame):
+        frame = frame.sort_values("ordinal")
+        body = build_archive([(p, (p * 20).encode()) for p in frame["path"]])
+        return frame.iloc[:1].assign(path=f"up/{frame['bin'].iloc[0]}.zip", content=body)[["path", "content"]]
+
+    binned = t.entries.select(F.expr("ordinal div 50").alias("bin"), "ordinal", "path")
+    folder = f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+    write_files(binned.groupBy("bin").applyInPandas(pack, "path string, content binary"), folder)
+    members = read_members(t.spark, folder, splitBytes=2048)
+    return members.select("archive", "ordinal", "path", "size", F.md5("content").alias("digest"))
+
+
+@query(
+    "S2",
+    """SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN 'crop_failed' ELSE 'decoded' END AS status,
+    CASE WHEN vec_id % 50 <> 7 THEN 8 END::BIGINT AS height, CASE WHEN vec_id % 50 <> 7 THEN 4 END::BIGINT AS width,
+    CASE WHEN vec_id % 50 <> 7 THEN array_to_string(list_transform(range(96), lambda i: lower(lpad(to_hex(
+      greatest(0, least(255, floor(embedding[i // 3 + 1] * 1000)))::BIGINT // (i % 3 + 1)), 2, '0'))), '') END AS pixels FROM embeddings""",
+)
+def upright_images(t: Tables) -> DataFrame:
+    """Image files with all orientations, some broken, written to a store and read as they are meant to be seen."""
+    folder = f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 1000))).cast("int"))
+    rows = t.spread("embeddings").select(F.col("vec_id").alias("id"), level.alias("level"))
+    write_files(rows.mapInPandas(_stored_images, "path string, content binary"), folder)
+    images = read_upright_images(t.spark, folder)
+    stem = F.regexp_extract(F.col("path"), r"(\d+)\.png", 1).cast("long")
+    whole = lambda c: F.when(~F.col("failed"), c)
+    return images.select(
+        stem.alias("id"),
+        F.when(F.col("failed"), "crop_failed").otherwise("decoded").alias("status"),
+        whole(F.col("image.height").cast("long")).alias("height"),
+        whole(F.col("image.width").cast("long")).alias("width"),
+        whole(F.lower(F.hex("image.data"))).alias("pixels"),
+    )
+
+
+def _stored_images(frames):
+    """Files of 8x4 images (v, v // 2, v // 3), blue first, stored as their orientation asks for."""
+    for frame in frames:
+        out = []
+        for id_, level in zip(frame["id"], frame["level"]):
+            v = np.asarray(level, np.int64)[:32].reshape(8, 4)
+            upright = np.stack([v, v // 2, v // 3], axis=2).astype(np.uint8)
+            orientation = int(id_) % 9
+            body = build_png(turn_back(upright, orientation), orientation)
+            out.append((f"{id_}.png", b"broken" if id_ % 50 == 7 else body))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
 @query(
     "S3",
     "SELECT id, batch_id, side FROM scans WHERE status = 'cropped' AND batch_id > 100",

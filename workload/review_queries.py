@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imprint.functions import numeric
 from imprint.operators import catalog, quality, retention, review, status
 from imprint.plans import cards
+from imprint.session import checkpoint_dir
+from imprint.sources.tables import append_notes, read_table
 from workload.intake_queries import LOSERS, natural_sql
 from workload.registry import query
 from workload.tables import URL_BASE, Tables
@@ -446,15 +450,34 @@ def storage_keys(t: Tables) -> DataFrame:
 @query(
     "A8",
     f"""SELECT batch_id, count_if(NOT failed)::BIGINT AS keys_deleted, count_if(failed)::BIGINT AS keys_failed,
-    string_agg(CASE WHEN failed THEN key || ': timeout' END, '; ' ORDER BY key) AS notes,
     ceil(count_if(failed) / 1000)::BIGINT AS note_parts
     FROM (SELECT *, contains(key, '7-') AS failed FROM ({_KEYS})) GROUP BY batch_id""",
     "batches scans crops",
 )
 def deletion_accounting(t: Tables) -> DataFrame:
+    return retention.deletion_accounting(_removals(t))
+
+
+def _removals(t: Tables) -> DataFrame:
     error = F.when(F.contains(F.col("key"), F.lit("7-")), "timeout")
-    removals = retention.storage_keys(t.batches, t.scans, t.crops).withColumn("error", error)
-    return retention.deletion_accounting(removals)
+    return retention.storage_keys(t.batches, t.scans, t.crops).withColumn("error", error)
+
+
+@query(
+    "A8 S10",
+    f"""SELECT batch_id % 5 AS batch_id, note_parts, part, string_agg(key || ': timeout', '; ' ORDER BY key || ': timeout') AS notes FROM (
+      SELECT k.batch_id, k.key, n.note_parts, ('0x' || substr(md5(k.key), 1, 8))::BIGINT % n.note_parts AS part
+      FROM (SELECT batch_id % 5 AS batch_id, key FROM ({_KEYS}) WHERE contains(key, '7-')) k
+      JOIN (SELECT batch_id % 5 AS batch_id, ceil(count(*) / 1000)::BIGINT AS note_parts FROM ({_KEYS}) WHERE contains(key, '7-') GROUP BY 1) n
+        ON n.batch_id = k.batch_id) GROUP BY ALL""",
+    "batches scans crops",
+)
+def failure_notes(t: Tables) -> DataFrame:
+    """All removals in five batches, so that notes take several parts; written to and read from the audit notes."""
+    root = f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
+    five = _removals(t).withColumn("batch_id", F.col("batch_id") % 5)
+    append_notes(retention.failure_notes(five), root)
+    return read_table(t.spark, root, "audit_notes").select("batch_id", "note_parts", "part", "notes")
 
 
 @query(
@@ -554,16 +577,30 @@ def card_detail(t: Tables) -> DataFrame:
     return detail.select("id", "batch_id", "side", "status", "image_url", "front_image_url", "back_image_url")
 
 
+_CARD_ROWS = f"""
+SELECT c.id, c.batch_id, c.original_filename, c.side, {_URL.format(key='c.r2_key_cropped')} AS image_url,
+  {_URL.format(key='f.r2_key_cropped')} AS front_image_url, {_URL.format(key='b.r2_key_cropped')} AS back_image_url
+FROM ({_CARDS}) c JOIN ({_SIDES}) k ON k.batch_id = c.batch_id AND k.pairing_key = c.pairing_key
+LEFT JOIN crops f ON f.id = CASE WHEN c.side = 'front' THEN c.id ELSE k.front_id END
+LEFT JOIN crops b ON b.id = CASE WHEN c.side = 'back' THEN c.id ELSE k.back_id END
+"""
+_ENDS = ", ".join(
+    f"{e}.{c} AS {e}_{c}" for e in "ab" for c in ("batch_id", "original_filename", "side", "image_url", "front_image_url", "back_image_url")
+)
+
+
 @query(
     "C3 J10 P6",
     f"""SELECT c.id AS crop_id, p.id AS candidate_id, {_FINITE.format(x='p.structural_score')} AS structural_score,
-    {_FINITE.format(x='p.color_score')} AS color_score, p.filename_match FROM crops c
-    JOIN (SELECT *, card_crop_id_a AS side FROM pairs UNION ALL SELECT *, card_crop_id_b FROM pairs) p ON p.side = c.id""",
-    "crops pairs",
+    {_FINITE.format(x='p.color_score')} AS color_score, p.filename_match, {_ENDS} FROM crops c
+    JOIN (SELECT *, card_crop_id_a AS place FROM pairs UNION ALL SELECT *, card_crop_id_b FROM pairs) p ON p.place = c.id
+    LEFT JOIN ({_CARD_ROWS}) a ON a.id = p.card_crop_id_a LEFT JOIN ({_CARD_ROWS}) b ON b.id = p.card_crop_id_b""",
+    "scans crops pairs",
 )
 def card_duplicate_history(t: Tables) -> DataFrame:
     _, history = cards.card_detail(t.crops, t.crops, t.scans, t.candidates, URL_BASE)
-    return history.select("crop_id", "candidate_id", "structural_score", "color_score", "filename_match")
+    ends = [c for c in history.columns if c[:2] in ("a_", "b_")]
+    return history.select("crop_id", "candidate_id", "structural_score", "color_score", "filename_match", *ends)
 
 
 @query(

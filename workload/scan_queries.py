@@ -10,7 +10,7 @@ from imprint.functions import bits, color
 from imprint.operators import duplicates, fingerprint, geometry, similarity
 from imprint.plans.duplicates import find_duplicates
 from workload.registry import query
-from workload.tables import Tables
+from workload.tables import Tables, _order
 
 # The default bounds leave no pair among the given embeddings.
 MATCH = MatchConfig(structural_max=20, color_max=0.45)
@@ -229,16 +229,55 @@ def border_background(t: Tables) -> DataFrame:
     )
 
 
-@query("F1 F3 F4 X3")
+# The fingerprint of the 16x16 images, whose pixels come in blocks of two by two, from
+# their 8x8 grid of levels v: pixels are (v, v // 2, v // 3), blue first.
+_LEVELS = "list_transform(embedding, lambda x: greatest(0, least(255, floor(x * 1000)))::BIGINT)"
+
+
+def _rows(matrix) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{int(x)}::DOUBLE" if not i else str(int(x)) for i, x in enumerate(row)) + "]" for row in matrix) + "]"
+
+
+def _image_prints_sql() -> str:
+    # Both pixels of a block have one level, so their weights add up.
+    weights = _rows(fingerprint.resampling_weights(16, fingerprint.HASH_INPUT).reshape(-1, 8, 2).sum(axis=2))
+    cosines = _rows(fingerprint.cosine_weights())
+    level = "greatest(0, least(255, floor((list_inner_product(w, {row}) + 2097152) / 4194304)))"
+    turns = " UNION ALL ".join(
+        f"SELECT id, {90 * t}::BIGINT AS rotation, list_transform({[i + 1 for i in _order(t)]}, lambda i: g[i]) AS g FROM gray" for t in range(4)
+    )
+    return f"""
+WITH k AS MATERIALIZED (SELECT {weights} AS ws, {cosines} AS cs),
+v AS MATERIALIZED (SELECT vec_id AS id, {_LEVELS} AS v FROM embeddings),
+gray AS (SELECT id, list_transform(v, lambda x: ((7471 * x + 38470 * (x // 2) + 19595 * (x // 3) + 32768) >> 16)::DOUBLE) AS g FROM v),
+turned AS ({turns}),
+across AS (SELECT id, rotation, list_transform(range(8), lambda r: list_transform(ws, lambda w: {level.format(row='g[r * 8 + 1:r * 8 + 8]')})) AS a FROM turned, k),
+small AS (SELECT id, rotation, list_transform(range(32), lambda o: list_transform(ws, lambda w: {level.format(row='list_transform(a, lambda x: x[o + 1])')})) AS s FROM across, k),
+half AS (SELECT id, rotation, list_transform(s, lambda x: list_transform(cs, lambda c: list_inner_product(c, x))) AS h FROM small, k),
+low AS (SELECT id, rotation, flatten(list_transform(range(8), lambda u: list_transform(cs, lambda c: list_inner_product(c, list_transform(h, lambda x: x[u + 1]))))) AS l FROM half, k),
+bits AS (SELECT id, rotation, list_sum(list_transform(l, lambda x, i: CASE WHEN 2 * x > list_sort(l)[32] + list_sort(l)[33]
+  THEN (1::UBIGINT << (64 - i)::UBIGINT)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT AS hash FROM low),
+edge AS (SELECT id, v[c.cell + 1] AS b, c.n FROM v, (SELECT unnest(range(64)) AS cell) r, LATERAL (
+  SELECT r.cell AS cell, CASE WHEN (r.cell < 8 OR r.cell >= 56) AND r.cell % 8 IN (0, 7) THEN 3 WHEN r.cell < 8 OR r.cell >= 56 OR r.cell % 8 IN (0, 7) THEN 2 ELSE 0 END AS n) c),
+hues AS (SELECT id, n, b, b - b // 3 AS spread, CASE WHEN b - b // 3 = 0 THEN 0 ELSE (round_even((4 + (b // 3 - b // 2) / (b - b // 3)) * 30, 0)::BIGINT % 180 + 180) % 180 END AS hue FROM edge WHERE n > 0),
+cells AS (SELECT id, (hue * 16 // 180) * 8 + (CASE WHEN b = 0 THEN 0 ELSE round_even(255 * spread / b, 0)::BIGINT END) * 8 // 256 AS cell, sum(n) AS n FROM hues GROUP BY ALL),
+counts AS (SELECT id, map_from_entries(list((cell, n))) AS m, max(n) AS high, CASE WHEN count(*) < 128 THEN 0 ELSE min(n) END AS low FROM cells GROUP BY id),
+colors AS (SELECT id, array_to_string(list_transform(range(128), lambda i: round(((coalesce(m[i], 0) - low)::DOUBLE / (high - low))::FLOAT::DOUBLE, 6)::DECIMAL(10,6)::VARCHAR), ',') AS colors FROM counts)
+SELECT b.id, b.rotation, lpad(lower(to_hex(b.hash)), 16, '0') AS hash, c.colors FROM bits b JOIN colors c ON c.id = b.id
+"""
+
+
+@query("F1 F3 F4 X3", _image_prints_sql())
 def fingerprint_images(t: Tables) -> DataFrame:
-    """No SQL: checked against plain numpy in the tests."""
+    """Hash and colours of drawn images at four rotations."""
     prints = fingerprint.fingerprint_images(t.images)
     one = prints.select("id", F.inline("prints"))
+    share = lambda x: F.round(x.cast("double"), 6).cast("decimal(10,6)").cast("string")
     return one.select(
         "id",
         F.col("rotation").cast("long").alias("rotation"),
         bits.hash_to_hex(F.col("hash")).alias("hash"),
-        F.round(F.aggregate("color", F.lit(0.0), lambda a, x: a + x), 4).alias("color_total"),
+        F.array_join(F.transform("color", share), ",").alias("colors"),
     )
 
 
@@ -312,7 +351,7 @@ def hamming_radius_join(t: Tables) -> DataFrame:
 )
 def document_hash_join(t: Tables) -> DataFrame:
     """Radius 10 over one hash per document."""
-    pairs = similarity.hamming_join(t.doc_hashes, t.doc_hashes, 10).filter("left_id < right_id")
+    pairs = similarity.hamming_self_join(t.doc_hashes, 10)
     return pairs.withColumn("distance", F.col("distance").cast("long"))
 
 
@@ -335,6 +374,25 @@ def metric_join(t: Tables) -> DataFrame:
     return joined.withColumn("distance", F.col("distance").cast("long"))
 
 
+_POINT = "[p_size::DOUBLE, p_retailprice::DOUBLE]"
+_L1 = "abs(a.v[1] - b.v[1]) + abs(a.v[2] - b.v[2])"
+
+
+@query(
+    "X1",
+    f"""SELECT a.id AS left_id, b.id AS right_id, round({_L1}, 6) AS distance
+    FROM (SELECT p_partkey AS id, {_POINT} AS v FROM part) a JOIN (SELECT p_partkey AS id, {_POINT} AS v FROM part) b
+    ON a.id < b.id AND abs(a.v[1] - b.v[1]) <= 1.05 WHERE {_L1} <= 1.05""",
+)
+def metric_self_join(t: Tables) -> DataFrame:
+    """A metric of points, size and price of all parts with all, without any key."""
+    def l1(a: F.Column, b: F.Column) -> F.Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda total, x: total + x)
+
+    points = t.spread("part").selectExpr("p_partkey AS id", "array(cast(p_size AS double), cast(p_retailprice AS double)) AS value")
+    return similarity.metric_self_join(points, l1, 1.05).withColumn("distance", F.round("distance", 6))
+
+
 _HIT_COLUMNS = "query_id, other_id, structural, rotation, round(color, 5) AS color"
 
 
@@ -370,6 +428,28 @@ def all_duplicates(t: Tables) -> DataFrame:
     return _hit_columns(duplicates.all_hits(t.prints, config=MATCH))
 
 
+# Classes of equal prints by brute force: the least id with the same four hashes and histogram.
+_CLASSES = """
+SELECT g.id, g.batch_id, min(o.id) OVER (PARTITION BY {part}g.v) AS class_id, count(*) OVER (PARTITION BY {part}g.v)::BIGINT AS class_size,
+  coalesce(n.links, 0)::BIGINT AS links
+FROM grids g JOIN grids o ON o.id = g.id LEFT JOIN (
+  SELECT id, count(DISTINCT other) AS links FROM (
+    SELECT query_id AS id, other_id AS other FROM hits {where} UNION ALL SELECT other_id, query_id FROM hits {where}) GROUP BY id
+) n ON n.id = g.id
+"""
+
+
+@query("U1 J12 J13", _CLASSES.format(part="", where=""), "hits")
+def duplicate_classes(t: Tables) -> DataFrame:
+    """One row for every row: its class of equal prints, and how many rows it is linked to."""
+    return duplicates.duplicate_classes(t.prints, MATCH).rows()
+
+
+@query("J12", _CLASSES.format(part="g.batch_id, ", where="WHERE query_batch = other_batch"), "hits")
+def within_batch_classes(t: Tables) -> DataFrame:
+    return duplicates.duplicate_classes(t.prints, MATCH, ["batch_id"]).rows()
+
+
 @query("M3", f"SELECT {_HIT_COLUMNS} FROM hits", "hits")
 def best_rotation(t: Tables) -> DataFrame:
     """All pairs within the radius, verified by a column expression over four rotations."""
@@ -420,6 +500,37 @@ def find_new_duplicates(t: Tables) -> DataFrame:
     return _pair_columns(find_duplicates(t.prints, config=MATCH))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTER_COUNTS = ", ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in _LETTERS)
+_LETTER_DISTANCE = (
+    "sqrt(greatest(0.0, 1 - list_sum(list_transform(range(26), lambda i: sqrt(a.c[i + 1]::DOUBLE * b.c[i + 1]))) "
+    "/ sqrt(list_sum(a.c)::DOUBLE * list_sum(b.c))))"
+)
+
+
+@query(
+    "C1 J11 M2 M5",
+    f"""SELECT a.id AS card_crop_id_a, b.id AS card_crop_id_b, bit_count(xor(a.hash, b.hash))::DOUBLE AS structural_score,
+    round({_LETTER_DISTANCE}, 5) AS color_score, 0::BIGINT AS matched_rotation, a.source IS NOT DISTINCT FROM b.source AS filename_match, 'pending' AS status
+    FROM shown a JOIN shown b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 10 AND list_sum(a.c) * list_sum(b.c) > 0 AND {_LETTER_DISTANCE} <= 0.2""".replace(
+        "shown", f"""(SELECT h.id, h.hash, d.source, d.c FROM doc_hashes h JOIN (SELECT doc_id, source, [{_LETTER_COUNTS}] AS c
+        FROM (SELECT doc_id, source, lower(text) AS t FROM documents)) d ON d.doc_id = h.id)"""
+    ),
+    "doc_hashes",
+)
+def document_duplicates(t: Tables) -> DataFrame:
+    """The whole search at its default bounds: documents by hash and letter histogram."""
+    counts = [f"length(t) - length(replace(t, '{c}', ''))" for c in _LETTERS]
+    letters = t.spread("documents").selectExpr("doc_id AS id", "source AS pairing_key", "lower(text) AS t").selectExpr(
+        "id", "pairing_key", f"cast(array({', '.join(counts)}) AS array<float>) AS color"
+    )
+    prints = t.doc_hashes.join(letters, "id").select(
+        "id", (F.col("id") % 10).alias("batch_id"), "pairing_key",
+        F.array(F.struct(F.lit(0).alias("rotation"), "hash", "color")).alias("prints"),
+    )
+    return _pair_columns(find_duplicates(prints))
+
+
 @query("J14", f"{_NEW_PAIRS} AND query_batch <> other_batch", "hits")
 def insert_if_absent(t: Tables) -> DataFrame:
     """With all pairs inside a batch already recorded and rejected."""

@@ -80,7 +80,7 @@ _ENTRY_NAME = (
     "WHEN 2 THEN '-front.gif' WHEN 3 THEN '.jpg' ELSE '-back.jpeg' END)"
 )
 _ENTRY_COLUMNS = (
-    "CAST(p_partkey % 7 AS BIGINT) AS archive, CAST(p_partkey AS BIGINT) AS ordinal, "
+    "CAST(floor(p_partkey / 500) AS BIGINT) AS archive, CAST(p_partkey AS BIGINT) AS ordinal, "
     f"concat('scans/', p_type, '/', {_ENTRY_NAME}) AS path, CAST(p_partkey * 13 % 5000 AS BIGINT) AS size"
 )
 _DETECTION_COLUMNS = (

@@ -226,42 +226,70 @@ def parse_log(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "T3",
-    """SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day_s, stage, count(*)::BIGINT AS count, count_if(status = 'failed')::BIGINT AS failed_count,
-    round(avg(duration_ms), 1) AS avg_duration_ms, max(duration_ms) AS max_duration_ms FROM stage_events WHERE duration_ms IS NOT NULL GROUP BY 1, 2""",
-    "stage_events",
-)
+_BY_DAY = """
+SELECT epoch(time_bucket(INTERVAL 1 DAY, ts))::BIGINT AS day_s, stage, count(*)::BIGINT AS count, count_if(status = 'failed')::BIGINT AS failed_count,
+  round(avg(duration_ms), 1) AS avg_duration_ms, max(duration_ms) AS max_duration_ms FROM stage_events WHERE duration_ms IS NOT NULL GROUP BY 1, 2
+"""
+
+
+@query("T3", _BY_DAY, "stage_events")
 def stage_metrics_by_day(t: Tables) -> DataFrame:
     events = t.stage_events.withColumn("ts", F.col("ts").cast("timestamp"))
     metrics = stages.running_stage_metrics(events, "1 day")
     return metrics.withColumn("day_s", F.unix_timestamp("window.start")).drop("window")
 
 
-@query(
-    "C2",
-    f"""SELECT 'stage_timings' AS section, stage AS item, 'max_duration_ms' AS field, max_duration_ms::VARCHAR AS value FROM ({_SUMMARY})
-    UNION ALL SELECT 'stage_timings', stage, 'count', count::VARCHAR FROM ({_SUMMARY})
-    UNION ALL SELECT 'stage_timings', stage, 'failed_count', failed_count::VARCHAR FROM ({_SUMMARY})
-    UNION ALL SELECT 'batches_by_status', status, 'batches', count(*)::VARCHAR FROM batches GROUP BY status
-    UNION ALL SELECT 'task_counters', 'all', 'failed', failed::VARCHAR FROM ({_COUNTERS})
-    UNION ALL SELECT 'task_counters', 'all', 'started', started::VARCHAR FROM ({_COUNTERS})""",
-    "stage_events task_events batches",
-)
+def _melted(section: str, source: str, item: str, **fields: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, ({item})::VARCHAR AS item, '{name}' AS field, ({value})::VARCHAR AS value FROM ({source})"
+        for name, value in fields.items()
+    )
+
+
+_STAMP = "strftime({t}, '%Y-%m-%d %H:%M:%S.%f')"
+_SECTIONS = [
+    _melted("batches_by_status", "SELECT status, count(*) AS n FROM batches GROUP BY status", "status", batches="n"),
+    _melted(
+        "active_batches", f"SELECT * FROM ({_LATEST}) ORDER BY updated_at DESC, batch_id DESC LIMIT 30", "batch_id",
+        stage="stage", updated_at=_STAMP.format(t="updated_at"), started_at=_STAMP.format(t="started_at"),
+    ),
+    _melted(
+        "recent",
+        """SELECT * FROM (SELECT stage AS feed, ts, id, row_number() OVER (PARTITION BY stage ORDER BY ts DESC, id DESC) AS place
+        FROM stage_events) WHERE place <= 20""",
+        "feed || '#' || place", ts=_STAMP.format(t="ts"), id="id",
+    ),
+    _melted(
+        "stage_timings", _SUMMARY, "stage", count="count", failed_count="failed_count",
+        avg_duration_ms="avg_duration_ms::DECIMAL(20,4)", max_duration_ms="max_duration_ms",
+    ),
+    _melted(
+        "task_counters", _COUNTERS, "'all'", started="started", succeeded="succeeded", failed="failed", retried="retried",
+        failure_rate="failure_rate::DECIMAL(20,4)", alert="started > 10 AND failed / started > 0.2", warning="failure_rate > 0.05",
+    ),
+    _melted(
+        "stuck",
+        f"""SELECT *, epoch_us({_NOW}) - epoch_us(updated_at) AS age FROM ({_LATEST})
+        WHERE stage IN ('extracting', 'cropping', 'zip_extraction', 'hashing', 'duplicate_detection')
+        AND epoch_us({_NOW}) - epoch_us(updated_at) > 600000000""",
+        "batch_id", stage="stage", age_seconds="(age / 1e6)::DECIMAL(20,4)", minutes="age // 60000000",
+    ),
+]
+
+
+@query("C2", " UNION ALL ".join(_SECTIONS), "stage_events task_events batches")
 def health_report(t: Tables) -> DataFrame:
-    """The counters and timings of the status page as one long table."""
+    """All six sections of the status page as one long table, as seen at the time of the last event."""
     feed = t.stage_events.select(F.col("stage").alias("feed"), "ts", "id")
-    sections = reports.health_report(
-        t.batches, t.stage_events, t.task_events, feed, F.current_timestamp()
-    )
-    lines = reports.report_lines({k: sections[k] for k in ("batches_by_status", "stage_timings", "task_counters")})
-    return lines.filter(F.col("field").isin("batches", "count", "failed_count", "max_duration_ms", "started", "failed"))
+    now = F.lit(t.stage_events.agg(F.max("ts")).first()[0]).cast("timestamp")
+    return reports.report_lines(reports.health_report(t.batches, t.stage_events, t.task_events, feed, now))
 
 
-def _arrivals(rows: DataFrame, groups: int) -> Iterator[tuple[DataFrame, str]]:
+def _arrivals(rows: DataFrame, groups: int, again: str | None = None) -> Iterator[tuple[DataFrame, str]]:
     """The rows as a stream that grows by id, one group of files at a time, and a folder for the query.
 
-    A group is written by as many tasks as the rows have, and read as one
+    With ``again`` a group also brings those rows of the groups before that meet the
+    condition, and its own ones twice. A group is written by as many tasks as the rows have, and read as one
     micro-batch by a query that is run to its end before the next group comes.
     """
     spark = rows.sparkSession
@@ -271,34 +299,42 @@ def _arrivals(rows: DataFrame, groups: int) -> Iterator[tuple[DataFrame, str]]:
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(F.col("id") > low)
         part = part if high is None else part.filter(F.col("id") <= high)
+        if again is not None:
+            before = rows.limit(0) if low is None else rows.filter(F.col("id") <= low).filter(again)
+            part = part.union(part.filter(again)).union(before)
         part.write.mode("append").parquet(source)
         yield spark.readStream.schema(rows.schema).parquet(source), root
 
 
 @query("T1 T7", _NEW_PAIRS, "hits")
 def incremental_matching(t: Tables) -> DataFrame:
-    """All prints as a growing stream, each micro-batch matched against those before it."""
-    for stream, root in _arrivals(t.prints, 4):
+    """All prints as a growing stream in which every third is delivered again and again, each micro-batch matched against those before it."""
+    for stream, root in _arrivals(t.prints, 4, "id % 3 = 0"):
         matching.start_matching(stream, f"{root}/index", f"{root}/checkpoint", MATCH).awaitTermination()
     pairs = matching.IncrementalMatcher(f"{root}/index", MATCH).pairs(t.spark)
     # Which side of a pair was the query follows from arrival, which is by id here.
     return _pair_columns(pairs)
 
 
-# The state store that keyed state needs; and no further micro-batches, which a
-# processing-time clock would ask for without end, once the files are read.
+# The state store that keyed state needs. Micro-batches without rows are off unless
+# asked for: a processing-time clock would want them without end.
 _STATEFUL = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
 
-def _run_stateful(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Everything ``operator`` emits on a stream of the rows, with the ``epoch`` it came in."""
+def _run_stateful(
+    rows: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str, idle_batches: bool = False
+) -> DataFrame:
+    """Everything ``operator`` emits on a stream of the rows, with the ``epoch`` it came in.
+
+    ``idle_batches`` lets a last micro-batch without rows move the watermark.
+    """
     spark = rows.sparkSession
-    before = {name: spark.conf.get(name, None) for name in _STATEFUL}
+    settings = {**_STATEFUL, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
-        for name, value in _STATEFUL.items():
+        for name, value in settings.items():
             spark.conf.set(name, value)
         for stream, root in _arrivals(rows, 4):
 
@@ -335,3 +371,31 @@ def live_stages(t: Tables) -> DataFrame:
 def admit_stream(t: Tables) -> DataFrame:
     attempts = t.attempts.withColumn("ts", F.col("ts").cast("timestamp"))
     return _run_stateful(attempts, lambda stream: admission.admit_stream(stream, DAILY), "append").drop("epoch")
+
+
+@query(
+    "T4",
+    """SELECT batch_id, stage, us AS updated_us FROM (
+      SELECT batch_id, stage, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY batch_id ORDER BY ts, id) AS next FROM stage_events),
+      (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM stage_events)
+    WHERE stage IN ('extracting', 'cropping', 'zip_extraction', 'hashing', 'duplicate_detection')
+    AND (next - us > 600000000 OR (next IS NULL AND ceil(us / 1000) + 600001 <= mark))""",
+    "stage_events",
+)
+def stuck_gaps_stream(t: Tables) -> DataFrame:
+    """Alerts over a stream of events, by timers on their own times."""
+    events = t.stage_events.withColumn("ts", F.col("ts").cast("timestamp"))
+    alerts = _run_stateful(events, stages.stuck_gaps, "append", idle_batches=True)
+    return alerts.select("batch_id", "stage", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
+
+@query("T3", _BY_DAY, "stage_events")
+def running_stage_metrics(t: Tables) -> DataFrame:
+    """Timings by day kept up to date over a stream of events, as they stand at its end."""
+    events = t.stage_events.withColumn("ts", F.col("ts").cast("timestamp"))
+    states = _run_stateful(events, lambda stream: stages.running_stage_metrics(stream, "1 day"), "complete")
+    last = states.agg(F.max("epoch").alias("last"))
+    return (
+        states.join(F.broadcast(last), states.epoch == F.col("last")).drop("epoch", "last")
+        .withColumn("day_s", F.unix_timestamp("window.start")).drop("window")
+    )
