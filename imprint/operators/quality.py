@@ -43,7 +43,9 @@ def unbroken(found: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
         DataFrame.unionByName,
         [rows.select(F.lit(name).alias("parent"), F.col("id").cast("string").alias("ref")) for name, rows in parents.items()],
     )
-    return found.join(known, ["parent", "ref"], "left_anti").select("rule", "key")
+    # An anti join would be taken into every table's branch, and all parents with it.
+    answered = found.join(known.withColumn("answered", F.lit(True)), ["parent", "ref"], "left")
+    return answered.filter(F.col("answered").isNull()).select("rule", "key")
 
 
 def repeated(values: DataFrame) -> DataFrame:

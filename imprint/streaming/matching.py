@@ -50,10 +50,10 @@ class IncrementalMatcher:
 
     def _fresh(self, rows: DataFrame, epoch: int) -> DataFrame:
         """Rows whose ids were not delivered before, with their print keys."""
-        spark = rows.sparkSession
-        new = materialize(with_print_key(rows.dropDuplicates(["id"])).withColumn("bucket", bucket_of("id", self.buckets)))
-        known = self.table("ids").read(spark, new.select("id", "bucket").schema, epoch, touched(new))
-        return materialize(new.join(known.select("id"), "id", "left_anti").withColumn("bucket", bucket_of("print_key", self.buckets)))
+        placed = rows.select("id", bucket_of("id", self.buckets).alias("bucket"))
+        known = self.table("ids").read(rows.sparkSession, placed.schema, epoch, touched(placed)).select("id")
+        new = with_print_key(rows.dropDuplicates(["id"]).join(known, "id", "left_anti"))
+        return materialize(new.withColumn("bucket", bucket_of("print_key", self.buckets)))
 
     def _found(self, upright: DataFrame, hashes: DataFrame) -> DataFrame:
         """print_key and bucket of earlier prints with a hash near one of the new ones."""
@@ -78,16 +78,15 @@ class IncrementalMatcher:
         turned = materialize(turned)
         schema = turned.drop("least", "most").schema
         known = self.table("prints").read(spark, schema, epoch, own).select("print_key")
-        fresh = materialize(turned.drop("least", "most").join(known, "print_key", "left_anti"))
-        self._write(fresh, "prints", epoch)
+        fresh = self._write(turned.drop("least", "most").join(known, "print_key", "left_anti"), "prints", epoch)
         narrow = fresh.select("hash", "print_key", F.lit(0).alias("bucket"))
         earlier = self.table("hashes").read(spark, narrow.schema, epoch)
         self._write(narrow, "hashes", epoch)
 
         found = self._found(turned.filter("rotation = 0").select("hash"), earlier)
-        keys = new.select("print_key").distinct()
+        keys, places = new.select("print_key").distinct(), touched(found)
         other_prints = (
-            self.table("prints").read(spark, schema, epoch, touched(found))
+            self.table("prints").read(spark, schema, epoch, places)
             .join(found.select("print_key"), "print_key", "left_semi").join(keys, "print_key", "left_anti")
         )
         # Rows of the micro-batch are looked up among each other by id, earlier ones by print alone.
@@ -95,8 +94,7 @@ class IncrementalMatcher:
             other_prints.withColumns({"arrived": F.lit(False), "least": F.lit(None), "most": F.lit(None)}), allowMissingColumns=True
         ).drop("bucket")
         wanted = found.select("print_key").union(keys).distinct()
-        places = sorted(set(touched(found)) | set(own))
-        old_members = self.table("members").read(spark, members.schema, epoch, places).join(wanted, "print_key", "left_semi")
+        old_members = self.table("members").read(spark, members.schema, epoch, sorted({*places, *own})).join(wanted, "print_key", "left_semi")
         seen = old_members.select("print_key").distinct().withColumn("_seen", F.lit(True))
         every_print = every_print.join(seen, "print_key", "left").withColumn("old", F.col("_seen").isNotNull()).drop("_seen")
         every_member = members.withColumn("arrived", F.lit(True)).unionByName(old_members.withColumn("arrived", F.lit(False))).drop("bucket")

@@ -25,11 +25,10 @@ def test_matching_a_stream_equals_one_search_and_survives_retries(spark, tmp_pat
     assert found(matcher.pairs(spark)) == expected
 
 
-@pytest.mark.parametrize("epoch", [0, 1, 4])
-@pytest.mark.parametrize("failing", ["ids", "members", "prints", "hashes", "pairs", "compact"])
+@pytest.mark.parametrize("epoch, failing", [(0, "ids"), (0, "pairs"), (1, "members"), (1, "prints"), (1, "hashes"), (3, "compact")])
 def test_a_micro_batch_is_retried_after_a_crash_at_any_write(spark, tmp_path, monkeypatch, epoch, failing):
-    rows = random_cards(15, seed=4)
-    parts = [rows[:3], rows[3:6], rows[6:9], rows[9:12], rows[12:] + rows[:2]]
+    rows = random_cards(12, seed=4)
+    parts = [rows[:6], rows[6:] + rows[:2]] if epoch < 2 else [rows[:3], rows[3:6], rows[6:9], rows[9:]]
     matcher = matching.IncrementalMatcher(str(tmp_path / "index"), buckets=4, fan=2)
     write, save = matching.IncrementalMatcher._write, growing.GrowingTable._save
 
@@ -50,9 +49,8 @@ def test_a_micro_batch_is_retried_after_a_crash_at_any_write(spark, tmp_path, mo
                 monkeypatch.setattr(growing.GrowingTable, "_save", crash_wide)
             else:
                 monkeypatch.setattr(matching.IncrementalMatcher, "_write", crash)
-            if failing != "compact" or at > 1:
-                with pytest.raises(RuntimeError):
-                    matcher(table(spark, part), at)
+            with pytest.raises(RuntimeError):
+                matcher(table(spark, part), at)
             monkeypatch.setattr(matching.IncrementalMatcher, "_write", write)
             monkeypatch.setattr(growing.GrowingTable, "_save", save)
         matcher(table(spark, part), at)
