@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imprint.session import materialize
@@ -23,6 +24,9 @@ SOLID[[9, 10, 11, 12, 13, 32]] = False
 WORDY = np.zeros(256, bool)
 WORDY[48:58] = WORDY[97:123] = WORDY[128:] = True
 
+# Arrow's own pool keeps what is freed, in each of an executor's Python workers.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _SPAN = 64
 _RANDOM = np.random.default_rng(1).integers(0, 2**64, (_SPAN, 256), np.uint64)
 _SLICE = 1 << 20
@@ -129,6 +133,18 @@ def batch(**columns) -> pa.RecordBatch:
     )
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs run inside, where rows are whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _stars(edges: DataFrame) -> bool:
     """Does every node hang on one root that hangs on nothing?"""
     nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))

@@ -136,10 +136,10 @@ class KernelModel:
         top = evidence[np.arange(len(f)), best]
         return best, top / np.maximum(evidence.sum(1), 1e-9), found > self.floor[best]
 
-    def predict_texts(self, texts: list[str | None]):
+    def predict_texts(self, texts: pa.Array):
         """(place, language number, score, recognised) of the texts that have a letter."""
         for a in range(0, len(texts), _ROWS):
-            found = [(a + i, profile(t)) for i, t in enumerate(texts[a : a + _ROWS])]
+            found = [(a + i, profile(t)) for i, t in enumerate(texts.slice(a, _ROWS).to_pylist())]
             found = [(i, p) for i, p in found if p is not None]
             if found:
                 yield from zip([i for i, _ in found], *self.predict([p for _, p in found]))
@@ -216,7 +216,7 @@ def predict_language(
         for b in batches:
             names, scores, known = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             if model:
-                for i, k, score, recognised in model.predict_texts(b.column("text").to_pylist()):
+                for i, k, score, recognised in model.predict_texts(b.column("text")):
                     names[i], scores[i], known[i] = model.languages[k], score, recognised
             yield batch(doc_id=b.column("doc_id"), lang_pred=pa.array(names, pa.string()), score=scores, recognised=pa.array(known))
 
@@ -234,7 +234,7 @@ def keep_recognised(docs: DataFrame, model: KernelModel | None, least_score: flo
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             if model:
-                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                texts = b.column(b.schema.get_field_index(text_col))
                 for i, _, score, recognised in model.predict_texts(texts):
                     keep[i] = recognised and score >= least_score
             yield b.filter(pa.array(keep))

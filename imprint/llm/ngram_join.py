@@ -1,21 +1,22 @@
 """Join of texts by the Jaccard similarity of their word n-grams, over prefix trees.
 
 Every text is the set of the 64-bit hashes of its n-grams, in one global order: by
-hash, but n-grams that many texts have come last. The join has two halves:
+hash, but n-grams that several texts have come last. The join has two halves:
 
 * Candidates. Of a set of n n-grams with t n in common with any match, the first
   n - t n + 1 hold one that the match has among its own first ones. So sets meet at
-  the first edges of their paths in the tree of ordered sets. N-grams that many texts
-  share are late in the order, so a common passage brings texts together only if
+  the first edges of their paths in the tree of ordered sets. Shared
+  n-grams are late in the order, so a common passage brings texts together only if
   little else is in them.
 * Verification. The sets that a query set is to be compared with are stored in a
   tree along the order. A traversal carries the overlap so far into all sets below a
   node and leaves a subtree when what remains cannot reach the bound.
 
-Candidates are first compared with one leader per first edge only, the text that
-shares most of them. After that most of a group of copies is one component, and only
-pairs that are still in different components are compared; so a group costs its size,
-not its square, and no link that could join two components is left out.
+Each first edge has one leader, the text that shares most of them, and a text is first
+compared with the leader it meets most often. After that most of a group of copies is
+one component; texts that still meet leaders of other components are compared once
+more, and in the end all pairs that still meet in different components. So a group
+costs its size, not its square, and no link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imprint.llm.common import SOLID, batch, components, mix, word_slices
+from imprint.llm.common import SOLID, batch, components, mix, small_batches, word_slices
 from imprint.session import materialize
 
 #: Ids of candidates that may be sent to every task to fetch their texts: about 40 MB as a hash table.
@@ -33,10 +34,15 @@ SMALL_IDS = 1_000_000
 #: Members compared in one tree.
 BLOCK = 128
 
-#: Texts with an n-gram among their first ones beyond which it counts as common and comes last.
-COMMON = 50
+#: Texts with an n-gram beyond which it counts as common and comes last.
+COMMON = 1
 #: Common n-grams that may be sent to every task, 8 bytes each; beyond, only the more common ones are.
-MOST_COMMON = 1_000_000
+MOST_COMMON = 4_000_000
+#: Counted are so many times the n-grams that a text has first, because rarer ones move up.
+WIDER = 1.5
+
+#: Times that each text is compared with a leader before all that is still open is compared.
+ROUNDS = 2
 
 _STEP = 64
 #: Words of a parity sketch, 1024 bits.
@@ -94,20 +100,19 @@ def _first_ones(values: np.ndarray, limit: Threshold, common: np.ndarray) -> np.
 
 
 def _list_first(n: int, limit: Threshold):
-    """All first n-grams of all texts, were none common."""
+    """The first n-grams of all texts, were none common, and some more."""
 
     def run(batches):
-        none = np.empty(0, np.uint64)
         for b in batches:
             for _, _, words in word_slices(b.column("text"), SOLID, lower=True):
-                found = [_first_ones(v, limit, none) for v in ngram_sets(words, n)]
-                yield batch(key=np.concatenate(found or [none]).view(np.int64))
+                found = [v[: int(WIDER * limit.first(len(v)))] for v in ngram_sets(words, n) if len(v)]
+                yield batch(key=np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))
 
     return run
 
 
 def common_ngrams(texts: DataFrame, n: int, limit: Threshold, least: int = COMMON, most: int = MOST_COMMON) -> np.ndarray:
-    """N-grams that more than ``least`` rows have among their first ones, sorted; ``least`` rises so that they are ``most`` at most.
+    """N-grams that more than ``least`` rows have among their first ones or soon after, sorted; ``least`` rises so that they are ``most`` at most.
 
     Any choice gives the same links, as long as it is the same for all texts.
     """
@@ -118,33 +123,33 @@ def common_ngrams(texts: DataFrame, n: int, limit: Threshold, least: int = COMMO
     while counts.count() > most:
         least *= 2
         counts = counts.filter(F.col("rows") > least)
-    found = np.array([r.key for r in counts.select("key").collect()], np.int64)
+    found = counts.select("key").toArrow().column("key").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
-def _describe(n: int, limit: Threshold, common: np.ndarray):
+def _describe(n: int, limit: Threshold, shared):
     def run(batches):
+        common = shared.value
         for b in batches:
-            sizes, digests, sketches, keys = [], [], [], []
-            for _, _, words in word_slices(b.column("text"), SOLID, lower=True):
+            for lo, hi, words in word_slices(b.column("text"), SOLID, lower=True):
+                sizes, digests, sketches, keys = [], [], [], []
                 for values in ngram_sets(words, n):
                     sizes.append(len(values))
                     digests.append(mix(np.array([np.sum(mix(values), dtype=np.uint64) + np.uint64(len(values))]))[0])
                     parity = np.bincount((values & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
                     sketches.append(np.packbits(parity.astype(bool)).view(np.int64))
                     keys.append(_first_ones(values, limit, common).view(np.int64))
-            s = np.array(sketches, np.int64).reshape(-1, _SKETCH)
-            yield batch(
-                doc_id=b.column("doc_id"),
-                digest=b.column("digest"),
-                n_shingles=np.array(sizes, np.int64),
-                node=np.array(digests, np.uint64).view(np.int64),
-                **{c: s[:, i].copy() for i, c in enumerate(_SKETCH_COLUMNS)},
-                keys=pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32),
-                    np.concatenate(keys) if keys else np.empty(0, np.int64),
-                ),
-            )
+                s = np.array(sketches, np.int64).reshape(-1, _SKETCH)
+                yield batch(
+                    doc_id=b.column("doc_id").slice(lo, hi - lo),
+                    digest=b.column("digest").slice(lo, hi - lo),
+                    n_shingles=np.array(sizes, np.int64),
+                    node=np.array(digests, np.uint64).view(np.int64),
+                    **{c: s[:, i].copy() for i, c in enumerate(_SKETCH_COLUMNS)},
+                    keys=pa.ListArray.from_arrays(
+                        np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32), np.concatenate(keys)
+                    ),
+                )
 
     return run
 
@@ -152,10 +157,9 @@ def _describe(n: int, limit: Threshold, common: np.ndarray):
 def _ordered_sets(n: int):
     def run(batches):
         for b in batches:
-            out = []
-            for _, _, words in word_slices(b.column("text"), SOLID, lower=True):
-                out += [v.tobytes() for v in ngram_sets(words, n)]
-            yield batch(node=b.column("node"), grams=pa.array(out, pa.binary()))
+            for lo, hi, words in word_slices(b.column("text"), SOLID, lower=True):
+                out = [v.tobytes() for v in ngram_sets(words, n)]
+                yield batch(node=b.column("node").slice(lo, hi - lo), grams=pa.array(out, pa.binary()))
 
     return run
 
@@ -219,11 +223,12 @@ def _verify(limit: Threshold):
 
         for b in batches:
             pairs = []
-            for q, block, role, node, grams in zip(*(b.column(k).to_pylist() for k in range(5))):
+            places = zip(*(b.column(k).to_pylist() for k in range(4)))
+            for (q, block, role, node), grams in zip(places, b.column(4)):
                 if (q, block) != at:
                     pairs += found()
                     at, query, held = (q, block), None, []
-                values = np.frombuffer(grams, np.uint64)
+                values = np.frombuffer(grams.as_py(), np.uint64)
                 if role == 0:
                     query = values
                 else:
@@ -275,6 +280,39 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, limit:
     )
 
 
+def _pair() -> list[F.Column]:
+    return [F.least("query", "node").alias("low"), F.greatest("query", "node").alias("high")]
+
+
+def _with_leaders(grouped: DataFrame, traits: DataFrame, limit: Threshold) -> DataFrame:
+    """query, node, shared, low, high: texts with the leaders of their first n-grams, in another component, that they may match.
+
+    A text that shares most of its first n-grams has few edits of its own, so it leads best.
+    """
+    central = grouped.groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
+    leads = grouped.join(central, "node").groupBy("key").agg(F.max(F.struct("edges", "node", "root")).alias("lead"))
+    met = (
+        grouped.join(leads, "key").filter(F.col("root") != F.col("lead.root"))
+        .groupBy(F.col("lead.node").alias("query"), "node").agg(F.count(F.lit(1)).alias("shared"))
+    )
+    x, y = traits.alias("x"), traits.alias("y")
+    return (
+        met.alias("p").join(x, F.col("p.query") == F.col("x.node")).join(y, F.col("p.node") == F.col("y.node"))
+        .filter(_may_match(limit, "x", "y")).select("p.query", "p.node", "p.shared").select("query", "node", "shared", *_pair())
+    )
+
+
+def _all_open(grouped: DataFrame, traits: DataFrame, limit: Threshold) -> DataFrame:
+    """query, node, low, high: all pairs of texts that share a first n-gram, in different components, and may match."""
+    open_ = grouped.join(traits, "node")
+    x, y = open_.alias("x"), open_.alias("y")
+    return (
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_match(limit, "x", "y"))
+        .select(F.least("x.node", "y.node").alias("query"), F.greatest("x.node", "y.node").alias("node"))
+        .distinct().select("query", "node", *_pair())
+    )
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"))
@@ -287,53 +325,54 @@ def link_texts(docs: DataFrame, n: int, part: int, whole: int, small_ids: int =
     of candidates grow with the number of near copies only. Beyond ``small_ids``
     candidates the texts are shuffled to them.
     """
-    limit = Threshold(part, whole)
-    texts = _texts(docs, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        return _link_texts(_texts(docs, id_col, text_col), n, Threshold(part, whole), small_ids)
+
+
+def _link_texts(texts: DataFrame, n: int, limit: Threshold, small_ids: int) -> DataFrame:
     kind = dict(texts.dtypes)["doc_id"]
-    common = common_ngrams(texts, n, limit)
+    common = texts.sparkSession.sparkContext.broadcast(common_ngrams(texts, n, limit))
     sets = materialize(
         texts.select("doc_id", "digest", "text").mapInArrow(
             _describe(n, limit, common),
             f"doc_id {kind}, digest bigint, n_shingles bigint, node bigint, {', '.join(f'{c} bigint' for c in _SKETCH_COLUMNS)}, keys array<bigint>",
         )
     )
+    common.unpersist()
     full = sets.filter("n_shingles > 0")
     keys = full.select("node", F.explode("keys").alias("key"))
     shared = materialize(
         keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     )
     members = materialize(keys.join(shared, "key").select("key", "node").distinct())
-    # A text that shares most of its first n-grams has few edits of its own, so it leads best.
-    central = members.groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
-    leads = members.join(central, "node").groupBy("key").agg(F.max(F.struct("edges", "node"))["node"].alias("query"))
-    candidates = members.join(leads, "key").filter("node <> query").select("query", "node").distinct()
     involved = materialize(
         full.join(members.select("node").distinct(), "node", "left_semi")
         .groupBy("node", "n_shingles", *_SKETCH_COLUMNS)
         .agg(F.min_by("doc_id", "digest").alias("rep"), F.min("digest").alias("rep_digest"))
     )
     traits = involved.select("node", "n_shingles", *_SKETCH_COLUMNS)
-    x, y = traits.alias("x"), traits.alias("y")
-    led = materialize(
-        candidates.alias("p").join(x, F.col("p.query") == F.col("x.node")).join(y, F.col("p.node") == F.col("y.node"))
-        .filter(_may_match(limit, "x", "y")).select("p.query", "p.node")
-    )
-    links = materialize(_linked(led, involved, texts, n, limit, small_ids))
-    first = components(links)
-    grouped = materialize(
-        members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "root")
-    )
-    split = grouped.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("key")
-    open_ = grouped.join(split, "key").join(traits, "node")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = materialize(
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_match(limit, "x", "y"))
-        .select(F.least("x.node", "y.node").alias("query"), F.greatest("x.node", "y.node").alias("node"))
-        .distinct()
-        .join(led.select(F.least("query", "node").alias("query"), F.greatest("query", "node").alias("node")), ["query", "node"], "left_anti")
-    )
-    if not rest.isEmpty():
-        first = components(links.union(_linked(rest, involved, texts, n, limit, small_ids)))
+    links = tested = first = None
+    grouped = members.withColumn("root", F.col("node"))
+    for round_ in range(ROUNDS + 1):
+        found = _with_leaders(grouped, traits, limit) if round_ < ROUNDS else _all_open(grouped, traits, limit)
+        if tested is not None:
+            found = found.join(tested, ["low", "high"], "left_anti")
+        if round_ < ROUNDS:
+            # Most texts need no more than their best leader, so a text is sent once.
+            found = found.groupBy("node").agg(F.max(F.struct("shared", "query", "low", "high")).alias("x")).select("x.query", "node", "x.low", "x.high")
+        found = materialize(found.select("query", "node", "low", "high"))
+        if found.isEmpty():
+            continue
+        linked = materialize(_linked(found.select("query", "node"), involved, texts, n, limit, small_ids))
+        links = linked if links is None else links.union(linked)
+        now = found.select("low", "high")
+        tested = now if tested is None else tested.union(now)
+        first = components(links)
+        rooted = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("key")
+        grouped = materialize(rooted.join(split, "key").select("key", "node", "root"))
+    if first is None:
+        first = members.select("node", F.col("node").alias("root")).limit(0)
     named = sets.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     return named.join(first, "node", "left").select("doc_id", "digest", "n_shingles", F.coalesce("root", "node").alias("group"))
 
