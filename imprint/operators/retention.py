@@ -87,15 +87,23 @@ def failure_notes(removals: DataFrame) -> DataFrame:
 
 
 def deletion_accounting(removals: DataFrame) -> DataFrame:
-    """Keys deleted and failed per batch.
+    """Keys deleted and failed per batch, with the failure notes.
 
-    ``note_parts`` says how many rows of ``failure_notes`` hold the text of a batch's
-    failures; the text is never gathered in one row.
+    ``notes`` holds the whole text of a batch's failures by key, however many, and is
+    NULL without any. ``note_parts`` says how many rows of ``failure_notes`` hold
+    the same text in pieces.
     """
+    note = F.concat("key", F.lit(": "), "error")
+    keyed = F.when(note.isNotNull(), F.struct("key", note.alias("note")))
     return removals.groupBy("batch_id").agg(
         F.count_if(F.col("error").isNull()).alias("keys_deleted"),
         F.count_if(F.col("error").isNotNull()).alias("keys_failed"),
-    ).withColumn("note_parts", F.ceil(F.col("keys_failed") / NOTES_PER_PART))
+        F.array_sort(F.collect_list(keyed)).alias("_notes"),
+    ).select(
+        "batch_id", "keys_deleted", "keys_failed",
+        F.when(F.size("_notes") > 0, F.array_join(F.col("_notes.note"), "; ")).alias("notes"),
+        F.ceil(F.col("keys_failed") / NOTES_PER_PART).alias("note_parts"),
+    )
 
 
 def audit_rows(
@@ -111,7 +119,7 @@ def audit_rows(
     scan_counts = scans.groupBy("batch_id").agg(F.count(F.lit(1)).alias("scan_count"))
     return (
         ids.join(scan_counts, "batch_id", "left")
-        .join(deletion_accounting(removals), "batch_id", "left")
+        .join(deletion_accounting(removals).drop("notes"), "batch_id", "left")
         .fillna(0, ["scan_count", "keys_deleted", "keys_failed", "note_parts"])
         .withColumns(
             {

@@ -172,3 +172,13 @@ def test_the_last_of_decisions_with_one_number_is_defined(spark, tables):
         decisions = spark.createDataFrame(order, "candidate_id long, seq long, status string, reviewed_by long, reviewed_at timestamp")
         done = review.apply_decisions(candidates, decisions.repartition(3)).first()
         assert (done.status, done.reviewed_by) == ("rejected", 3)
+
+
+def test_deletion_accounting_has_the_whole_notes(spark):
+    removals = spark.createDataFrame(
+        [(1, f"k{i}", "timeout") for i in range(1200)] + [(2, "a", "x"), (2, "a b", "z"), (2, "c", None), (3, "d", None)],
+        "batch_id long, key string, error string",
+    )
+    got = {r.batch_id: (r.notes, r.note_parts) for r in retention.deletion_accounting(removals).collect()}
+    whole = "; ".join(f"{k}: timeout" for k in sorted(f"k{i}" for i in range(1200)))
+    assert got == {1: (whole, 2), 2: ("a: x; a b: z", 1), 3: (None, 0)}
