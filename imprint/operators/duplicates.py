@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from imprint.config import MatchConfig
 from imprint.functions.bits import hamming
 from imprint.functions.color import bhattacharyya, distance_of_roots, root_shares
-from imprint.operators.similarity import hash_pairs
+from imprint.operators.bands import BandPlan
+from imprint.operators.blocks import linked_rows, print_pairs
+from imprint.operators.similarity import all_pairs_cheaper, hash_pairs
 from imprint.operators.skew import chunked_join
 from imprint.session import materialize
 
@@ -58,12 +60,15 @@ class FoldedPrints:
     ``members`` has every row with its ``print_key``; ``prints`` has one row per key
     and rotation, with the ``least`` and ``most`` id among its ``arrived`` rows and
     whether there are ``old`` ones. ``arrived`` marks rows, and prints of rows, that
-    are to be matched; the others are history, which is only matched against.
+    are to be matched; the others are history, which is only matched against. ``one`` of
+    a print, if there, is its row where it has only one, and ``repeated`` the number of
+    keys that have several.
     """
 
     members: DataFrame
     prints: DataFrame
     by: list[str]
+    repeated: int | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -81,12 +86,8 @@ def with_print_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("print_key", F.unhex(F.sha2(F.to_json("prints"), 256)))
 
 
-def turned_prints(keyed: DataFrame, by: list[str]) -> DataFrame:
-    """One row per print key and rotation, of rows with ``print_key`` and ``arrived``; other columns are kept.
-
-    Only keys with several rows are looked at together, so the fingerprints stay in
-    place: the row of least id has them, and the others are left out.
-    """
+def _repeated_keys(keyed: DataFrame, by: list[str]) -> tuple[DataFrame, int]:
+    """Print keys with several rows, and how many there are."""
     ids = lambda f, flag: f(F.when(flag, F.col("id")))
     several = materialize(
         keyed.groupBy(*by, "print_key").agg(
@@ -95,10 +96,23 @@ def turned_prints(keyed: DataFrame, by: list[str]) -> DataFrame:
             F.bool_or(~F.col("arrived")).alias("_old"),
         ).filter("_rows > 1").drop("_rows")
     )
-    marks = F.broadcast(several) if several.count() <= _SENT_KEYS else several
+    return several, several.count()
+
+
+def turned_prints(keyed: DataFrame, by: list[str], repeated: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """One row per print key and rotation, of rows with ``print_key`` and ``arrived``; other columns are kept.
+
+    Only keys with several rows are looked at together, so the fingerprints stay in
+    place: the row of least id has them, and the others are left out. ``one`` is the row
+    of a key that has no other.
+    """
+    several, count = repeated or _repeated_keys(keyed, by)
+    marks = F.broadcast(several) if count <= _SENT_KEYS else several
     alone = F.col("_first").isNull()
     own = F.when(F.col("arrived"), F.col("id"))
+    row = [c for c in ("id", "batch_id", "pairing_key", "arrived") if c in keyed.columns]
     kept = keyed.join(marks, [*by, "print_key"], "left").filter(alone | (F.col("id") == F.col("_first"))).withColumns({
+        "one": F.when(alone, F.struct(*row)),
         "least": F.when(alone, own).otherwise(F.col("_least")),
         "most": F.when(alone, own).otherwise(F.col("_most")),
         "old": F.when(alone, ~F.col("arrived")).otherwise(F.col("_old")),
@@ -118,26 +132,52 @@ def fold_copies(new: DataFrame, history: DataFrame | None = None, by: list[str]
     if history is not None:
         rows = rows.unionByName(history.withColumn("arrived", F.lit(False)))
     keyed = materialize(with_print_key(rows))
-    prints = turned_prints(keyed, by).withColumn("arrived", F.col("least").isNotNull())
-    return FoldedPrints(keyed.drop("prints"), prints.select(*by, "print_key", "arrived", "least", "most", "old", "rotation", "hash", "color"), by)
+    repeated = _repeated_keys(keyed, by)
+    prints = turned_prints(keyed, by, repeated).withColumn("arrived", F.col("least").isNotNull())
+    columns = ["print_key", "arrived", "least", "most", "old", "rotation", "hash", "color", "one"]
+    return FoldedPrints(keyed.drop("prints"), prints.select(*by, *columns), by, repeated[1])
+
+
+def _print_sizes(prints: DataFrame) -> tuple[int, int, int, int, bool]:
+    """Different upright hashes and their rows, different hashes and their rows, whether any is old."""
+    return tuple(prints.agg(
+        F.approx_count_distinct(F.when(F.col("arrived") & (F.col("rotation") == 0), F.col("hash"))),
+        F.count_if(F.col("arrived") & (F.col("rotation") == 0)),
+        F.approx_count_distinct("hash"),
+        F.count(F.lit(1)),
+        F.coalesce(F.bool_or("old"), F.lit(False)),
+    ).first())
 
 
-def match_prints(folded: FoldedPrints, config: MatchConfig = MatchConfig(), direction: str = "later") -> DataFrame:
+def _in_blocks(config: MatchConfig, probing: int, indexed: int) -> bool:
+    return all_pairs_cheaper(BandPlan.for_sizes(config.structural_max, probing, indexed), probing, indexed)
+
+
+def match_prints(
+    folded: FoldedPrints, config: MatchConfig = MatchConfig(), direction: str = "later", keys: bool = True
+) -> DataFrame:
     """Matching (query_key, print_key) pairs of prints that have rows to pair, one row per pair.
 
     This is the compact result: its size depends on the number of different
     fingerprints, not on how many rows share them. Pairs of prints without two rows
-    in the right order are left out before any colour is read.
+    in the right order are left out before any colour is read. Where all prints are
+    compared, block by block, ``query_one`` and ``other_one`` are the rows of prints that
+    have only one, and without ``keys`` the keys are left out.
     """
     by, prints = folded.by, folded.prints
     upright = prints.filter(F.col("arrived") & (F.col("rotation") == 0))
-    hashes = F.col("hash")
-    probing, probing_rows, indexed, indexed_rows = prints.agg(
-        F.approx_count_distinct(F.when(F.col("arrived") & (F.col("rotation") == 0), hashes)),
-        F.count_if(F.col("arrived") & (F.col("rotation") == 0)),
-        F.approx_count_distinct(hashes),
-        F.count(F.lit(1)),
-    ).first()
+    probing, probing_rows, indexed, indexed_rows, history = _print_sizes(prints)
+    if _in_blocks(config, probing, indexed):
+        carried = [c for c in ("key", "one") if c in ("key" if keys else "", *prints.columns)]
+        pairs = print_pairs(
+            prints.withColumnRenamed("print_key", "key"), max(probing_rows, indexed_rows // 4),
+            config.structural_max, config.color_max, direction, by, carried, history,
+        )
+        named = [F.col("query_key"), F.col("other_key").alias("print_key")] if keys else []
+        return pairs.select(
+            *by, *named, "color", F.expr("cast(rank div 360 as int)").alias("structural"),
+            F.expr("cast(rank % 360 as int)").alias("rotation"), *[f"{s}_one" for s in ("query", "other") if "one" in carried],
+        )
     near = hash_pairs(
         upright, prints, config.structural_max,
         by=by, sizes=(probing, indexed), split_rows=config.split_rows,
@@ -203,6 +243,22 @@ def expand_matches(
     }
     if direction not in rules:
         raise ValueError("direction must be 'later' or 'either'")
+    if "query_one" in matches.columns:
+        if folded.repeated:
+            matches = materialize(matches)
+        alone = F.col("query_one").isNotNull() & F.col("other_one").isNotNull()
+        carried = [c for c in ("id", "batch_id", "pairing_key") if c not in by]
+        single = (
+            matches.filter(alone).select(
+                *by, "color", "structural", "rotation",
+                *[F.col(f"{s}_one")[c].alias(f"{s}_{c}") for s in ("query", "other") for c in carried],
+                F.col("other_one")["arrived"].alias("other_arrived"),
+            ).filter(rules[direction]).drop("other_arrived")
+        )
+        if folded.repeated == 0:
+            return single
+        rest = matches.filter(~alone).drop("query_one", "other_one")
+        return single.unionByName(expand_matches(rest, folded, config, direction))
     total = members.count()
 
     def side(name: str, key: str, rows: DataFrame) -> DataFrame:
@@ -223,7 +279,7 @@ def within_batch_hits(
 ) -> DataFrame:
     """Hits between rows of one batch; the batch is part of every join key."""
     folded = fold_copies(rows, by=["batch_id"])
-    hits = expand_matches(match_prints(folded, config, direction), folded, config, direction)
+    hits = expand_matches(match_prints(folded, config, direction, keys=bool(folded.repeated)), folded, config, direction)
     return hits.withColumns(
         {"query_batch_id": F.col("batch_id"), "other_batch_id": F.col("batch_id")}
     ).drop("batch_id")
@@ -250,25 +306,43 @@ def all_hits(
     matched against itself.
     """
     folded = fold_copies(rows, history)
-    return expand_matches(match_prints(folded, config, direction), folded, config, direction)
+    return expand_matches(match_prints(folded, config, direction, keys=bool(folded.repeated)), folded, config, direction)
+
 
+def ids_once(*tables: DataFrame | None) -> bool:
+    """Whether every row of the tables has an id that no other has."""
+    ids = [t.select("id") for t in tables if t is not None]
+    every = ids[0]
+    for more in ids[1:]:
+        every = every.unionByName(more)
+    rows, distinct = every.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    return rows == distinct
 
-def canonical_pairs(hits: DataFrame) -> DataFrame:
+
+def canonical_pairs(hits: DataFrame, once: bool = False) -> DataFrame:
     """One row per unordered pair, smaller id first, with its best scores.
 
-    ``filename_match`` says whether both names share a pairing key.
+    ``filename_match`` says whether both names share a pairing key. ``once`` says that
+    no pair comes twice in either order, as under direction 'later' with ids that occur
+    once; then no row need be compared with others.
     """
+    a, b = F.least("query_id", "other_id"), F.greatest("query_id", "other_id")
+    same_key = F.col("query_pairing_key").eqNullSafe(F.col("other_pairing_key"))
+    same_batch = F.col("query_batch_id") == F.col("other_batch_id")
+    if once:
+        return hits.select(
+            a.alias("card_crop_id_a"), b.alias("card_crop_id_b"), F.col("structural").cast("double").alias("structural_score"),
+            F.col("color").alias("color_score"), F.col("rotation").alias("matched_rotation"),
+            same_key.alias("filename_match"), same_batch.alias("same_batch"),
+        )
     rank = (F.col("structural") * 360 + F.col("rotation")).cast("int")
     return (
-        hits.groupBy(
-            F.least("query_id", "other_id").alias("card_crop_id_a"),
-            F.greatest("query_id", "other_id").alias("card_crop_id_b"),
-        )
+        hits.groupBy(a.alias("card_crop_id_a"), b.alias("card_crop_id_b"))
         .agg(
             F.min(rank).alias("rank"),
             F.min_by("color", rank).alias("color_score"),
-            F.bool_or(F.col("query_pairing_key").eqNullSafe(F.col("other_pairing_key"))).alias("filename_match"),
-            F.bool_or(F.col("query_batch_id") == F.col("other_batch_id")).alias("same_batch"),
+            F.bool_or(same_key).alias("filename_match"),
+            F.bool_or(same_batch).alias("same_batch"),
         )
         .select(
             "card_crop_id_a",
@@ -298,9 +372,10 @@ def emit_candidates(pairs: DataFrame) -> DataFrame:
     )
 
 
-def matched_ids(hits: DataFrame) -> DataFrame:
-    """Distinct matched rows per query row, over all rotations."""
-    return hits.select("query_id", "other_id").dropDuplicates()
+def matched_ids(hits: DataFrame, once: bool = False) -> DataFrame:
+    """Distinct matched rows per query row, over all rotations; ``once`` says that no pair comes twice."""
+    pairs = hits.select("query_id", "other_id")
+    return pairs if once else pairs.dropDuplicates()
 
 
 @dataclass(frozen=True)
@@ -310,27 +385,33 @@ class DuplicateClasses:
     ``members`` has every row with the ``class_id`` of its print, the least id that
     has it. ``pairs`` has the matching classes, ``class_a`` < ``class_b``, with the best
     scores of either direction, and each class that matches itself under both names.
+    ``links``, if there, has the number of rows linked to each class, counted without pairs.
     """
 
     members: DataFrame
     pairs: DataFrame
     by: list[str]
+    links: DataFrame | None = None
 
     def rows(self) -> DataFrame:
         """Every row with its class, the rows of the class, and the number of other rows that are linked to it."""
         by = self.by
         sizes = materialize(self.members.groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("class_size")))
+        linked = self._linked(sizes) if self.links is None else self.links
+        totals = sizes.join(linked, [*by, "class_id"], "left").select(
+            *by, "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
+        )
+        return self.members.join(totals, [*by, "class_id"]).select("id", "batch_id", "class_id", "class_size", "links")
+
+    def _linked(self, sizes: DataFrame) -> DataFrame:
+        by = self.by
         both = self.pairs.select(*by, F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).union(
             self.pairs.filter("class_a <> class_b").select(*by, "class_b", "class_a")
         )
         others = sizes.select(*by, F.col("class_id").alias("other"), F.col("class_size").alias("other_size"))
-        linked = both.join(others, [*by, "other"]).groupBy(*by, "class_id").agg(
+        return both.join(others, [*by, "other"]).groupBy(*by, "class_id").agg(
             F.sum(F.col("other_size") - F.when(F.col("other") == F.col("class_id"), 1).otherwise(0)).alias("links")
         )
-        totals = sizes.join(linked, [*by, "class_id"], "left").select(
-            *by, "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
-        )
-        return self.members.join(totals, [*by, "class_id"]).select("id", "batch_id", "class_id", "class_size", "links")
 
     def expand(self, split_rows: int = MatchConfig().split_rows) -> DataFrame:
         """A row for every linked pair of rows: id_a < id_b and the scores of their classes."""
@@ -356,7 +437,7 @@ def duplicate_classes(rows: DataFrame, config: MatchConfig = MatchConfig(), by:
     names = members.groupBy(*by, "print_key").agg(F.min("id").alias("class_id"))
     named = materialize(members.join(names, [*by, "print_key"]).select(*dict.fromkeys([*by, "id", "batch_id", "print_key", "class_id"])))
     keys = named.filter("id = class_id").select(*by, "print_key", "class_id")
-    matches = match_prints(folded, config, "either")
+    matches = match_prints(folded, config, "either").select(*by, "query_key", "print_key", "color", "structural", "rotation")
     a = keys.select(*by, F.col("print_key").alias("query_key"), F.col("class_id").alias("query_class"))
     b = keys.select(*by, "print_key", F.col("class_id").alias("other_class"))
     met = matches.join(a, [*by, "query_key"]).join(b, [*by, "print_key"])
@@ -369,4 +450,12 @@ def duplicate_classes(rows: DataFrame, config: MatchConfig = MatchConfig(), by:
             F.expr("cast(rank % 360 as int)").alias("rotation"), "color",
         )
     )
-    return DuplicateClasses(named.drop("print_key"), materialize(pairs), by)
+    probing, probing_rows, indexed, indexed_rows, _ = _print_sizes(folded.prints)
+    if not _in_blocks(config, probing, indexed):
+        return DuplicateClasses(named.drop("print_key"), materialize(pairs), by)
+    sizes = named.groupBy(*by, "class_id").agg(F.count(F.lit(1)).alias("size"))
+    classes = keys.distinct().join(sizes, [*by, "class_id"]).withColumnRenamed("class_id", "key")
+    prints = folded.prints.drop("one").join(classes, [*by, "print_key"])
+    links = linked_rows(prints, max(probing_rows, indexed_rows // 4), config.structural_max, config.color_max, by)
+    # Pairs are made when they are asked for, and not to count the links.
+    return DuplicateClasses(named.drop("print_key"), pairs, by, links.withColumnRenamed("key", "class_id"))

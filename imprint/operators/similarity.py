@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from imprint.functions.bits import hamming
 from imprint.operators.bands import BandPlan
+from imprint.operators.blocks import near_any, nearest_pairs
 from imprint.operators.skew import assign_chunk, chunked_join, hot_keys, visit_chunks
 from imprint.session import materialize
 
 _BROADCAST_ROWS = 1_000_000  # probe or index rows of about 32 bytes
 _TASK_WORK = 200_000  # probe rows, and pair tests by tens, per task
+_CELL_COST = 0.1  # of a pair among all, which is tested in an array, to one that met in a band
 
 
 def _constants(values: list[int], kind: str) -> str:
@@ -127,6 +129,15 @@ def hash_pairs(
     return _meet(probes, index, keys, plan, by, symmetric)
 
 
+def near_hashes(left: DataFrame, right: DataFrame, radius: int, *, sizes: tuple[int, int], split_rows: int = 200_000) -> DataFrame:
+    """Different hashes (``hash``) of the right side within the radius of any of the left side; ``sizes`` as for ``hash_pairs``."""
+    if all_pairs_cheaper(BandPlan.for_sizes(radius, *sizes), *sizes):
+        left, right = (side.select("hash").filter(F.col("hash").isNotNull()).distinct() for side in (left, right))
+        return near_any(left, right, radius, max(sizes)).distinct()
+    pairs = hash_pairs(left, right, radius, sizes=sizes, split_rows=split_rows)
+    return pairs.select(F.col("right_hash").alias("hash")).distinct()
+
+
 def _meet(
     probes: DataFrame, index: DataFrame, keys: list[str], plan: BandPlan, by: list[str], symmetric: bool = False
 ) -> DataFrame:
@@ -145,6 +156,11 @@ def _meet(
     )
 
 
+def all_pairs_cheaper(plan: BandPlan, probing: int, indexed: int) -> bool:
+    """Whether testing every pair block by block costs less than the bands do."""
+    return probing * indexed * _CELL_COST <= plan.cost(probing, indexed)
+
+
 def hamming_join(
     left: DataFrame,
     right: DataFrame,
@@ -153,28 +169,60 @@ def hamming_join(
     by: list[str] | None = None,
     plan: BandPlan | None = None,
     split_rows: int = 200_000,
+    nearest: str | None = None,
+    left_columns: list[str] | None = None,
+    right_columns: list[str] | None = None,
 ) -> DataFrame:
     """All pairs of rows whose hashes lie within a Hamming radius.
 
     Both sides hold ``id``, ``hash`` and the ``by`` columns. Rows that share a
-    hash are searched once and told apart at the end, a hot hash in chunks.
-    Returns ``by``, ``left_id``, ``right_id`` and ``distance``.
+    hash are searched once and told apart at the end, a hot hash in chunks; where
+    the radius is so wide that bands leave most pairs to be tested, all rows are
+    compared block by block instead. Returns ``by``, ``left_id``, ``right_id``,
+    ``distance`` and the named columns of either side, as ``left_`` and ``right_`` ones.
+
+    ``nearest`` names a column of both sides, such as ``id``: rows that share it are one
+    thing with several hashes (and the same named columns), and each pair of things
+    comes once, with its least distance. Rows where it is NULL are left out.
     """
     by = by or []
-    by_id = [*by, "id", "hash"]
-    same = left is right
-    # Ids and hashes are read several times below; what they come from, once.
-    left = materialize(left.filter(F.col("hash").isNotNull()).select(by_id))
-    right = left if same else materialize(right.filter(F.col("hash").isNotNull()).select(by_id))
+    extra = {"left": list(left_columns or []), "right": list(right_columns or [])}
+    same = left is right and extra["left"] == extra["right"]
+
+    def kept(side: DataFrame, columns: list[str]) -> DataFrame:
+        there = F.col("hash").isNotNull() if nearest is None else F.col("hash").isNotNull() & F.col(nearest).isNotNull()
+        return materialize(side.filter(there).select(*dict.fromkeys([*by, "id", "hash", *([nearest] if nearest else []), *columns])))
+
+    # What rows come from is read once, for they are read several times below.
+    left = kept(left, extra["left"])
+    right = left if same else kept(right, extra["right"])
     left_rows, probing = _sizes(left)
     right_rows, indexed = (left_rows, probing) if same else _sizes(right)
+    names = [*by, "left_id", "right_id", "distance", *[f"{side}_{c}" for side in extra for c in extra[side]]]
+    if plan is None and all_pairs_cheaper(BandPlan.for_sizes(radius, probing, indexed), probing, indexed):
+        sides = []
+        for side, rows in (("left", left), ("right", right)):
+            hashes = F.array("hash")
+            if nearest is not None:
+                columns = [c for c in dict.fromkeys(["id", *extra[side]]) if c != nearest]
+                rows = rows.groupBy(*dict.fromkeys([*by, nearest])).agg(
+                    F.collect_set("hash").alias("hashes"), *[F.any_value(c).alias(c) for c in columns]
+                )
+                hashes = F.col("hashes")
+            carried = dict.fromkeys(["id", *extra[side]])
+            sides.append(rows.select(*by, *[F.col(c).alias(f"{side}_{c}") for c in carried], hashes.alias("hashes")))
+        return nearest_pairs(*sides, radius, by, max(left_rows, right_rows)).select(names)
     pairs = hash_pairs(
         left, right, radius, by=by, plan=plan, sizes=(probing, indexed), split_rows=split_rows
     )
     for side, rows, total in (("left", left, left_rows), ("right", right, right_rows)):
-        members = rows.select(*by, F.col("hash").alias(f"{side}_hash"), F.col("id").alias(f"{side}_id"))
+        carried = dict.fromkeys(["id", *([nearest] if nearest else []), *extra[side]])
+        members = rows.select(*by, F.col("hash").alias(f"{side}_hash"), *[F.col(c).alias(f"{side}_{c}") for c in carried])
         pairs = chunked_join(pairs, members, [*by, f"{side}_hash"], f"{side}_id", split_rows, total)
-    return pairs.select(*by, "left_id", "right_id", "distance")
+    if nearest is not None:
+        keys = [*by, f"left_{nearest}", f"right_{nearest}"]
+        pairs = pairs.groupBy(*keys).agg(F.min("distance").alias("distance"), *[F.any_value(c).alias(c) for c in names if c not in (*keys, "distance")])
+    return pairs.select(names)
 
 
 def hamming_self_join(

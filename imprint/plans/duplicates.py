@@ -9,6 +9,7 @@ from imprint.operators.duplicates import (
     all_hits,
     canonical_pairs,
     emit_candidates,
+    ids_once,
     insert_if_absent,
 )
 
@@ -26,9 +27,9 @@ def find_duplicates(
     being the query, or either id under ``direction='either'``.
     """
     hits = all_hits(new, history, config, direction)
-    return new_candidates(hits, existing)
+    return new_candidates(hits, existing, direction == "later" and ids_once(new, history))
 
 
-def new_candidates(hits: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Candidate rows of the hits that are not yet recorded."""
-    return emit_candidates(insert_if_absent(canonical_pairs(hits), existing))
+def new_candidates(hits: DataFrame, existing: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """Candidate rows of the hits that are not yet recorded; ``once`` as for ``canonical_pairs``."""
+    return emit_candidates(insert_if_absent(canonical_pairs(hits, once), existing))

@@ -71,14 +71,17 @@ class GrowingTable:
         rows = self._read(spark, schema, self.parts(spark, before))
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets) if buckets else F.lit(False))
 
-    def write(self, rows: DataFrame, epoch: int) -> DataFrame:
-        """Write the part of one micro-batch and return what is in it."""
-        self._save(rows, epoch, epoch)
+    def write(self, rows: DataFrame, epoch: int, gather: bool = True) -> DataFrame:
+        """Write the part of one micro-batch and return what is in it.
+
+        Without ``gather`` rows are written where they are made, which suits many rows of few buckets.
+        """
+        self._save(rows, epoch, epoch, gather)
         return self._read(rows.sparkSession, rows.schema, [(epoch, epoch)])
 
-    def _save(self, rows: DataFrame, first: int, last: int) -> None:
+    def _save(self, rows: DataFrame, first: int, last: int, gather: bool = True) -> None:
         path = f"{self.folder}/{self._name(first, last)}"
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        (rows.hint("rebalance", "bucket") if gather else rows).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     def compact(self, spark: SparkSession, schema: StructType, before: int) -> None:
         """Join parts of one size at the end of what lies before a micro-batch, then drop what is covered by wider parts.

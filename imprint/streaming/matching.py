@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from imprint.config import MatchConfig
 from imprint.operators.duplicates import FoldedPrints, expand_matches, match_prints, turned_prints, with_print_key
-from imprint.operators.similarity import hash_pairs
+from imprint.operators.similarity import near_hashes
 from imprint.plans.duplicates import new_candidates
 from imprint.session import materialize
 from imprint.streaming.growing import GrowingTable, bucket_of, touched
@@ -61,8 +61,7 @@ class IncrementalMatcher:
         if not total:
             return hashes.select("print_key").limit(0).withColumn("bucket", F.lit(0))
         probing = upright.select("hash").distinct().count()
-        near = hash_pairs(upright, hashes, self.config.structural_max, sizes=(probing, total), split_rows=self.config.split_rows)
-        near = materialize(near.select(F.col("right_hash").alias("hash")).distinct())
+        near = materialize(near_hashes(upright, hashes, self.config.structural_max, sizes=(probing, total), split_rows=self.config.split_rows))
         keys = hashes.join(near, "hash", "left_semi").select("print_key").distinct()
         return materialize(keys.withColumn("bucket", bucket_of("print_key", self.buckets)))
 
@@ -98,11 +97,17 @@ class IncrementalMatcher:
         seen = old_members.select("print_key").distinct().withColumn("_seen", F.lit(True))
         every_print = every_print.join(seen, "print_key", "left").withColumn("old", F.col("_seen").isNotNull()).drop("_seen")
         every_member = members.withColumn("arrived", F.lit(True)).unionByName(old_members.withColumn("arrived", F.lit(False))).drop("bucket")
-        index = FoldedPrints(materialize(every_member), materialize(every_print), [])
-        matches = materialize(match_prints(index, self.config))
-        # Each pair has an id that was not there before, so none of them is recorded yet.
-        pairs = new_candidates(expand_matches(matches, index, self.config))
-        written = self._write(pairs.withColumn("bucket", F.lit(0)), "pairs", epoch)
+        every_member = materialize(every_member)
+        row = F.struct("id", "batch_id", "pairing_key", "arrived")
+        rows_of = materialize(every_member.groupBy("print_key").agg(F.count(F.lit(1)).alias("_rows"), F.any_value(row).alias("one")))
+        ones = rows_of.filter("_rows = 1").drop("_rows")
+        index = FoldedPrints(every_member, materialize(every_print.join(ones, "print_key", "left")), [], rows_of.filter("_rows > 1").count())
+        matches = match_prints(index, self.config, keys=bool(index.repeated))
+        if "query_one" not in matches.columns:
+            matches = materialize(matches)
+        # Each pair has an id that was not there before, so none of them is recorded yet, and none comes twice.
+        pairs = new_candidates(expand_matches(matches, index, self.config), once=True)
+        written = self.table("pairs").write(pairs.withColumn("bucket", F.lit(0)), epoch, gather=False)
         for name, schema in (("ids", kept.schema), ("members", members.schema), ("prints", fresh.schema), ("hashes", narrow.schema), ("pairs", written.schema)):
             self.table(name).compact(spark, schema, epoch)
 

@@ -9,6 +9,7 @@ from imprint.config import MatchConfig
 from imprint.functions import bits, color
 from imprint.operators import duplicates, fingerprint, geometry, similarity
 from imprint.plans.duplicates import find_duplicates
+from imprint.session import materialize
 from workload.registry import query
 from workload.tables import Tables, _order
 
@@ -335,11 +336,9 @@ def bhattacharyya_distance(t: Tables) -> DataFrame:
 def hamming_radius_join(t: Tables) -> DataFrame:
     """Any rotation of the other side, radius 20."""
     turned = t.prints.select("id", F.inline("prints"))
-    pairs = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20)
-    return (
-        pairs.filter("left_id <> right_id")
-        .groupBy(F.col("left_id").alias("query_id"), F.col("right_id").alias("other_id"))
-        .agg(F.min("distance").cast("long").alias("distance"))
+    pairs = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20, nearest="id")
+    return pairs.filter("left_id <> right_id").select(
+        F.col("left_id").alias("query_id"), F.col("right_id").alias("other_id"), F.col("distance").cast("long").alias("distance")
     )
 
 
@@ -453,14 +452,16 @@ def within_batch_classes(t: Tables) -> DataFrame:
 @query("M3", f"SELECT {_HIT_COLUMNS} FROM hits", "hits")
 def best_rotation(t: Tables) -> DataFrame:
     """All pairs within the radius, verified by a column expression over four rotations."""
-    turned = t.prints.select("id", F.inline("prints"))
-    near = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20).filter("left_id <> right_id")
-    pairs = near.selectExpr("left_id AS query_id", "right_id AS other_id").distinct()
     upright = duplicates.print_at(F.col("prints"), 0)
-    queries = t.prints.select(F.col("id").alias("query_id"), upright["hash"].alias("h"), upright["color"].alias("c"))
-    others = t.prints.select(F.col("id").alias("other_id"), "prints")
-    best = duplicates.best_match(F.col("h"), F.col("c"), F.col("prints"), MATCH)
-    matched = pairs.join(queries, "query_id").join(others, "other_id").select("query_id", "other_id", best.alias("m"))
+    rows = materialize(t.prints.withColumn("row", F.monotonically_increasing_id()))
+    queries = rows.select("id", "row", upright["hash"].alias("hash"), upright["color"].alias("c"))
+    turned = rows.select("id", "row", "prints", F.explode("prints.hash").alias("hash"))
+    # A pair comes with the prints of both its rows, which are not fetched by another join.
+    near = similarity.hamming_join(queries, turned, 20, nearest="row", left_columns=["hash", "c"], right_columns=["prints"])
+    best = duplicates.best_match(F.col("left_hash"), F.col("left_c"), F.col("right_prints"), MATCH)
+    matched = near.filter("left_id <> right_id").select(
+        F.col("left_id").alias("query_id"), F.col("right_id").alias("other_id"), best.alias("m")
+    )
     return _hit_columns(matched.filter("m IS NOT NULL").select("query_id", "other_id", "m.*"))
 
 
@@ -474,9 +475,10 @@ def shortlist_other_batches(t: Tables) -> DataFrame:
     from imprint.operators.catalog import shortlist
 
     turned = t.prints.select("id", "batch_id", F.inline("prints"))
-    near = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20).filter("left_id <> right_id")
-    owners = t.prints.select(F.col("id").alias("left_id"), F.col("batch_id").alias("query_batch_id"))
-    matched = near.join(owners, "left_id").select("query_batch_id", F.col("right_id").alias("other_id"))
+    owners = t.prints.select("id", F.col("batch_id").alias("query_batch_id"))
+    upright = turned.filter("rotation = 0").select("id", "hash").join(owners, "id")
+    near = similarity.hamming_join(upright, turned, 20, left_columns=["query_batch_id"]).filter("left_id <> right_id")
+    matched = near.select(F.col("left_query_batch_id").alias("query_batch_id"), F.col("right_id").alias("other_id"))
     return shortlist(t.prints.select("id", "batch_id"), matched).select("query_batch_id", "id", "batch_id")
 
 
@@ -534,7 +536,7 @@ def document_duplicates(t: Tables) -> DataFrame:
 @query("J14", f"{_NEW_PAIRS} AND query_batch <> other_batch", "hits")
 def insert_if_absent(t: Tables) -> DataFrame:
     """With all pairs inside a batch already recorded and rejected."""
-    pairs = duplicates.canonical_pairs(duplicates.all_hits(t.prints, config=MATCH))
+    pairs = duplicates.canonical_pairs(duplicates.all_hits(t.prints, config=MATCH), duplicates.ids_once(t.prints))
     known = pairs.filter("same_batch").withColumn("status", F.lit("rejected"))
     return _pair_columns(duplicates.emit_candidates(duplicates.insert_if_absent(pairs, known)))
 
@@ -560,5 +562,5 @@ def find_duplicates_against_history(t: Tables) -> DataFrame:
 )
 def matched_ids(t: Tables) -> DataFrame:
     turned = t.prints.select("id", F.inline("prints"))
-    near = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20).filter("left_id > right_id")
-    return duplicates.matched_ids(near.selectExpr("left_id AS query_id", "right_id AS other_id"))
+    near = similarity.hamming_join(turned.filter("rotation = 0"), turned, 20, nearest="id").filter("left_id > right_id")
+    return duplicates.matched_ids(near.selectExpr("left_id AS query_id", "right_id AS other_id"), once=True)
