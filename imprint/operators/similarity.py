@@ -374,13 +374,14 @@ def similarity_join(
 
     ``candidates`` returns (left_id, right_id) pairs that include every pair
     within the bound; ``distance`` decides over them. A NULL distance is no match.
+    Pairs that come with ``left_value`` and ``right_value`` are tested where they are
+    made; to others the values are joined by id.
     """
     pairs = candidates(left, right)
-    scored = (
-        pairs.join(left.select(F.col("id").alias("left_id"), F.col(value).alias("_l")), "left_id")
-        .join(right.select(F.col("id").alias("right_id"), F.col(value).alias("_r")), "right_id")
-        .withColumn("distance", distance(F.col("_l"), F.col("_r")))
-    )
+    for side, rows in (("left", left), ("right", right)):
+        if f"{side}_value" not in pairs.columns:
+            pairs = pairs.join(rows.select(F.col("id").alias(f"{side}_id"), F.col(value).alias(f"{side}_value")), f"{side}_id")
+    scored = pairs.withColumn("distance", distance(F.col("left_value"), F.col("right_value")))
     return scored.filter(F.col("distance") <= max_distance).select("left_id", "right_id", "distance")
 
 

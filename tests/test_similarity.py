@@ -195,3 +195,15 @@ def test_hex_round_trip_and_median_bits(spark):
     ).first()
     code = lambda vs: f"{int(''.join('1' if v > median else '0' for v in vs), 2):016x}"
     assert (row.a, row.b) == (code(values), code(turned))
+
+
+def test_candidates_that_bring_their_values_are_not_joined_again(spark):
+    rows = spark.createDataFrame([(1, "k", "abcd"), (2, "k", "abce"), (3, "k", "zzzz"), (4, "m", "abcd")], "id long, kind string, value string")
+
+    def same_kind(left, right):
+        sides = [d.select(F.col("id").alias(f"{s}_id"), F.col("value").alias(f"{s}_value"), "kind") for s, d in (("left", left), ("right", right))]
+        return sides[0].join(sides[1], "kind").filter("left_id < right_id")
+
+    joined = similarity_join(rows, rows, F.levenshtein, 3, same_kind)
+    assert [tuple(r) for r in joined.collect()] == [(1, 2, 1)]
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

@@ -365,11 +365,24 @@ def metric_join(t: Tables) -> DataFrame:
     """Another metric: edit distance of part names, among parts of one brand and size."""
     parts = t.given("part").selectExpr("p_partkey AS id", "p_name AS value", "p_brand", "p_size")
 
-    def same_kind(left: DataFrame, right: DataFrame) -> DataFrame:
-        r = right.select(F.col("id").alias("right_id"), "p_brand", "p_size")
-        return left.select(F.col("id").alias("left_id"), "p_brand", "p_size").join(r, ["p_brand", "p_size"]).filter("left_id < right_id")
+    # A fixed number of tasks, for a few megabytes of parts are many pairs.
+    tasks = 8 * t.spark.sparkContext.defaultParallelism
 
-    joined = similarity.similarity_join(parts, parts, F.levenshtein, 3, same_kind)
+    def same_kind(left: DataFrame, right: DataFrame) -> DataFrame:
+        kind = ["p_brand", "p_size"]
+        sides = []
+        for side, rows in (("left", left), ("right", right)):
+            ids = rows.select(F.col("id").alias(f"{side}_id"), *kind)
+            # A part that comes twice is tested by each of its names.
+            named = ids.join(rows.select(F.col("id").alias(f"{side}_id"), F.col("value").alias(f"{side}_value")), f"{side}_id")
+            sides.append(named.repartition(tasks, *kind))
+        return sides[0].join(sides[1], kind).filter("left_id < right_id")
+
+    def edits(a: F.Column, b: F.Column) -> F.Column:
+        # Beyond the bound counting stops, and the pair is no match.
+        return F.nullif(F.levenshtein(a, b, 3), F.lit(-1))
+
+    joined = similarity.similarity_join(parts, parts, edits, 3, same_kind)
     return joined.withColumn("distance", F.col("distance").cast("long"))
 
 
