@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from imprint.sources.files import open_store
 
 _CHUNK_BYTES = 64 << 20
+#: Tasks that one read is divided into, about; beyond that ranges are wider than was asked for.
+_MOST_TASKS = 1000
 
 ENTRIES = T.StructType(
     [
@@ -117,16 +119,19 @@ class _ZipReader(DataSourceReader):
         store, root = open_store(self.path)
         info = store.get_file_info(root)
         files = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True))
+        files = sorted((f for f in files if f.is_file and f.path.lower().endswith(".zip")), key=lambda f: f.path)
+        # Starting a task takes as long as reading some hundred small files.
+        split = max(self.split, -(-sum(f.size for f in files) // _MOST_TASKS))
         ranges: list[tuple[str, int, int]] = []
-        for f in sorted((f for f in files if f.is_file and f.path.lower().endswith(".zip")), key=lambda f: f.path):
-            ranges += [(f.path, at, at + self.split) for at in range(0, max(1, f.size), self.split)]
+        for f in files:
+            ranges += [(f.path, at, at + split) for at in range(0, max(1, f.size), split)]
             if f.size:
                 path, at, _ = ranges[-1]
                 ranges[-1] = (path, at, f.size)
         tasks: list[list[tuple[str, int, int]]] = []
-        held = self.split
+        held = split
         for r in ranges:
-            if held + r[2] - r[1] > self.split:
+            if held + r[2] - r[1] > split:
                 tasks.append([])
                 held = 0
             tasks[-1].append(r)
@@ -155,7 +160,7 @@ class ZipMembers(DataSource):
     the files whose headers begin in the range. So one archive uses as many tasks as
     it has ranges, no archive is held in memory, and the driver opens none.
 
-    Options: ``splitBytes`` of a range; ``content`` (false: the directory only);
+    Options: ``splitBytes`` of a range, wider where there would be far more than 1000 tasks; ``content`` (false: the directory only);
     ``memberBytes``, the largest file to be a value, beyond which its row has an
     ``error`` and no content. Rows are as those of ``expand_archives``, with the
     archive's path below the folder. Paths and URIs are those Arrow's stores open.

@@ -203,3 +203,15 @@ def test_files_are_written_whole(spark, tmp_path):
         assert write_files(rows, str(tmp_path / "out")) == 3
     assert (tmp_path / "out/a/x.bin").read_bytes() == b"one" and (tmp_path / "out/z").read_bytes() == b""
     assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["x.bin", "y.bin", "z"]
+
+
+def test_small_ranges_of_many_archives_share_tasks(tmp_path, monkeypatch):
+    from imprint.sources import archives
+
+    monkeypatch.setattr(archives, "_MOST_TASKS", 10)
+    for i in range(60):
+        (tmp_path / f"{i}.zip").write_bytes(archives.build_archive([(f"a{i}", b"x" * 10)]))
+    parts = archives._ZipReader({"path": str(tmp_path), "splitbytes": "64"}).partitions()
+    assert len(parts) <= 20
+    read = [row for p in parts for b in archives._ZipReader({"path": str(tmp_path), "splitbytes": "64"}).read(p) for row in b.column("path").to_pylist()]
+    assert sorted(read) == sorted(f"a{i}" for i in range(60))

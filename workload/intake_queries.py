@@ -159,7 +159,8 @@ def expand_archive_entries(t: Tables) -> DataFrame:
         body = build_archive([(p, p.encode()) for p in frame["path"]])
         return frame.iloc[:1].assign(path=f"up/{frame['bin'].iloc[0]}.zip", content=body)[["path", "content"]]
 
-    binned = t.entries.select(F.expr("ordinal div 50").alias("bin"), "ordinal", "path")
+    # A fixed number of tasks: small rows, but an archive to be made of every fifty.
+    binned = t.entries.select(F.expr("ordinal div 50").alias("bin"), "ordinal", "path").repartition(8 * t.spark.sparkContext.defaultParallelism, "bin")
     archives = binned.groupBy("bin").applyInPandas(pack, "path string, content binary")
     return expand_archives(archives).select("archive", "ordinal", "path", "size")
 
@@ -178,7 +179,8 @@ def archive_members(t: Tables) -> DataFrame:
         body = build_archive([(p, (p * 20).encode()) for p in frame["path"]])
         return frame.iloc[:1].assign(path=f"up/{frame['bin'].iloc[0]}.zip", content=body)[["path", "content"]]
 
-    binned = t.entries.select(F.expr("ordinal div 50").alias("bin"), "ordinal", "path")
+    # A fixed number of tasks: small rows, but an archive to be made of every fifty.
+    binned = t.entries.select(F.expr("ordinal div 50").alias("bin"), "ordinal", "path").repartition(8 * t.spark.sparkContext.defaultParallelism, "bin")
     folder = f"{checkpoint_dir(t.spark)}/{uuid.uuid4().hex}"
     write_files(binned.groupBy("bin").applyInPandas(pack, "path string, content binary"), folder)
     members = read_members(t.spark, folder, splitBytes=2048)
