@@ -16,6 +16,8 @@ from imprint.session import materialize
 
 _BROADCAST_ROWS = 1_000_000  # probe or index rows of about 32 bytes
 _TASK_WORK = 200_000  # probe rows, and pair tests by tens, per task
+_TASK_PAIRS = 4_000_000  # pairs of rows that a task makes from pairs of values
+_GROUP = 1_000  # rows of one value that are sent together
 _CELL_COST = 0.1  # of a pair among all, which is tested in an array, to one that met in a band
 
 
@@ -315,7 +317,10 @@ def metric_self_join(
         divided = materialize(cells.join(large, "cell", "left_semi"))
         drawn = materialize(_pivots(divided, pivots))
         # A large cell's rows are many under one key, and its pivots are one row.
-        met = chunked_join(drawn, divided, ["cell"], "value", split_rows, divided.count())
+        total = divided.count()
+        # A fixed number: few bytes of values turn into many distances.
+        divided = divided.repartition(_tasks(total * pivots))
+        met = chunked_join(drawn, divided, ["cell"], "value", split_rows, total)
         away = F.transform("pivots", lambda p: distance(F.col("value"), p).cast("double"))
         met = met.select("cell", "value", "home", away.alias("away")).withColumn("nearest", F.array_min("away"))
         own = F.array_position("away", F.col("nearest")) - 1
@@ -331,16 +336,43 @@ def metric_self_join(
     same = every.groupBy("value").count().filter("count > 1").select(
         F.col("value").alias("left_value"), F.col("value").alias("right_value"), distance(F.col("value"), F.col("value")).alias("distance")
     ).filter(F.col("distance") <= radius)
-    pairs, total = near.union(same), every.count()
-    for side in ("left", "right"):
-        members = every.select(F.col("value").alias(f"{side}_value"), F.col("id").alias(f"{side}_id"))
-        pairs = chunked_join(pairs, members, [f"{side}_value"], f"{side}_id", split_rows, total)
-    kept = (F.col("left_value") != F.col("right_value")) | (F.col("left_id") < F.col("right_id"))
-    return pairs.filter(kept).select(
+    return _members(materialize(near.union(same)), every).select(
         F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "distance"
     )
 
 
+def _tasks(tests: float) -> int:
+    """Tasks for so many tests of pairs."""
+    return max(1, min(100_000, ceil(tests / 10 / _TASK_WORK)))
+
+
+def _members(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """left_id, right_id, distance: pairs of values (``left_value``, ``right_value``) as pairs of all rows that have them.
+
+    Rows of a value come in groups of bounded size, and pairs of groups are dealt over
+    tasks by the number of pairs of rows, whatever the bytes they are made from.
+    """
+    counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    groups = F.ceil(F.col("rows") / _GROUP)
+    grouped = (
+        rows.join(counts, "value").withColumn("part", F.pmod(F.xxhash64("id"), groups))
+        .groupBy("value", "part").agg(F.collect_list(F.struct("id")).alias("ids"))
+    )
+    made = pairs
+    for side in ("left", "right"):
+        made = made.join(counts.select(F.col("value").alias(f"{side}_value"), F.col("rows").alias(f"{side}_rows")), f"{side}_value")
+        members = grouped.select(F.col("value").alias(f"{side}_value"), F.col("part").alias(f"{side}_part"), F.col("ids").alias(f"{side}_ids"))
+        pairs = pairs.join(members, f"{side}_value")
+    total = made.agg(F.sum(F.col("left_rows") * F.col("right_rows"))).first()[0] or 0
+    dealt = pairs.withColumn("same", F.col("left_value") == F.col("right_value")).repartition(
+        max(1, min(100_000, ceil(total / _TASK_PAIRS))), "left_value", "right_value", "left_part", "right_part"
+    )
+    found = dealt.select("same", "distance", "right_ids", F.inline("left_ids").alias("left_id")).select(
+        "same", "distance", "left_id", F.inline("right_ids").alias("right_id")
+    )
+    return found.filter(~F.col("same") | (F.col("left_id") < F.col("right_id")))
+
+
 def candidate_pairs(cells: DataFrame, radius: float, split_rows: int = 200_000) -> DataFrame:
     """Pairs of values of one cell that the distances to its pivot allow, each unordered pair once."""
     total = cells.count()
@@ -352,7 +384,9 @@ def candidate_pairs(cells: DataFrame, radius: float, split_rows: int = 200_000)
         left = visit_chunks(assign_chunk(left, hot, keys, "left_value", "_left"), hot, keys, "_right")
         right = visit_chunks(assign_chunk(right, hot, keys, "right_value", "_right"), hot, keys, "_left")
         keys = ["cell", "_left", "_right"]
-    met = left.join(right, keys)
+    # Each value meets about as many others as a cell may hold.
+    tasks = _tasks(total * CELL)
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
     return met.filter((F.col("left_value") < F.col("right_value")) & (F.abs(F.col("left_off") - F.col("right_off")) <= radius))
 
 

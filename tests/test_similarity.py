@@ -207,3 +207,16 @@ def test_candidates_that_bring_their_values_are_not_joined_again(spark):
     joined = similarity_join(rows, rows, F.levenshtein, 3, same_kind)
     assert [tuple(r) for r in joined.collect()] == [(1, 2, 1)]
     assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_pairs_of_values_are_dealt_by_the_pairs_of_rows_they_make(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_TASK_PAIRS", 100)
+    monkeypatch.setattr(similarity, "_GROUP", 7)
+    rows = spark.createDataFrame([(i, float(i % 2)) for i in range(60)] + [(None, 0.0)], "id long, value double").coalesce(1)
+    pairs = spark.createDataFrame([(0.0, 1.0, 1.0), (0.0, 0.0, 0.0)], "left_value double, right_value double, distance double")
+    found = similarity._members(pairs, rows)
+    made = [[(r.left_id, r.right_id) for r in part] for part in found.select("left_id", "right_id").rdd.glom().collect()]
+    assert len(made) >= 18 and max(map(len, made)) < 900
+    even, odd = range(0, 60, 2), range(1, 60, 2)
+    want = [(a, b) for a in even for b in odd] + [(None, b) for b in odd] + [(a, b) for a in even for b in even if a < b]
+    assert sorted(map(str, sum(made, []))) == sorted(map(str, want))
