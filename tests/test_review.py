@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from imprint.functions import numeric
 from imprint.operators import catalog, quality, retention, review, status
+from imprint.plans.cards import card_detail
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -182,3 +183,27 @@ def test_deletion_accounting_has_the_whole_notes(spark):
     got = {r.batch_id: (r.notes, r.note_parts) for r in retention.deletion_accounting(removals).collect()}
     whole = "; ".join(f"{k}: timeout" for k in sorted(f"k{i}" for i in range(1200)))
     assert got == {1: (whole, 2), 2: ("a: x; a b: z", 1), 3: (None, 0)}
+
+
+def test_history_of_all_crops_joins_each_pair_once(spark):
+    crops = spark.createDataFrame(
+        [(1, 10, "k1"), (3, 11, "k3"), (5, 12, None), (5, 12, "k5"), (7, 13, "k7"), (9, 99, "k9")], "id long, raw_scan_id long, r2_key_cropped string"
+    )
+    scans = spark.createDataFrame(
+        [(10, 1, "a-front.jpg", "a", "front"), (11, 1, "a-back.jpg", "a", "back"), (12, 2, "b.jpg", "b", None), (13, 2, "b-front.jpg", "b", "front")],
+        "id long, batch_id long, original_filename string, pairing_key string, side string",
+    )
+    pairs = spark.createDataFrame(
+        [(100, 1, 3), (101, 3, 5), (102, 7, 7), (103, None, 5), (104, 20, 21), (105, 1, 20), (106, 9, 7)],
+        "id long, card_crop_id_a long, card_crop_id_b long",
+    ).selectExpr("*", "double('NaN') AS structural_score", "0.5D AS color_score")
+    detail, whole = card_detail(crops, crops, scans, pairs, "https://x/")
+    _, chosen = card_detail(crops.select("*"), crops, scans, pairs, "https://x/")
+    assert sorted(whole.columns) == sorted(chosen.columns)
+    rows = lambda d: sorted(map(repr, d.select(sorted(d.columns)).collect()))
+    assert rows(whole) == rows(chosen) and len(rows(whole)) == 16
+    first = whole.filter("crop_id = 1 AND candidate_id = 100").first()
+    assert (first.a_image_url, first.a_front_image_url, first.a_back_image_url) == ("https://x/k1", "https://x/k1", "https://x/k3")
+    assert first.structural_score is None and {"image_url", "front_image_url", "back_image_url"} <= set(detail.columns)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
