@@ -132,80 +132,26 @@ class StuckAlert(StatefulProcessor):
         pass
 
 
-_LAST = T.StructType(
-    [
-        T.StructField("stage", T.StringType()),
-        T.StructField("us", T.LongType()),
-        T.StructField("id", T.LongType()),
-        T.StructField("alerted", T.BooleanType()),
-    ]
-)
-
-
-class StuckGap(StatefulProcessor):
-    """Emits every event after which an automated stage had none for too long, by the events' own times.
-
-    Events of a micro-batch are walked in order; the last one sets a timer, which
-    fires when the watermark passes it.
-    """
-
-    def __init__(self, config: AlertConfig = AlertConfig()) -> None:
-        self._after_ms = config.stuck_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("last", _LAST)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self._last.get() if self._last.exists() else None
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame.assign(us=_micros(frame["ts"])).sort_values(["us", "id"])
-        found = []
-        for stage, us, id_ in zip(frame["stage"], frame["us"].tolist(), frame["id"].tolist()):
-            if last is not None and (us, id_) <= (last[1], last[2]):
-                continue  # older than what is known: no gap ends here
-            if last is not None and not last[3] and last[0] in AUTOMATED_STAGES and us - last[1] > self._after_ms * 1000:
-                found.append((last[0], last[1]))
-            last = (stage, us, id_, False)
-        self._last.update(tuple(last))
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if last[0] in AUTOMATED_STAGES and not last[3]:
-            self._handle.registerTimer(-(-last[1] // 1000) + self._after_ms + 1)
-        yield self._alerts(key, found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stage, us, id_, alerted = self._last.get()
-        if not alerted:
-            self._last.update((stage, us, id_, True))
-            yield self._alerts(key, [(stage, us)])
-
-    @staticmethod
-    def _alerts(key, found: list[tuple[str, int]]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "batch_id": pd.Series([key[0]] * len(found), dtype="int64"),
-                "stage": pd.Series([s for s, _ in found], dtype=object),
-                "updated_at": pd.Series([_stamp(us) for _, us in found], dtype="datetime64[us]"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stuck_gaps(events: DataFrame, config: AlertConfig = AlertConfig(), lateness: str = "10 minutes") -> DataFrame:
     """Stream of (batch_id, stage, updated_at): events of automated stages that nothing followed in time.
 
     As ``stuck_alerts``, but by the times of the events, so a replay gives the same
-    alerts. An event later than ``lateness`` is dropped.
+    alerts. Events no further apart than the limit are one session of their batch, and
+    the last event of a session is the one that nothing followed. A session is kept as
+    its bounds and last event, until the watermark passes the limit after that event; events
+    that come out of order until then are put in their place. An event later than
+    ``lateness`` counts only where the limit after it is not past either.
     """
-    known = events.filter(F.col("ts").isNotNull()).select("batch_id", "id", "ts", "stage").withWatermark("ts", lateness)
-    return known.groupBy("batch_id").transformWithStateInPandas(
-        statefulProcessor=StuckGap(config),
-        outputStructType=STUCK,
-        outputMode="Append",
-        timeMode="EventTime",
+    if config.stuck_seconds <= 0:
+        raise ValueError("stuck_seconds must be positive")
+    # A session ends with the watermark at its end; one millisecond more makes it pass the end.
+    known = events.filter(F.col("ts").isNotNull()).select("batch_id", "id", "ts", "stage").withWatermark(
+        "ts", f"{lateness} 1 millisecond"
+    )
+    last = F.max(F.struct("ts", "id", "stage")).alias("last")
+    sessions = known.groupBy("batch_id", F.session_window("ts", f"{config.stuck_seconds} seconds")).agg(last)
+    return sessions.filter(F.col("last.stage").isin(*AUTOMATED_STAGES)).select(
+        F.col("batch_id").cast("long").alias("batch_id"), "last.stage", F.col("last.ts").alias("updated_at")
     )
 
 

@@ -175,3 +175,25 @@ def test_gaps_alert_by_the_times_of_events(spark, tmp_path, rocksdb):
     assert sorted((b, s, (t - T0).total_seconds()) for b, s, t in got) == [
         (1, "cropping", 30.0), (1, "hashing", 210.0), (3, "cropping", 200.0), (3, "hashing", 50.0), (4, "extracting", 220.0),
     ]
+
+
+def test_gaps_of_events_out_of_order_and_at_the_bounds_without_python(spark, tmp_path, rocksdb):
+    at = lambda s, us=0: T0 + dt.timedelta(seconds=s, microseconds=us)
+    parts = [
+        [(1, at(0), 1, "hashing"), (3, at(150), 1, "cropping"), (4, at(0), 2, "hashing"), (5, at(100), 2, "complete"), (6, at(0), 3, "hashing"), (7, at(100, 1), 3, "complete")],
+        # Comes later than an event after it, but in time.
+        [(2, at(60), 1, "hashing"), (8, at(900, 1), None, "hashing")],
+        # The watermark is 1000 s: a timer of one millisecond past the limit has come for batch 4, not for 5.
+        [(9, at(899, 999_000), 4, "hashing"), (10, at(899, 999_001), 5, "hashing"), (11, at(1100), 6, "complete")],
+    ]
+    schema = "id long, ts timestamp, batch_id long, stage string"
+    plans = []
+
+    def operator(stream):
+        gaps = stages.stuck_gaps(stream, AlertConfig(stuck_seconds=100), "100 seconds")
+        plans.append(gaps._jdf.queryExecution().logical().toString())
+        return gaps
+
+    got, _ = run_parts(spark, tmp_path, parts, schema, operator)
+    assert sorted((b, s, t) for b, s, t in got) == [(1, "cropping", at(150)), (3, "hashing", at(0)), (4, "hashing", at(899, 999_000))]
+    assert not any("Python" in p or "Pandas" in p for p in plans)
