@@ -12,10 +12,11 @@ hash, but n-grams that several texts have come last. The join has two halves:
   tree along the order. A traversal carries the overlap so far into all sets below a
   node and leaves a subtree when what remains cannot reach the bound.
 
-Each first edge has one leader, the text that shares most of them, and a text is first
+Each first edge has one leader, the text that shares most of them or is nearest to what
+the others have in common, and a text is first
 compared with the leader it meets most often. After that most of a group of copies is
-one component; texts that still meet leaders of other components are compared once
-more, and in the end all pairs that still meet in different components. So a group
+one component; the others lead in further rounds, as long as these find links, and in
+the end all pairs that still meet in different components and may match are compared. So a group
 costs its size, not its square, and no link that could join two components is left out.
 """
 
@@ -41,8 +42,12 @@ MOST_COMMON = 4_000_000
 #: Counted are so many times the n-grams that a text has first, because rarer ones move up.
 WIDER = 1.5
 
-#: Times that each text is compared with a leader before all that is still open is compared.
-ROUNDS = 2
+#: Times, at most, that each text is compared with a leader before all that is still open is compared.
+ROUNDS = 6
+#: Rounds end when fewer than one text in so many finds a link in one.
+WORTH = 100
+#: Texts of an n-gram beyond which their sketches tell the leader.
+CROWD = 8
 
 _STEP = 64
 #: Words of a parity sketch, 1024 bits.
@@ -284,15 +289,45 @@ def _pair() -> list[F.Column]:
     return [F.least("query", "node").alias("low"), F.greatest("query", "node").alias("high")]
 
 
-def _with_leaders(grouped: DataFrame, traits: DataFrame, limit: Threshold) -> DataFrame:
-    """query, node, shared, low, high: texts with the leaders of their first n-grams, in another component, that they may match.
+def _majority(rows: DataFrame, seed: int) -> DataFrame:
+    """key and m0 to m15: the sketch that two of three texts of each key have, bit by bit."""
+    some = F.struct(*_SKETCH_COLUMNS)
+    turned = [F.col("node").bitwiseXOR(F.lit(int(mix(np.array([3 * seed + i], np.uint64)).view(np.int64)[0]))) for i in range(3)]
+    three = rows.groupBy("key").agg(*[F.min_by(some, t).alias(x) for x, t in zip("abc", turned)])
+    a, b, c = ([F.col(f"{x}.{s}") for s in _SKETCH_COLUMNS] for x in "abc")
+    return three.select(
+        "key", *[x.bitwiseAND(y).bitwiseOR(x.bitwiseAND(z)).bitwiseOR(y.bitwiseAND(z)).alias(f"m{i}") for i, (x, y, z) in enumerate(zip(a, b, c))]
+    )
+
+
+def _leads(grouped: DataFrame, traits: DataFrame, round_: int) -> DataFrame:
+    """key, lead (node, root): a leader of each first n-gram.
 
-    A text that shares most of its first n-grams has few edits of its own, so it leads best.
+    A text that shares most of its first n-grams has few edits of its own, so it leads
+    best. Among many, where most texts have an edit or two, it is the one next to the sketch that they have
+    in common. After the first round, those that are not yet in the largest component of their
+    n-gram lead.
     """
+    if round_:
+        sizes = grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"))
+        candidates = grouped.join(largest, "key").filter(F.col("root") != F.col("largest.root")).select("key", "node", "root")
+    else:
+        candidates = grouped
+    many = materialize(candidates.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD).select("key"))
     central = grouped.groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
-    leads = grouped.join(central, "node").groupBy("key").agg(F.max(F.struct("edges", "node", "root")).alias("lead"))
+    few = candidates.join(many, "key", "left_anti").join(central, "node")
+    leads = few.groupBy("key").agg(F.max(F.struct("edges", "node", "root")).alias("lead")).select("key", "lead.node", "lead.root")
+    crowd = candidates.join(many, "key", "left_semi").join(traits, "node")
+    flips = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m{i}"))) for i, c in enumerate(_SKETCH_COLUMNS)), F.lit(0))
+    near = crowd.join(_majority(crowd, round_), "key").groupBy("key").agg(F.min(F.struct(flips.alias("flips"), "node", "root")).alias("lead"))
+    return leads.union(near.select("key", "lead.node", "lead.root")).select("key", F.struct("node", "root").alias("lead"))
+
+
+def _with_leaders(grouped: DataFrame, traits: DataFrame, limit: Threshold, round_: int) -> DataFrame:
+    """query, node, shared, low, high: texts with the leaders of their first n-grams, in another component, that they may match."""
     met = (
-        grouped.join(leads, "key").filter(F.col("root") != F.col("lead.root"))
+        grouped.join(_leads(grouped, traits, round_), "key").filter(F.col("root") != F.col("lead.root"))
         .groupBy(F.col("lead.node").alias("query"), "node").agg(F.count(F.lit(1)).alias("shared"))
     )
     x, y = traits.alias("x"), traits.alias("y")
@@ -353,24 +388,32 @@ def _link_texts(texts: DataFrame, n: int, limit: Threshold, small_ids: int) -> D
     traits = involved.select("node", "n_shingles", *_SKETCH_COLUMNS)
     links = tested = first = None
     grouped = members.withColumn("root", F.col("node"))
-    for round_ in range(ROUNDS + 1):
-        found = _with_leaders(grouped, traits, limit) if round_ < ROUNDS else _all_open(grouped, traits, limit)
+    round_, last = 0, False
+    while not last:
+        last = round_ >= ROUNDS
+        found = _all_open(grouped, traits, limit) if last else _with_leaders(grouped, traits, limit, round_)
         if tested is not None:
             found = found.join(tested, ["low", "high"], "left_anti")
-        if round_ < ROUNDS:
+        if not last:
             # Most texts need no more than their best leader, so a text is sent once.
             found = found.groupBy("node").agg(F.max(F.struct("shared", "query", "low", "high")).alias("x")).select("x.query", "node", "x.low", "x.high")
         found = materialize(found.select("query", "node", "low", "high"))
+        round_ += 1
         if found.isEmpty():
+            round_ = ROUNDS  # leaders have nothing more to be compared with
             continue
         linked = materialize(_linked(found.select("query", "node"), involved, texts, n, limit, small_ids))
         links = linked if links is None else links.union(linked)
         now = found.select("low", "high")
         tested = now if tested is None else tested.union(now)
         first = components(links)
+        if last:
+            break
         rooted = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("key")
         grouped = materialize(rooted.join(split, "key").select("key", "node", "root"))
+        if linked.count() * WORTH < grouped.agg(F.count_distinct("node")).first()[0]:
+            round_ = ROUNDS
     if first is None:
         first = members.select("node", F.col("node").alias("root")).limit(0)
     named = sets.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))

@@ -54,6 +54,22 @@ def test_join_finds_the_components(make, seed):
     assert rows_of(ngram_join.link_similar(make(rows), small_ids=0)) == expected
 
 
+def test_few_pairs_of_a_group_of_near_copies_are_left_to_the_last_comparison(make, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 2, 3])):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    met, open_pairs = [], ngram_join._all_open
+    monkeypatch.setattr(ngram_join, "_all_open", lambda *a: met.append(open_pairs(*a).count()) or open_pairs(*a))
+    got = rows_of(ngram_join.link_similar(make(rows)))
+    assert got == ordered((d, *v) for d, v in brute.groups(rows).items())
+    assert sum(met) <= len(rows) // 3
+
+
 def test_join_on_odd_rows(odd, clashing, empty):
     got = rows_of(ngram_join.link_similar(odd))
     assert (4, 1, 4) in got and (8, 1, 4) in got and got.count((4, 1, 4)) == 2
