@@ -76,12 +76,11 @@ class GrowingTable:
 
         Without ``gather`` rows are written where they are made, which suits many rows of few buckets.
         """
-        self._save(rows, epoch, epoch, gather)
+        self._save(rows.hint("rebalance", "bucket") if gather else rows, epoch, epoch)
         return self._read(rows.sparkSession, rows.schema, [(epoch, epoch)])
 
-    def _save(self, rows: DataFrame, first: int, last: int, gather: bool = True) -> None:
-        path = f"{self.folder}/{self._name(first, last)}"
-        (rows.hint("rebalance", "bucket") if gather else rows).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    def _save(self, rows: DataFrame, first: int, last: int) -> None:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{self._name(first, last)}")
 
     def compact(self, spark: SparkSession, schema: StructType, before: int) -> None:
         """Join parts of one size at the end of what lies before a micro-batch, then drop what is covered by wider parts.
@@ -95,7 +94,7 @@ class GrowingTable:
             if run < self.fan:
                 break
             taken = parts[-run:]
-            self._save(self._read(spark, schema, taken), taken[0][0], taken[-1][1])
+            self._save(self._read(spark, schema, taken).hint("rebalance", "bucket"), taken[0][0], taken[-1][1])
         self._drop_covered(spark, before)
 
     def _drop_covered(self, spark: SparkSession, before: int) -> None:

@@ -46,7 +46,8 @@ class IncrementalMatcher:
         return GrowingTable(f"{self.root}/{name}", self.fan)
 
     def _write(self, rows: DataFrame, name: str, epoch: int) -> DataFrame:
-        return self.table(name).write(rows, epoch)
+        # Pairs are many, in one bucket.
+        return self.table(name).write(rows, epoch, gather=name != "pairs")
 
     def _fresh(self, rows: DataFrame, epoch: int) -> DataFrame:
         """Rows whose ids were not delivered before, with their print keys."""
@@ -107,7 +108,7 @@ class IncrementalMatcher:
             matches = materialize(matches)
         # Each pair has an id that was not there before, so none of them is recorded yet, and none comes twice.
         pairs = new_candidates(expand_matches(matches, index, self.config), once=True)
-        written = self.table("pairs").write(pairs.withColumn("bucket", F.lit(0)), epoch, gather=False)
+        written = self._write(pairs.withColumn("bucket", F.lit(0)), "pairs", epoch)
         for name, schema in (("ids", kept.schema), ("members", members.schema), ("prints", fresh.schema), ("hashes", narrow.schema), ("pairs", written.schema)):
             self.table(name).compact(spark, schema, epoch)
 
