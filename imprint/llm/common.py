@@ -147,10 +147,9 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
 
 def _stars(edges: DataFrame) -> bool:
     """Does every node hang on one root that hangs on nothing?"""
-    nodes = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    roots = edges.select(F.col("b").alias("a")).distinct()
-    bad = nodes.filter("n > 1").select("a").union(roots.join(nodes, "a", "left_semi"))
-    return bad.isEmpty()
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.coalesce(F.bool_or((F.col("up") > 1) | (F.col("up") * F.col("down") > 0)), F.lit(False))).first()[0] is False
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,6 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
     to its smallest neighbour until nothing changes. Each round is two partial
     aggregations and two joins over written tables, so a lost executor costs no
     more than the running round, and a hub's rows are reduced before they move.
+    Copies of an edge within a round do no harm; they go when it is written.
     """
     now = materialize(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -167,13 +167,10 @@ def components(edges: DataFrame) -> DataFrame:
     while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = materialize(
-            small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(least.select("a", "m"))
-            .distinct()
-        )
+        # Smaller neighbours and the node itself go to the smallest one, which goes nowhere.
+        moved = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+        now = materialize(large.join(least, "a").select(moved.alias("e")).select("e.a", "e.b").filter("a <> b").distinct())
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.union(now.select(F.col("b"), F.col("b")).distinct())

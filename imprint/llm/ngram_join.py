@@ -46,6 +46,8 @@ WIDER = 1.5
 ROUNDS = 6
 #: Rounds end when fewer than one text in so many finds a link in one.
 WORTH = 100
+#: Pairs, for each row of a text and an n-gram it shares, that cost no more to test at once than a round of leaders.
+TESTS = 1000
 #: Texts of an n-gram beyond which their sketches tell the leader.
 CROWD = 8
 
@@ -308,12 +310,7 @@ def _leads(grouped: DataFrame, traits: DataFrame, round_: int) -> DataFrame:
     in common. After the first round, those that are not yet in the largest component of their
     n-gram lead.
     """
-    if round_:
-        sizes = grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("largest"))
-        candidates = grouped.join(largest, "key").filter(F.col("root") != F.col("largest.root")).select("key", "node", "root")
-    else:
-        candidates = grouped
+    candidates = grouped.filter("outside").select("key", "node", "root")
     many = materialize(candidates.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD).select("key"))
     central = grouped.groupBy("node").agg(F.count(F.lit(1)).alias("edges"))
     few = candidates.join(many, "key", "left_anti").join(central, "node")
@@ -337,12 +334,30 @@ def _with_leaders(grouped: DataFrame, traits: DataFrame, limit: Threshold, round
     )
 
 
+def _grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root, size, outside of n-grams whose texts are not all in one component.
+
+    ``size`` counts the texts of the n-gram, and ``outside`` are those that are not in
+    the component that most of them are in.
+    """
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("part"))
+    largest = parts.groupBy("key").agg(F.sum("part").alias("size"), F.max(F.struct("part", "root")).alias("largest"))
+    return materialize(
+        rooted.join(largest.filter(F.col("size") > F.col("largest.part")), "key")
+        .select("key", "node", "root", "size", (F.col("root") != F.col("largest.root")).alias("outside"))
+    )
+
+
 def _all_open(grouped: DataFrame, traits: DataFrame, limit: Threshold) -> DataFrame:
-    """query, node, low, high: all pairs of texts that share a first n-gram, in different components, and may match."""
+    """query, node, low, high: all pairs of texts that share a first n-gram, in different components, and may match.
+
+    One text of a pair at least is outside the largest component of the n-gram.
+    """
     open_ = grouped.join(traits, "node")
-    x, y = open_.alias("x"), open_.alias("y")
+    x, y = open_.filter("outside").alias("x"), open_.alias("y")
     return (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & _may_match(limit, "x", "y"))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_match(limit, "x", "y"))
         .select(F.least("x.node", "y.node").alias("query"), F.greatest("x.node", "y.node").alias("node"))
         .distinct().select("query", "node", *_pair())
     )
@@ -387,7 +402,7 @@ def _link_texts(texts: DataFrame, n: int, limit: Threshold, small_ids: int) -> D
     )
     traits = involved.select("node", "n_shingles", *_SKETCH_COLUMNS)
     links = tested = first = None
-    grouped = members.withColumn("root", F.col("node"))
+    grouped = members.select("key", "node", F.col("node").alias("root"), F.lit(True).alias("outside"))
     round_, last = 0, False
     while not last:
         last = round_ >= ROUNDS
@@ -409,10 +424,11 @@ def _link_texts(texts: DataFrame, n: int, limit: Threshold, small_ids: int) -> D
         first = components(links)
         if last:
             break
-        rooted = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rooted.groupBy("key").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("key")
-        grouped = materialize(rooted.join(split, "key").select("key", "node", "root"))
-        if linked.count() * WORTH < grouped.agg(F.count_distinct("node")).first()[0]:
+        grouped = _grouped(members, first)
+        rows, nodes, tests = grouped.agg(
+            F.count(F.lit(1)), F.approx_count_distinct("node"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("size"))), F.lit(0))
+        ).first()
+        if linked.count() * WORTH < nodes or tests <= TESTS * rows:
             round_ = ROUNDS
     if first is None:
         first = members.select("node", F.col("node").alias("root")).limit(0)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from imprint.llm import decontaminate, licenses, ngram_join, perplexity, secrets, suffix_dedup, token_output
+from imprint.llm.common import components
 from imprint.llm.queries import QUERIES, _listed
 from tests.llm import brute
 from tests.llm.conftest import ODD
@@ -70,6 +71,22 @@ def test_few_pairs_of_a_group_of_near_copies_are_left_to_the_last_comparison(mak
     assert sum(met) <= len(rows) // 3
 
 
+def test_rounds_of_leaders_end_when_all_open_pairs_are_as_quickly_tested(make, monkeypatch):
+    rows = near_copies(4)
+    rounds, leaders = [], ngram_join._with_leaders
+    monkeypatch.setattr(ngram_join, "_with_leaders", lambda *a: rounds.append(a[3]) or leaders(*a))
+    got = rows_of(ngram_join.link_similar(make(rows)))
+    assert got == ordered((d, *v) for d, v in brute.groups(rows).items())
+    assert rounds == [0]
+
+
+def test_components_of_stars_chains_and_repeated_edges(spark):
+    edges = [(5, 1), (1, 5), (5, 5), (9, 8), (8, 7), (7, 6), (6, 2), *((30, k) for k in range(20, 40)), (25, 9)]
+    found = components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert rows_of(found) == ordered([(1, 1), (5, 1), *((k, 2) for k in (2, 6, 7, 8, 9, *range(20, 40)))])
+    assert rows_of(components(spark.createDataFrame([], "a bigint, b bigint"))) == []
+
+
 def test_join_on_odd_rows(odd, clashing, empty):
     got = rows_of(ngram_join.link_similar(odd))
     assert (4, 1, 4) in got and (8, 1, 4) in got and got.count((4, 1, 4)) == 2
