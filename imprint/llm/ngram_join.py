@@ -15,7 +15,7 @@ hash, but n-grams that several texts have come last. The join has two halves:
 Each first edge has one leader, the text that shares most of them or is nearest to what
 the others have in common, and a text is first
 compared with the leader it meets most often. After that most of a group of copies is
-one component; the others lead in further rounds, as long as these find links, and in
+one component; the others lead in further rounds, as long as these find links and are quicker than testing all open pairs, and in
 the end all pairs that still meet in different components and may match are compared. So a group
 costs its size, not its square, and no link that could join two components is left out.
 """
