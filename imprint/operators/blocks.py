@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from math import ceil, sqrt
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,31 @@ _LEAST, _MOST = 1_000, 100_000
 _HIGH, _WIDE = 64, 4096
 #: Pairs that leave a task together.
 _SENT = 1 << 16
+#: Pairs whose histograms are looked at together.
+_PAIRS = 1 << 11
 _LOW_LONG, _HIGH_LONG = -(1 << 63), (1 << 63) - 1
 
 Part = dict[str, pa.Array]
 
 
+class Verify(Protocol):
+    """A test of pairs, NULL for those that fail it, on joined rows or where a task makes them.
+
+    ``left`` and ``right`` are the columns that it reads, which have these words in front.
+    """
+
+    left: list[str]
+    right: list[str]
+
+    def column(self) -> Column: ...
+
+    def type(self, right: T.StructType) -> T.DataType: ...
+
+    def arrays(self, one: pa.Table, other: pa.Table) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, pa.Array]]:
+        """For places in both tables: which of the pairs pass, in order, and what they get."""
+        ...
+
+
 def block_count(df: DataFrame, rows: int) -> int:
     """Blocks of a table: pairs of them for all cores, and none of more than some 100 000 rows."""
     wanted = max(ceil(sqrt(16 * df.sparkSession.sparkContext.defaultParallelism)), ceil(rows / _MOST))
@@ -137,11 +158,15 @@ class _Hashes:
         self.owner = np.repeat(np.arange(len(lists)), np.diff(self.starts))
 
 
-def nearest_pairs(left: DataFrame, right: DataFrame, radius: int, by: list[str], rows: int) -> DataFrame:
+def nearest_pairs(
+    left: DataFrame, right: DataFrame, radius: int, by: list[str], rows: int,
+    verify: Verify | None = None, unsent: tuple[str, ...] = (),
+) -> DataFrame:
     """Pairs of rows with hashes within a radius, and the least ``distance`` of theirs.
 
     Rows have ``hashes``, a list without NULL, and columns that begin with ``left_`` or
-    ``right_`` and come with each pair. Pairs have equal ``by`` columns.
+    ``right_`` and come with each pair, but for ``unsent`` ones. Pairs have equal ``by``
+    columns. With ``verify`` only pairs that have a ``match`` are kept, and come with it.
     """
     blocks = block_count(left, rows)
     sides = []
@@ -150,33 +175,127 @@ def nearest_pairs(left: DataFrame, right: DataFrame, radius: int, by: list[str],
         # Blocks are numbers of both sides, so they do not depend on the group.
         dealt = side.withColumn("_blocks", F.lit(blocks))
         sides.append(dealt.select(*by, *names, *to_blocks(hashed_block(*names), F.lit(0), F.lit(blocks - 1), row)))
-    carried = [[f for f in side.schema.fields if f.name not in (*by, "hashes")] for side in (left, right)]
-    schema = T.StructType([f for f in left.schema.fields if f.name in by] + carried[0] + carried[1] + [T.StructField("distance", T.IntegerType())])
+    carried = [[f for f in side.schema.fields if f.name not in (*by, "hashes", *unsent)] for side in (left, right)]
+    found = [T.StructField("distance", T.IntegerType())]
+    if verify is not None:
+        found.append(T.StructField("match", verify.type(right.schema)))
+    schema = T.StructType([f for f in left.schema.fields if f.name in by] + carried[0] + carried[1] + found)
     left_names, right_names = ([f.name for f in fields] for fields in carried)
 
     def compare(one: pa.Table, other: pa.Table, same: bool) -> Iterator[Part]:
         a, b = _Hashes(one), _Hashes(other)
         columns = [one.select(left_names).combine_chunks(), other.select(right_names).combine_chunks()]
+        test = None if verify is None else verify.arrays(one, other)
 
         def strips() -> Iterator[tuple]:
             for first, stop in _strips(a.starts):
                 low = a.starts[first]
                 row, column, distance = _near(a.hashes[low : a.starts[stop]], b.hashes, radius)
                 row, column = a.owner[row + low], b.owner[column]
-                order = np.lexsort((distance, column, row))
-                row, column, distance = row[order], column[order], distance[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1])
-                yield row[fresh], column[fresh], distance[fresh]
+                # One number orders pairs, and each pair by its distance.
+                order = np.sort((row * len(other) + column) * 128 + distance)
+                pair, distance = order >> 7, order & 127
+                fresh = np.ones(len(pair), bool)
+                fresh[1:] = pair[1:] != pair[:-1]
+                row, column = np.divmod(pair[fresh], max(1, len(other)))
+                yield row, column, distance[fresh]
 
         for row, column, distance in _sent(strips()):
+            match = {}
+            if test is not None:
+                kept, matches = test(row, column)
+                row, column, distance, match = row[kept], column[kept], distance[kept], {"match": matches}
             part = {n: columns[0].column(n).chunk(0).take(pa.array(row)) for n in left_names}
             part |= {n: columns[1].column(n).chunk(0).take(pa.array(column)) for n in right_names}
-            yield {**part, "distance": pa.array(distance.astype(np.int32))}
+            yield {**part, "distance": pa.array(distance.astype(np.int32)), **match}
 
     return meet(*sides, by, blocks, schema, compare)
 
 
+class _Histograms:
+    """Lists of numbers as rows of one array, shorter ones filled with zeros, and their sums."""
+
+    def __init__(self, lists: pa.Array):
+        self.length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        flat, most = lists.flatten(), max(1, int(self.length.max(initial=0)))
+        values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+        if (self.length == most).all():
+            self.values = values.reshape(-1, most)
+        else:
+            self.values = np.zeros((len(lists), most), values.dtype)
+            self.values[np.arange(most)[None, :] < self.length[:, None]] = values
+        self.total = self.values.sum(axis=1, dtype=np.float64)
+        self.there = lists.is_valid().to_numpy(zero_copy_only=False)
+        if flat.null_count:
+            owner = np.repeat(np.arange(len(lists)), self.length)
+            self.there[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+
+
+def _color_distances(left: _Histograms, rows: np.ndarray, right: _Histograms, others: np.ndarray) -> np.ndarray:
+    """``color.bhattacharyya`` of pairs of rows, NaN for its NULL."""
+    distances = np.empty(len(rows))
+    width = min(left.values.shape[1], right.values.shape[1])
+    with np.errstate(all="ignore"):
+        for at in range(0, len(rows), _PAIRS):
+            i, j = rows[at : at + _PAIRS], others[at : at + _PAIRS]
+            products = np.multiply(left.values[i, :width], right.values[j, :width], dtype=np.float64)
+            overlap = np.sqrt(products, out=products).sum(axis=1)
+            scale = left.total[i] * right.total[j]
+            apart = np.sqrt(np.maximum(0.0, 1 - overlap / np.sqrt(scale)))
+            # Histograms of two lengths have no overlap there, and greatest(0, NULL) is 0.
+            apart[left.length[i] != right.length[j]] = 0.0
+            apart[~(left.there[i] & right.there[j]) | (scale <= 0)] = np.nan
+            distances[at : at + _PAIRS] = apart
+    return distances
+
+
+class BestRotations:
+    """``duplicates.best_match`` on arrays: rows with a hash and a histogram against rows with prints."""
+
+    def __init__(self, hashes: pa.ChunkedArray, colors: pa.ChunkedArray, prints: pa.ChunkedArray, structural_max: int, color_max: float):
+        self.structural_max, self.color_max = structural_max, color_max
+        self.asked = hashes.is_valid().to_numpy()
+        self.hash, self.color = _longs(hashes).view(np.uint64), _Histograms(colors.combine_chunks())
+        lists = prints.combine_chunks()
+        self.count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        one = lists.flatten()
+        # These are NULL where the whole print is.
+        fields = dict(zip((f.name for f in one.type), one.flatten()))
+        self.rotations, self.colors = fields["rotation"], _Histograms(fields["color"])
+        # The least of all where there is none, as in the order of structs.
+        self.rotation = _longs(fields["rotation"], _LOW_LONG)
+        self.there = fields["hash"].is_valid().to_numpy(zero_copy_only=False) & fields["color"].is_valid().to_numpy(zero_copy_only=False)
+        self.hashes = _longs(fields["hash"]).view(np.uint64)
+
+    def __call__(self, rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+        """Which pairs of rows match, in order, and the struct of the best rotation of each."""
+        many = self.count[others]
+        pair = np.repeat(np.arange(len(rows)), many)
+        place = np.arange(len(pair)) + np.repeat(self.first[others] - (np.cumsum(many) - many), many)
+        query = rows[pair]
+        distance = np.bitwise_count(self.hash[query] ^ self.hashes[place])
+        kept = (distance <= self.structural_max) & self.there[place] & self.asked[query]
+        pair, place, distance = pair[kept], place[kept], distance[kept]
+        color = _color_distances(self.color, rows[pair], self.colors, place)
+        kept = color <= self.color_max
+        pair, place, distance, color = pair[kept], place[kept], distance[kept], color[kept]
+        # Of several rotations of a pair the nearest is kept, then the least rotation, then the least colour.
+        rotation = self.rotation[place]
+        for k in range(3):
+            starts = np.flatnonzero(np.diff(pair, prepend=-1))
+            if len(starts) == len(pair):
+                break
+            value = (distance, rotation, color)[k]
+            kept = value == np.repeat(np.minimum.reduceat(value, starts), np.diff(starts, append=len(pair)))
+            pair, place, distance, rotation, color = pair[kept], place[kept], distance[kept], rotation[kept], color[kept]
+        first = np.diff(pair, prepend=-1) != 0
+        pair, place, distance, color = pair[first], place[first], distance[first], color[first]
+        return pair, pa.StructArray.from_arrays(
+            [pa.array(distance.astype(np.int32)), self.rotations.take(pa.array(place)), pa.array(color)], ["structural", "rotation", "color"]
+        )
+
+
 def near_any(left: DataFrame, right: DataFrame, radius: int, rows: int) -> DataFrame:
     """Rows of ``right`` with a ``hash`` near one of ``left``, once for every block of ``left`` that has such."""
     blocks = block_count(left, rows)

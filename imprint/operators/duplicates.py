@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from imprint.config import MatchConfig
 from imprint.functions.bits import hamming
 from imprint.functions.color import bhattacharyya, distance_of_roots, root_shares
 from imprint.operators.bands import BandPlan
-from imprint.operators.blocks import linked_rows, print_pairs
+from imprint.operators.blocks import BestRotations, linked_rows, print_pairs
 from imprint.operators.similarity import all_pairs_cheaper, hash_pairs
 from imprint.operators.skew import chunked_join
 from imprint.session import materialize
@@ -53,6 +55,39 @@ def best_match(
     )
 
 
+@dataclass(frozen=True)
+class BestMatch:
+    """``best_match`` as the test of pairs of ``hamming_join``.
+
+    Names the columns of the query's hash and colour and of the other row's prints. Pairs
+    made block by block are tested in arrays of the two blocks, others by the column.
+    """
+
+    query_hash: str
+    query_color: str
+    prints: str
+    config: MatchConfig = MatchConfig()
+
+    @property
+    def left(self) -> list[str]:
+        return [self.query_hash, self.query_color]
+
+    @property
+    def right(self) -> list[str]:
+        return [self.prints]
+
+    def column(self) -> Column:
+        return best_match(*(F.col(f"left_{c}") for c in self.left), F.col(f"right_{self.prints}"), self.config)
+
+    def type(self, right: T.StructType) -> T.StructType:
+        rotation = right[f"right_{self.prints}"].dataType.elementType["rotation"].dataType
+        return T.StructType().add("structural", T.IntegerType()).add("rotation", rotation).add("color", T.DoubleType())
+
+    def arrays(self, one: pa.Table, other: pa.Table) -> BestRotations:
+        columns = [*(one.column(f"left_{c}") for c in self.left), other.column(f"right_{self.prints}")]
+        return BestRotations(*columns, self.config.structural_max, self.config.color_max)
+
+
 @dataclass(frozen=True)
 class FoldedPrints:
     """Rows folded by fingerprint, so that copies are searched once.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from imprint.functions.bits import hamming
 from imprint.operators.bands import BandPlan
-from imprint.operators.blocks import near_any, nearest_pairs
+from imprint.operators.blocks import Verify, near_any, nearest_pairs
 from imprint.operators.skew import assign_chunk, chunked_join, hot_keys, visit_chunks
 from imprint.session import materialize
 
@@ -174,6 +174,7 @@ def hamming_join(
     nearest: str | None = None,
     left_columns: list[str] | None = None,
     right_columns: list[str] | None = None,
+    verify: Verify | None = None,
 ) -> DataFrame:
     """All pairs of rows whose hashes lie within a Hamming radius.
 
@@ -186,9 +187,17 @@ def hamming_join(
     ``nearest`` names a column of both sides, such as ``id``: rows that share it are one
     thing with several hashes (and the same named columns), and each pair of things
     comes once, with its least distance. Rows where it is NULL are left out.
+
+    ``verify`` is a further test of pairs, such as ``duplicates.BestMatch``. Only pairs that
+    pass it are returned, with its result as ``match``. Where rows are compared block by
+    block it runs there too, so what it reads is sent with rows and not with pairs.
     """
     by = by or []
     extra = {"left": list(left_columns or []), "right": list(right_columns or [])}
+    names = [*by, "left_id", "right_id", "distance", *[f"{side}_{c}" for side in extra for c in extra[side]]]
+    if verify is not None:
+        names.append("match")
+        extra = {"left": [*extra["left"], *verify.left], "right": [*extra["right"], *verify.right]}
     same = left is right and extra["left"] == extra["right"]
 
     def kept(side: DataFrame, columns: list[str]) -> DataFrame:
@@ -200,7 +209,6 @@ def hamming_join(
     right = left if same else kept(right, extra["right"])
     left_rows, probing = _sizes(left)
     right_rows, indexed = (left_rows, probing) if same else _sizes(right)
-    names = [*by, "left_id", "right_id", "distance", *[f"{side}_{c}" for side in extra for c in extra[side]]]
     if plan is None and all_pairs_cheaper(BandPlan.for_sizes(radius, probing, indexed), probing, indexed):
         sides = []
         for side, rows in (("left", left), ("right", right)):
@@ -213,17 +221,21 @@ def hamming_join(
                 hashes = F.col("hashes")
             carried = dict.fromkeys(["id", *extra[side]])
             sides.append(rows.select(*by, *[F.col(c).alias(f"{side}_{c}") for c in carried], hashes.alias("hashes")))
-        return nearest_pairs(*sides, radius, by, max(left_rows, right_rows)).select(names)
+        unsent = () if verify is None else tuple(f"{side}_{c}" for side in extra for c in extra[side] if f"{side}_{c}" not in names)
+        return nearest_pairs(*sides, radius, by, max(left_rows, right_rows), verify, unsent).select(names)
     pairs = hash_pairs(
         left, right, radius, by=by, plan=plan, sizes=(probing, indexed), split_rows=split_rows
     )
     for side, rows, total in (("left", left, left_rows), ("right", right, right_rows)):
-        carried = dict.fromkeys(["id", *([nearest] if nearest else []), *extra[side]])
+        carried = [c for c in dict.fromkeys(["id", *([nearest] if nearest else []), *extra[side]]) if c != "hash"]
         members = rows.select(*by, F.col("hash").alias(f"{side}_hash"), *[F.col(c).alias(f"{side}_{c}") for c in carried])
         pairs = chunked_join(pairs, members, [*by, f"{side}_hash"], f"{side}_id", split_rows, total)
     if nearest is not None:
         keys = [*by, f"left_{nearest}", f"right_{nearest}"]
-        pairs = pairs.groupBy(*keys).agg(F.min("distance").alias("distance"), *[F.any_value(c).alias(c) for c in names if c not in (*keys, "distance")])
+        rest = dict.fromkeys(f"{side}_{c}" for side in extra for c in ["id", *extra[side]])
+        pairs = pairs.groupBy(*keys).agg(F.min("distance").alias("distance"), *[F.any_value(c).alias(c) for c in rest if c not in keys])
+    if verify is not None:
+        pairs = pairs.withColumn("match", verify.column()).filter("match IS NOT NULL")
     return pairs.select(names)
 
 

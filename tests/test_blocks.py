@@ -83,6 +83,54 @@ def test_nearest_hash_of_each_id(spark, monkeypatch, small_blocks):
         assert {r.hash for r in near.collect()} == {b for _, b, _ in made if b is not None and any(i == 1 and distance(a, b) <= 24 for i, a, _ in made)}
 
 
+def odd_prints(n, seed=7):
+    draw = random.Random(seed)
+    colors = [[0.5, 0.5, 0.0], [0.1, 0.2, 0.7], [0.0, 1.0, 0.0], [0.4, 0.6], [], [0.0, 0.0, 0.0], [0.3, None, 0.7], [float("nan"), 1.0, 0.0], [-1.0, -2.0, -3.0], None]
+    rows = []
+    for i in range(n):
+        base = draw.getrandbits(64)
+        prints = [
+            (draw.choice([0, 90, 180, None]), draw.choice([None] + [base ^ draw.getrandbits(64) & draw.getrandbits(64)] * 9), draw.choice(colors))
+            for _ in range(draw.randrange(6))
+        ]
+        signed = [(r, h if h is None else h - (h >> 63 << 64), c) for r, h, c in prints]
+        rows.append((i, signed[0][1] if signed else None, draw.choice(colors), draw.choice([signed] * 9 + [[*signed, None], None])))
+    # Rotations at one distance, and copies of a rotation in other colours.
+    tied = [(180, 5, colors[0]), (90, 5, colors[1]), (90, 5, colors[0]), (None, 6, colors[0])]
+    return rows + [(n + i, 5 + i, colors[i], tied) for i in range(3)]
+
+
+def test_best_match_of_blocks_is_that_of_the_column(spark, monkeypatch, small_blocks):
+    kind = "id long, hash long, c array<float>, prints array<struct<rotation: int, hash: long, color: array<float>>>"
+    df = spark.createDataFrame(odd_prints(70), kind)
+    turned = df.select("id", "prints", F.explode("prints.hash").alias("hash"))
+    a, b = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in ("left", "right"))
+    every = a.crossJoin(b).select("left_id", "right_id", duplicates.best_match(F.col("left_hash"), F.col("left_c"), F.col("right_prints"), CONFIG).alias("match"))
+    # A NaN differs from itself, and none is within the bound.
+    expected = {(r.left_id, r.right_id): (r.match.structural, r.match.rotation, round(r.match.color, 9)) for r in every.collect() if r.match}
+    assert len(expected) > 50 and len({v[1] for v in expected.values()}) == 4
+    best = duplicates.BestMatch("hash", "c", "prints", CONFIG)
+    for cost in (0.0, 1e9):
+        monkeypatch.setattr(similarity, "_CELL_COST", cost)
+        rows = similarity.hamming_join(df.select("id", "hash", "c"), turned, 24, nearest="id", verify=best).collect()
+        assert {(r.left_id, r.right_id): (r.match.structural, r.match.rotation, round(r.match.color, 9)) for r in rows} == expected
+        assert len(rows) == len(expected)
+
+
+def test_best_rotation_tests_pairs_where_they_are_made(spark, monkeypatch, tmp_path):
+    from __spark_entry__ import QUERIES
+
+    monkeypatch.setattr(similarity, "_CELL_COST", 0.0)
+    draw = random.Random(3)
+    made = [(i, [draw.random() for _ in range(64)], i % 3) for i in range(40)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["best_rotation"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Prints are sent with the rows of a block; no pair has them, and none is tested row by row.
+    assert "prints" not in plan[: plan.index("FlatMapGroupsInArrow")] and "lambda" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    assert found.columns == ["query_id", "other_id", "structural", "rotation", "color"] and found.count() > 0
+
+
 def test_wide_radius_is_compared_in_blocks():
     assert similarity.all_pairs_cheaper(BandPlan.for_sizes(20, 600_000, 2_400_000), 600_000, 2_400_000)
     assert not similarity.all_pairs_cheaper(BandPlan.for_sizes(10, 3_000_000, 3_000_000), 3_000_000, 3_000_000)

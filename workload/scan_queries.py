@@ -464,18 +464,15 @@ def within_batch_classes(t: Tables) -> DataFrame:
 
 @query("M3", f"SELECT {_HIT_COLUMNS} FROM hits", "hits")
 def best_rotation(t: Tables) -> DataFrame:
-    """All pairs within the radius, verified by a column expression over four rotations."""
+    """All pairs within the radius, verified over four rotations where they are made."""
     upright = duplicates.print_at(F.col("prints"), 0)
     rows = materialize(t.prints.withColumn("row", F.monotonically_increasing_id()))
     queries = rows.select("id", "row", upright["hash"].alias("hash"), upright["color"].alias("c"))
     turned = rows.select("id", "row", "prints", F.explode("prints.hash").alias("hash"))
-    # A pair comes with the prints of both its rows, which are not fetched by another join.
-    near = similarity.hamming_join(queries, turned, 20, nearest="row", left_columns=["hash", "c"], right_columns=["prints"])
-    best = duplicates.best_match(F.col("left_hash"), F.col("left_c"), F.col("right_prints"), MATCH)
-    matched = near.filter("left_id <> right_id").select(
-        F.col("left_id").alias("query_id"), F.col("right_id").alias("other_id"), best.alias("m")
-    )
-    return _hit_columns(matched.filter("m IS NOT NULL").select("query_id", "other_id", "m.*"))
+    # The prints of both rows of a pair are there where it is made, and do not come with it.
+    best = duplicates.BestMatch("hash", "c", "prints", MATCH)
+    matched = similarity.hamming_join(queries, turned, 20, nearest="row", verify=best).filter("left_id <> right_id")
+    return _hit_columns(matched.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("other_id"), "match.*"))
 
 
 @query(
